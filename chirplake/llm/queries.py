@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import linededup, mixing, simhash
+from chirplake.llm import htmltext, itq, licenses, linededup, mixing, mtree, simhash, suffixpieces, tokenrecords, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,23 +19,69 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(table(spark, sf_dir, "embeddings")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("row.doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenrecords.encode_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenrecords.default_tokenizer())
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixpieces.encode(docs, suffixpieces.default_model()).select("row.doc_id", "ids", "n_ids", "ids_crc32", "same")
+
+
+def op7_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = itq.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return near.select("row.vec_id", "n_links", "component_id", F.expr("row.vec_id <=> component_id").alias("kept"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct("found.license")), ",")
+    return found.select("row.doc_id", F.size("found").alias("n_found"), names.alias("licenses"), F.array_max("found.coverage").alias("coverage"), "found")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs, lexicon).select("row.doc_id", "score")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("row.doc_id", "text", "removed")
 
 
-QUERIES = {
-    "op1_source_mix": op1_source_mix,
-    "op4_simhash_dedup": op4_simhash_dedup,
-    "op10_line_dedup": op10_line_dedup,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mix, op2_mtree_topk, op3_html_text, op4_simhash_dedup, op5_token_records, op6_sentencepiece, op7_itq_dedup,
+    op8_license_scan, op9_toxicity, op10_line_dedup,
+)}
 
 ORACLE_SQL = {
+    "op2_mtree_topk": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5""",
     "op1_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, md5(doc_id::VARCHAR) AS k,
