@@ -28,7 +28,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     x = x.withColumn("left", F.sum("weight").over(ranked.rowsBetween(0, Window.unboundedFollowing)))
     x = x.withColumn("level", (F.lit(float(budget)) * F.sum("source_size").over(everything) - F.col("before")) / F.col("left"))
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    x = x.withColumn("level", F.min(fits).over(everything))
+    x = x.withColumn("level", F.max(fits).over(everything))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return x.select("source", "source_size", target.alias("target"))
 

@@ -99,7 +99,7 @@ ORACLE_SQL = {
                        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rest,
                    (sum(source_size) OVER ())::DOUBLE AS total
             FROM s),
-        l AS (SELECT min(CASE WHEN (1.5 * total - before) / rest * weight <= cap THEN (1.5 * total - before) / rest END) AS level FROM r),
+        l AS (SELECT max(CASE WHEN (1.5 * total - before) / rest * weight <= cap THEN (1.5 * total - before) / rest END) AS level FROM r),
         t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(level * weight, cap::DOUBLE)) AS target FROM r, l),
         x AS (
             SELECT d.doc_id, d.size, t.source_size, t.target,
