@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,8 @@ class Pieces:
             self.codes[r, : self.lengths[r]] = np.frombuffer(self.piece[i].encode("utf-32-le"), np.uint32)
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.segments: dict[str, bytes] = {}
+        self.adjacent = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
         self.blank_runs: dict[int, list[int]] = {}
         odd = re.escape("\n")
         self.segment = re.compile(f"{odd}|{SPACE}*[^{SPACE}{odd}]+|{SPACE}+") if "\n" not in self.known else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -168,32 +172,32 @@ class Pieces:
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         start, length, piece = self.occurrences(text)
         n = len(text)
-        last: list[int] = [-1] * (n + 1)  # id of the piece that ends at a place; -2 where a word starts
+        last: list[int] = [-1] * (n + 1)  # the piece that ends at a place; -2 where a word starts, -3 after bytes
         back: list[int] = [0] * (n + 1)
-        first = np.flatnonzero(text == 0)[:-1] + 1
-        starts = np.cumsum([1] + [len(w) + 1 for w in words])[:-1]
-        del first
-        for s in starts.tolist():
-            last[s] = -2
+        starts = np.cumsum([1] + [len(w) + 1 for w in words])[:-1].tolist()
         single = np.zeros(n, bool)
         single[start[length == 1]] = True
-        lone = np.flatnonzero(~single)  # characters that are no piece: bytes, which nothing merges with
-        mark = {int(i): -3 for i in lone}
-        pairs, fit = self.pairs, self.fit
-        begins = np.searchsorted(start, np.arange(n + 1))
-        pieces, lengths, begins = piece.tolist(), length.tolist(), begins.tolist()
-        for s, word in zip(starts.tolist(), words, strict=True):
+        lone = set(np.flatnonzero(~single).tolist())  # characters that are no piece: bytes, which nothing merges with
+        known, fit = self.pairs.get, self.fit
+        begins = np.searchsorted(start, np.arange(n + 1)).tolist()
+        pieces, ends = piece.tolist(), (start + length).tolist()
+        for s, word in zip(starts, words, strict=True):
+            last[s] = -2
             for at in range(s, s + len(word)):
                 prev = last[at]
                 if prev == -1:
                     continue
-                if at in mark:
+                if at in lone:
                     last[at + 1], back[at + 1] = -3, at
-                    continue
-                for e in range(begins[at], begins[at + 1]):
-                    now = pieces[e]
-                    if prev < 0 or (pairs.get(prev << 32 | now) if (prev << 32 | now) in pairs else fit(prev, now)):
-                        last[at + lengths[e]], back[at + lengths[e]] = now, at
+                elif prev < 0:
+                    for e in range(begins[at], begins[at + 1]):
+                        last[ends[e]], back[ends[e]] = pieces[e], at
+                else:
+                    prev <<= 32
+                    for e in range(begins[at], begins[at + 1]):
+                        ok = known(prev | pieces[e])
+                        if ok or (ok is None and fit(prev >> 32, pieces[e])):
+                            last[ends[e]], back[ends[e]] = pieces[e], at
             ids: list[int] = []
             at = s + len(word)
             while at > s:
@@ -202,18 +206,20 @@ class Pieces:
                 else:
                     ids.append(last[at])
                 at = back[at]
-            self.words[word] = np.array(ids[::-1], "<u4").tobytes()
+            self.words[word] = struct.pack(f"<{len(ids)}I", *reversed(ids))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts; each word that isn't held is encoded once."""
+        """Ids of whole texts. Segments that aren't held are cut where no piece has the two characters side by side, so
+        that no merge crosses; each part that isn't held is encoded once."""
         cut = [self.segment.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.segments) > WORDS_HELD:
+            self.segments.clear()
         if len(self.words) > WORDS_HELD:
             self.words.clear()
-        held = self.words
-        plain = lambda w: w[len(w) - len(w.lstrip(SPACE)) - 1 :] if w.startswith(SPACE * 2) else w
-        new = {plain(w) for x in cut for w in set(x) if w not in held and w.strip(SPACE)}
+        new = sorted(set(chain.from_iterable(cut)).difference(self.segments))
+        parts = {w: self.parts(w) for w in new}
         size, batch = 0, []
-        for w in sorted(w for w in new if w not in held):
+        for w in sorted(set(chain.from_iterable(x for _, x in parts.values())).difference(self.words)):
             batch.append(w)
             size += len(w) + 1
             if size > BATCH_CHARS:
@@ -221,17 +227,33 @@ class Pieces:
                 size, batch = 0, []
         if batch:
             self.encode_words(batch)
-        for x in cut:
-            for w in x:
-                if w not in held:  # blanks in a row
-                    blanks = len(w) - len(w.lstrip(SPACE))
-                    ids = np.frombuffer(held[plain(w)], "<u4").tolist() if w.strip(SPACE) else []
-                    if ids and ids[0] != self.ids.get(SPACE):
-                        ids = self.blank_run(blanks - 1) + ids
-                    else:
-                        ids = self.blank_run(blanks) + ids[1:]
-                    held[w] = np.array(ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([held[w] for w in x]), "<u4") for x in cut]
+        words, blank = self.words, struct.pack("<I", self.ids.get(SPACE, 0))
+        for w, (blanks, x) in parts.items():
+            ids = b"".join([words[part] for part in x])
+            if blanks:  # blanks in a row, of which the word may take the last
+                if ids and ids[:4] != blank:
+                    blanks -= 1
+                elif ids:
+                    ids = ids[4:]
+                ids = np.array(self.blank_run(blanks), "<u4").tobytes() + ids
+            self.segments[w] = ids
+        get = self.segments.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in cut]
+
+    def parts(self, segment: str) -> tuple[int, list[str]]:
+        """Blanks in a row at the start, 0 if fewer than two, and the parts of the rest with one blank at most."""
+        blanks = 0
+        if segment.startswith(SPACE * 2) or segment == SPACE:
+            blanks = len(segment) - len(segment.lstrip(SPACE))
+            segment = segment[blanks - 1 :] if blanks < len(segment) else ""
+        out, start, pairs = [], 0, self.adjacent
+        for i in range(1, len(segment)):
+            if segment[i - 1 : i + 1] not in pairs:
+                out.append(segment[start:i])
+                start = i
+        if segment:
+            out.append(segment[start:])
+        return blanks, out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the blank that encoding puts first; bytes that are no text become U+FFFD."""

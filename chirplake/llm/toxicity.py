@@ -25,6 +25,8 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 STEMS = range(4, 11)
 THRESHOLD = 0.3
+#: Log-likelihood that a term has to gain over chance.
+GAIN = 9.2
 
 _leet = re.compile(r"(?<=\w)[0134578@$!](?=\w)|(?<!\w)[0134578@$!](?=[^\W\d])|(?<=[^\W\d])[0134578@$](?!\w)")
 _other = re.compile("[^\\W_]+")
@@ -106,7 +108,7 @@ def select(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> Lexico
             continue
         p = min(max(x / n, 1e-9), 1 - 1e-9)
         gain = x * math.log(p / share) + y * math.log((1 - p) / (1 - share))
-        if gain > 9.2:  # odds of about 1 in 10,000 by chance
+        if gain > GAIN:
             strong[term] = gain
     chosen: list[str] = []
     for term in sorted((t for t in strong if not any(t[:k] in strong for k in range(min(STEMS), len(t)))), key=lambda t: (-strong[t], t)):
