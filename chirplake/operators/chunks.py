@@ -40,7 +40,7 @@ def split_time(df: DataFrame, step: float = 60.0, duration: str = "fileDuration"
         limits = ("chunkFileStart", "chunkFileStop")
     out = out.withColumn("chunkId", F.concat_ws("-", F.col(orid).cast("string"), *[python_float(F.col(c)) for c in limits]))
     wanted = channels if channels is not None else F.array(F.lit(NO_CHANNEL))
-    return out.withColumn("channel", F.explode(wanted).cast("long")).drop("_k")
+    return out.withColumn("channel", F.explode(wanted.cast("array<bigint>"))).drop("_k")
 
 
 def all_channels(nchannels: Column) -> Column:

@@ -176,7 +176,7 @@ def orids_semi(orders, lineitem):
     return joins.with_ids(orders, ids, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-HOURLY = "(SELECT (epoch(ts) // 3600)::BIGINT - 473352 AS timeCell, round(avg(value), 6) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+HOURLY = "(SELECT floor(epoch_us(ts) / 3600000000)::BIGINT - 473352 AS timeCell, round(avg(value), 6) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)"
 
 
 @query(f"SELECT g.i AS timeCell, coalesce(h.value, -1000) AS value FROM generate_series(0, 719) g(i) LEFT JOIN {HOURLY} h ON g.i = h.timeCell")
@@ -193,7 +193,7 @@ def missing_cells(events):
 
 
 @query(f"""
-    SELECT event_id, epoch(ts AT TIME ZONE '{ZONE}')::DOUBLE AS "absStart", epoch(ts AT TIME ZONE '{ZONE}')::DOUBLE + value AS "absStop",
+    SELECT event_id, epoch_us(ts AT TIME ZONE '{ZONE}') / 1e6 AS "absStart", epoch_us(ts AT TIME ZONE '{ZONE}') / 1e6 + value AS "absStop",
            strftime(ts, '%Y-%m-%d %H:%M:%S') || '-06:00' AS "standardStart" FROM events""")
 def time_fields(events):
     text = F.date_format("ts", "dd-MM-yyyy HH:mm:ss")
@@ -257,7 +257,7 @@ def crono_matrix_norm(events):
     return m.select("timeCell", "level", F.round("value", 6).alias("value"), F.round("norm", 6).alias("norm"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding[14:33], lambda x: x::DOUBLE)), 4) AS band FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding[14:33], lambda x: x::DOUBLE)), 4) + 0.0 AS band FROM embeddings")
 def freq_band_levels(embeddings):
     low, high = arrays.level_range((2000, 5000), 0, 10000, 64)
     return embeddings.select("vec_id", F.round(arrays.bands(F.col("embedding"), [(low, high + 1)])[0], 4).alias("band"))
@@ -296,7 +296,7 @@ def write_chunks_limits(documents):
 BAND_CUTS = [(i * 8, i * 8 + 8) for i in range(8)]
 
 
-@query("SELECT vec_id, " + ", ".join(f"round(list_sum(list_transform(embedding[{a + 1}:{b}], lambda x: x::DOUBLE)), 4) AS e_{i}" for i, (a, b) in enumerate(BAND_CUTS)) + " FROM embeddings")
+@query("SELECT vec_id, " + ", ".join(f"round(list_sum(list_transform(embedding[{a + 1}:{b}], lambda x: x::DOUBLE)), 4) + 0.0 AS e_{i}" for i, (a, b) in enumerate(BAND_CUTS)) + " FROM embeddings")
 def band_energy(embeddings):
     bands = arrays.bands(F.col("embedding"), BAND_CUTS)
     return embeddings.select("vec_id", *[F.round(b, 4).alias(f"e_{i}") for i, b in enumerate(bands)])
@@ -361,7 +361,7 @@ def parse_append(events):
     return parsed.select("event_id", filters.json_value("metadata", "k", "bigint").alias("k"), filters.json_value("metadata", "twice", "bigint").alias("twice"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: (embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE) / 2)), 4) AS total FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: (embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE) / 2)), 4) + 0.0 AS total FROM embeddings")
 def mean_channels(embeddings):
     doubles = F.transform("embedding", lambda x: x.cast("double"))
     mean = arrays.channel_mean(F.array(F.slice(doubles, 1, 32), F.slice(doubles, 33, 32)))
