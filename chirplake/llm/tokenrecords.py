@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from tokenizers import Tokenizer
 from chirplake.llm.shared import new_path, pieces
 
 END_ID = 2
-WORDS_HELD, DOCS_AT_ONCE = 500_000, 1000
+WORDS_HELD, STEMS_AT_ONCE, DOCS_AT_ONCE = 200_000, 2000, 500
+MARKS = ".,;:!?%$&#*"
 INDEX = "shard int, path string, offset long, length long, before long, n_tokens long"
 
 
@@ -57,26 +59,63 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, f"<u{wide}", offset=10)
 
 
+def stem(word: str) -> str:
+    """A word without the marks at its end; the word itself if what is left would not end in a letter or digit, for the
+    tokenizer takes marks in a row together."""
+    short = word.rstrip(MARKS)
+    return short if short[-1:].lower()[-1:].isalnum() else word
+
+
+def plain_case(word: str) -> str:
+    """Lower case, which the tokenizer makes too, for words that can't hold a special token and where it is one to one."""
+    return word.lower() if word.isascii() and "<" not in word else word
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins what white space parts, each word encoded once.
 
-    Words that were seen lately are held, at most WORDS_HELD of them; the others go to the tokenizer in one batch.
+    Words that were seen lately are held, at most WORDS_HELD of them, and so are their stems, without the marks at their
+    end, which the tokenizer parts as well. Stems that aren't held go to the tokenizer as one text, apart by a special
+    token, which gives them fewer objects to make than texts of their own would.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.held: dict[str, bytes] = {"": b""}
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.specials = [c for _, c in special]
+        self.cut_id, self.cut = max(special) if special else (-1, "")
+        self.held: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.held) > WORDS_HELD:
-            self.held = {"": b""}
-        held = self.held
-        new = sorted({w for x in words for w in x if w not in held})
-        for part in pieces(new, 20_000):
+            self.held.clear()
+        if len(self.stems) > WORDS_HELD:
+            self.stems.clear()
+        held, stems = self.held, self.stems
+        parts = {w: stem(w) for w in set(chain.from_iterable(words)).difference(held)}
+        tails = {w: w[len(s) :] for w, s in parts.items()}
+        parts = {w: plain_case(s) for w, s in parts.items()}
+        new = sorted({*parts.values(), *tails.values()}.difference(stems))
+        plain = [w for w in new if self.cut and not any(c in w for c in self.specials)]
+        for part in pieces(plain, STEMS_AT_ONCE):
+            self.encode_joined(part)
+        for part in pieces([w for w in new if w not in stems], STEMS_AT_ONCE):
             for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                held[word] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([held[w] for w in x]), "<u4") for x in words]
+                stems[word] = np.array(got.ids, "<u4").tobytes()
+        for w, s in parts.items():
+            held[w] = stems[s] + stems[tails[w]]
+        return [np.frombuffer(b"".join(map(held.__getitem__, x)), "<u4") for x in words]
+
+    def encode_joined(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(self.cut.join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.cut_id)
+        if len(cuts) != len(words) - 1:
+            return  # left for the tokenizer one by one
+        data = ids.tobytes()
+        for word, a, b in zip(words, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)], strict=True):
+            self.stems[word] = data[a:b]
 
 
 _encoders: dict[str, WordEncoder] = {}
