@@ -10,9 +10,12 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirplake.llm.shared import saved
+
 # Characters that are read as another.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t",
@@ -23,7 +26,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 
 #: Labelled rows that the lexicon is learned from, at most, by label: the first in order of a hash of the id.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
-STEMS = range(4, 11)
+STEMS, SKETCHES = range(4, 11), 4
 THRESHOLD = 0.3
 #: Log-likelihood that a term has to gain over chance.
 GAIN = 9.2
@@ -149,6 +152,32 @@ def terms(text: str | None) -> set[str]:
     return out
 
 
+def sketch(text: str | None) -> list[int]:
+    """Minima of SKETCHES hashes over a text's shingles of five words; near copies share nearly all of them."""
+    words = fold(text or "").split()
+    if not words:
+        return []
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+    hashes = np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64)
+    return [int((hashes * np.uint64(2 * k + 3) ^ (hashes >> np.uint64(29 + k))).min().view(np.int64)) for k in range(SKETCHES)]
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """A bounded sample (id, text, toxic) without later copies: else the rare words of one text that was copied many times
+    would look like words of toxic texts in general. A row goes if any of its minima is an earlier row's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "minima"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    minima = sample.select("id", "text").mapInArrow(run, f"id {kind}, minima array<long>").select("id", F.posexplode("minima").alias("k", "m"))
+    first = minima.groupBy("k", "m").agg(F.min("id").alias("first"))
+    copies = minima.join(first, ["k", "m"]).where("id > first").select("id").distinct()
+    return sample.join(copies, "id", "left_anti")
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -165,6 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), "toxic"))  # toxic + clean rows at most
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").repartition(48, "id")
+    sample = saved(without_copies(sample), "toxicity-sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
