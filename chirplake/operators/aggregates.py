@@ -24,10 +24,10 @@ def field_levels(df: DataFrame, field: Column, name: str) -> DataFrame:
 
 
 def combinations(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Every combination of the levels that fields have, also those without rows. Levels are few by nature."""
+    """Every combination of the levels that fields have, also those without rows."""
     out = field_levels(df, F.col(fields[0]), fields[0])
     for f in fields[1:]:
-        out = out.crossJoin(F.broadcast(field_levels(df, F.col(f), f)))
+        out = out.crossJoin(field_levels(df, F.col(f), f))
     return out
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +119,47 @@ def draw(verts: list[list[float]], duration: float, top_freq: float, shape: tupl
 def profile(mask: np.ndarray, axis: str) -> np.ndarray:
     """A mask reduced to one dimension: 1 where anything is drawn along time or frequency."""
     return mask.max(axis=0 if axis == "time" else 1)
+
+
+def annotation_matrices(
+    recordings: DataFrame, window: tuple[float | None, float | None] = (None, None), truncate: bool = False, channel: int | None = None, n_fft: int = 1024, hop: int = 512, masks: str = "window"
+) -> DataFrame:
+    """(orid, id, start, stop, low, high, spec, mask): for each annotation of recordings with content, media_info and data,
+    its bins of time and frequency, the spectrogram there, and what is drawn of it.
+
+    ``masks`` is "window" (a mask of the window), "time" or "frequency" (reduced to one axis, as one row), or "whole" (a
+    mask of the whole recording, and no spectrogram). Annotations without vertices are drawn as their box; without
+    frequencies they span all of them. One recording is in memory at a time; one without annotations gives no rows.
+    """
+    from chirplake.functions.dsp import decode, frequencies, pick_channel, spectrogram
+
+    nested = "data" in recordings.schema["data"].dataType.elementType.fieldNames()
+
+    def number(x: Any, other: float) -> float:
+        return other if x is None or pd.isna(x) else float(x)
+
+    def rows(row: Any) -> Iterator[tuple]:
+        x, rate = decode(row.content)
+        timeexp = number(row.media_info["timeexp"], 1.0)
+        spec = spectrogram(pick_channel(x, channel), n_fft, hop)
+        duration, top = x.shape[1] / rate / timeexp, float(frequencies(int(rate * timeexp), n_fft)[-1])
+        for note in [n for g in row.data for n in g["data"]] if nested else row.data:
+            start, stop = number(note["start_time"], 0.0), number(note["end_time"], duration)
+            low, high = number(note["min_freq"], 0.0), number(note["max_freq"], top)
+            verts = [list(v) for v in note["verts"]] if note["verts"] is not None and len(note["verts"]) else [[start, low], [stop, low], [stop, high], [start, high]]
+            drawn = draw(verts, duration, top, spec.shape, closed=note["notetype"] in ("bbox", "polygon", "multipolygon", "weak", "interval"))
+            w = window_of((start, stop, low, high), duration, top, spec.shape, window, truncate)
+            if masks == "whole":
+                cut, mask = None, drawn
+            else:
+                cut, mask = w.cut(spec), w.cut(drawn)
+                mask = mask if masks == "window" else profile(mask, masks)[None, :]
+            yield (row.orid, note["id"], w.time[0], w.time[1], w.freq[0], w.freq[1], None if cut is None else list(cut), [m.tolist() for m in mask])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if out := list(rows(row)):
+                    yield pd.DataFrame(out, columns=["orid", "id", "start", "stop", "low", "high", "spec", "mask"])
+
+    return recordings.select("orid", "media_info", "data", "content").mapInPandas(run, "orid long, id long, start int, stop int, low int, high int, spec array<array<double>>, mask array<array<int>>")

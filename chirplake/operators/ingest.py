@@ -104,7 +104,8 @@ def insert(
         F.when(F.col("path").isNull(), "no path").when(F.col("timeexp").isNull(), "no timeexp").when(F.col("samplerate").isNull(), "file can't be read").when(F.col("md5").isNull(), "no md5")
     )
     order = F.struct("datastore.hash", "source.fkey", "raw")
-    ranked = parsed.withColumn("reason", reason).withColumn("_rank", F.row_number().over(Window.partitionBy("md5").orderBy(F.col("reason").isNotNull(), order)))
+    spread = F.when(F.col("reason").isNotNull(), F.xxhash64("raw"))  # what is rejected anyway needs no common place
+    ranked = parsed.withColumn("reason", reason).withColumn("_rank", F.row_number().over(Window.partitionBy("md5", spread).orderBy(order)))
     there = tables["parsed"].select("md5").withColumn("there", F.lit(True))
     ranked = ranked.join(there, "md5", "left")
     reason = F.coalesce("reason", F.when(F.col("there") | (F.col("_rank") > 1), "md5 is there already"))

@@ -152,6 +152,37 @@ class Collection:
         rate = F.lit(sr) if sr else F.col("media_info.samplerate")
         return self._with_content(query).select("orid", "md5", frequencies(rate, n_fft).alias("freqs"), spec("content").alias("spec"))
 
+    def get_zcr(self, query: dict | None = None, channel: int | None = None, frame_length: int = 2048, hop: int = 512) -> DataFrame:
+        """(orid, md5, zcr): share of sign changes in each frame."""
+        from chirplake.functions.dsp import decode, pick_channel, zcr
+
+        @F.pandas_udf("array<double>")
+        def rates(content):  # noqa: ANN001, ANN202
+            return content.map(lambda c: zcr(pick_channel(decode(c)[0], channel), frame_length, hop))
+
+        return self._with_content(query).select("orid", "md5", rates("content").alias("zcr"))
+
+    def get_mfcc(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, n_mfcc: int = 20, n_fft: int = 2048, hop: int = 512) -> DataFrame:
+        """(orid, md5, mfcc): cepstral coefficients by coefficient and frame."""
+        from chirplake.functions.dsp import decode, mfcc, pick_channel
+
+        @F.pandas_udf("array<array<double>>")
+        def coefficients(content):  # noqa: ANN001, ANN202
+            def one(c: bytes) -> list:
+                x, rate = decode(c, sr=sr)
+                return list(mfcc(pick_channel(x, channel), rate, None, n_mfcc, n_fft, hop))
+
+            return content.map(one)
+
+        return self._with_content(query).select("orid", "md5", coefficients("content").alias("mfcc"))
+
+    def get_annotation_matrices(self, query: dict | None = None, window: tuple[float | None, float | None] = (None, None), truncate: bool = False, channel: int | None = None, n_fft: int = 1024, hop: int = 512, masks: str = "window") -> DataFrame:
+        """Spectrogram windows and masks of the annotations that a query selects."""
+        from chirplake.operators.geometry import annotation_matrices
+
+        media = self.get_annotated_media(query, media_fields=("path",))
+        return annotation_matrices(readers.with_content(media), window, truncate, channel, n_fft, hop, masks)
+
     def write_chunks(self, folder: str, sr: int | None = None, chop: float | None = None, threshold: float = 1.0, query: dict | None = None) -> DataFrame:
         """Export recordings, resampled and cut, as WAV files; a row for each file."""
         media = export_limits(self._with_content(query).select("orid", "md5", "content", (F.col("media_info.duration") * F.col("media_info.timeexp")).alias("duration")), chop, threshold)

@@ -76,7 +76,7 @@ def filter_missing_path(events):
     return filters.find(events, {"$or": [{"props.none": {"$ne": "x"}}, {"$not": {"props.none": "x"}}]}, **PROPS).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000 AND o_custkey = 7 OR FALSE")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 100000 AND o_custkey = 7")
 def filter_where_and_query(orders):
     return filters.find(orders, {"o_orderstatus": "O"}, where="o_totalprice > 100000", orid=7, id_column="o_custkey").select("o_orderkey", "o_totalprice")
 
@@ -247,13 +247,13 @@ def cell_std(events):
 
 
 @query(f"""
-    WITH m AS (SELECT {CELL} AS c, avg(value) AS value, avg((props::JSON ->> '$.k')::DOUBLE) AS k FROM events WHERE user_id < 3 GROUP BY 1),
+    WITH m AS (SELECT {CELL} AS c, avg(value) AS value, avg((props::JSON ->> '$.k')::DOUBLE) AS k FROM events GROUP BY 1),
     d AS (SELECT g.i AS c, m.value, m.k FROM generate_series(0, 23) g(i) LEFT JOIN m ON g.i = m.c),
     l AS (SELECT c, 'value' AS level, value FROM d UNION ALL SELECT c, 'k', k FROM d)
     SELECT c AS "timeCell", level, round(value, 6) AS value, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()), 6) AS norm FROM l""")
 def crono_matrix_norm(events):
-    few = celled(events.where("user_id < 3")).withColumn("k", filters.json_value("props", "k", "double"))
-    m = aggregates.crono_matrix(few, ["value", "k"], 0, 23)
+    valued = celled(events).withColumn("k", filters.json_value("props", "k", "double"))
+    m = aggregates.crono_matrix(valued, ["value", "k"], 0, 23)
     return m.select("timeCell", "level", F.round("value", 6).alias("value"), F.round("norm", 6).alias("norm"))
 
 
@@ -317,7 +317,7 @@ def zero_crossings(embeddings):
 
 
 @query("""
-    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 10 <> 0),
+    WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
     k AS (SELECT unnest(generate_series(0, 32)) AS k)
     SELECT vec_id, k, round(sqrt(pow(sum(v * cos(2 * pi() * k * i / 64)), 2) + pow(sum(v * sin(2 * pi() * k * i / 64)), 2)), 4) AS magnitude FROM x, k GROUP BY vec_id, k""")
 def dft_magnitude(embeddings):
@@ -368,9 +368,9 @@ def mean_channels(embeddings):
     return embeddings.select("vec_id", F.round(F.aggregate(mean, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@query("SELECT doc_id, regexp_replace(translate(translate(left(text, 40), '_', ''), ' ', '_'), '[^\\p{L}\\p{N}_]', '', 'g') AS name FROM documents")
-def plain_names(documents):
-    return documents.select("doc_id", arrays.plain_name(F.substring("text", 1, 40)).alias("name"))
+@query("SELECT p_partkey, regexp_replace(translate(translate(p_name, '_', ''), ' ', '_'), '[^\\p{L}\\p{N}_]', '', 'g') AS name FROM part")
+def plain_names(part):
+    return part.select("p_partkey", arrays.plain_name(F.col("p_name")).alias("name"))
 
 
 @query("SELECT vec_id, list_transform(range(0, 5), lambda k: k * 22050 / 8.0) AS freqs FROM embeddings")

@@ -90,6 +90,22 @@ def test_signals_and_specs(col):
     assert col.get_signals({"media_info.duration": {"$lt": 50}}).select(F.size("signal")).first()[0] == 80000
 
 
+def test_annotation_matrices(spark, col):
+    notes = spark.createDataFrame([("bbox", 1, 2.0, 3.0, 1.0, 1500.0, 500.0, "x"), ("weak", 1, 0.0, 120.0, 120.0, None, None, None)], "notetype string, orid long, start_time double, end_time double, duration double, max_freq double, min_freq double, wkt string")
+    noted = TimedCollection(spark, "noted")
+    noted.tables = col.tables
+    noted.annotate(notes.select("*", *[F.lit("{}").alias(c) for c in ("label", "groups", "metadata")]))
+    weak, box = noted.get_annotation_matrices(window=(2.0, None)).orderBy("start").collect()
+    spec, mask = np.array(box.spec), np.array(box.mask)
+    assert spec.shape == mask.shape and abs(spec.shape[1] - 2 * 22050 / 512) < 2 and mask.any() and not mask.all()
+    assert spec.mean(axis=1).argmax() == pytest.approx((1000 - 500) / (22050 / 1024), abs=2)
+    assert len(weak.mask) == 513
+    assert all(r.spec is None for r in noted.get_annotation_matrices(masks="whole").collect())
+    assert all(len(r.mask) == 1 for r in noted.get_annotation_matrices(masks="time").collect())
+    short = {"media_info.duration": {"$lt": 50}}
+    assert len(col.get_mfcc(short).first().mfcc) == 20 and col.get_zcr(short).first().zcr[5] == pytest.approx(2 * 500 / 8000, rel=0.1)
+
+
 def test_audio_soundscape(col, tmp_path):
     fragment = readers.with_content(col.get_media()).select("orid", "content", F.col("media_info.duration").alias("fileDuration"), F.lit(1.5e9).alias("absStart"), F.lit(1.0).alias("timeexp"))
     config = {"cronoParams": {"startDate": "01-01-2017 00:00:00", "timeZone": "UTC"}, "globalParams": {"npartitions": 2}}
