@@ -133,8 +133,9 @@ class Templates:
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of each place where a template is covered, in order of place.
 
-        Around each of a template's rare words a window of its length on both sides is aligned; windows that touch are
-        one. Of places that overlap the one with most words aligned stays.
+        Where a rare word of a template stands, the template's stretch of text around it, with a fifth more on both
+        sides, is aligned with the template; stretches with too few of its words aren't. So the work is linear in the
+        text. Of places that overlap the one with most words aligned stays.
         """
         lower = (text or "").lower()
         if not any(w in lower for w in self.gate):
@@ -144,37 +145,23 @@ class Templates:
         for i, w in enumerate(words):
             if w in places:
                 places[w].append(i)
-        found: list[tuple[int, str, float, int, int]] = []
+        found: set[tuple[int, str, float, int, int]] = set()
         for name, needed, template, seeds in zip(self.names, self.needed, self.words, self.seeds, strict=True):
-            n, windows = len(template), []
-            for i in sorted(i for w in seeds for i in places[w]):
-                a, b = max(0, i - n), min(len(words), i + n + 1)
-                if windows and a <= windows[-1][1]:
-                    windows[-1][1] = b
-                else:
-                    windows.append([a, b])
-            while windows:
-                a, b = windows.pop()
-                pairs = patience(words[a:b], template)
-                if not pairs:
-                    continue
-                first, last = a + pairs[0][0], a + pairs[-1][0]
-                if len(pairs) >= self.coverage * n and last - first < 2 * n:
-                    if needed <= {template[j] for _, j in pairs}:
-                        found.append((len(pairs), name, len(pairs) / n, first, last))
-                elif b - a > 2 * n + 1:  # anchors of several places: each half, with an overlap that holds any one place
-                    half = (a + b) // 2
-                    windows += [[a, min(b, half + n)], [max(a, half - n), b]] if b - a > 4 * n else [[a, a + 2 * n], [b - 2 * n, b]]
+            n, slack = len(template), len(template) // 5 + 1
+            bag = Counter(template)
+            starts = {i - j for j, w in enumerate(template) if w in seeds for i in places[w]}
+            for start in starts:
+                a, b = max(0, start - slack), min(len(words), start + n + slack)
+                if b <= a or (Counter(words[a:b]) & bag).total() < self.coverage * n:
                     continue
-                else:
-                    continue
-                for x, y in ((a, first), (last + 1, b)):  # other places of the same window
-                    if y - x >= self.coverage * n:
-                        windows.append([x, y])
-        best: list[tuple[str, float, int, int]] = []
-        for _, *hit in sorted(set(found), key=lambda h: (-h[0], -h[2], h[3], h[1])):
-            if not any(hit[2] <= o[3] and o[2] <= hit[3] for o in best):
-                best.append(tuple(hit))
+                pairs = patience(words[a:b], template)
+                if len(pairs) >= self.coverage * n and needed <= {template[j] for _, j in pairs}:
+                    found.add((len(pairs), name, len(pairs) / n, a + pairs[0][0], a + pairs[-1][0]))
+        best, taken = [], bytearray(len(words))
+        for _, name, coverage, first, last in sorted(found, key=lambda h: (-h[0], -h[2], h[4] - h[3], h[3], h[1])):
+            if not any(taken[first : last + 1]):
+                taken[first : last + 1] = b"\1" * (last + 1 - first)
+                best.append((name, coverage, first, last))
         return sorted(best, key=lambda h: (h[2], h[0]))
 
 
