@@ -65,8 +65,7 @@ class Collection:
         p = self.tables["parsed"].join(placed, "orid")
         info = F.col("media_info").withField("path", F.col("_new"))
         moved = p.withColumn("original_path", F.col("path")).withColumn("path", F.element_at(F.split("_new", "/"), -1)).withColumn("media_info", info)
-        self.tables = {**self.tables, "parsed": moved.select(*self.tables["parsed"].columns)}
-        return self
+        return self._set({**self.tables, "parsed": moved.select(*self.tables["parsed"].columns)})
 
     def doggy_bag(self, path: str, overwrite: bool = False) -> None:
         """An export bundle: media copies and metadata.csv; its columns are the metadata keys of the first recording."""
@@ -78,36 +77,41 @@ class Collection:
 
     # changes
 
+    def _set(self, tables: dict[str, DataFrame], rejects: DataFrame | None = None) -> Collection:
+        """Take over changed tables, with their lineage cut where the cluster has a checkpoint folder."""
+        cut = self.spark.sparkContext.getCheckpointDir() is not None
+        settled = lambda df: df.checkpoint() if cut else df
+        self.tables = {n: df if df is self.tables.get(n) else settled(df) for n, df in tables.items()}
+        if rejects is not None:
+            self.rejects = settled(rejects)
+        return self
+
     def insert_media(self, records: DataFrame | list[dict], media: DataFrame, parse_seq: list[dict] | None = None) -> Collection:
         """Add records (a list of metadata dicts, or the rows of a reader); ``media`` has the files' headers by path."""
         if isinstance(records, list):
             records = readers.direct(self.spark, {"data": records})
-        self.tables, self.rejects = ingest.insert(self.tables, records, media, parse_seq, self.timed)
-        return self
+        return self._set(*ingest.insert(self.tables, records, media, parse_seq, self.timed))
 
     def pull_datastore(self, kind: str, conf: dict, media: DataFrame, parse_seq: list[dict] | None = None) -> Collection:
         return self.insert_media(readers.pull(self.spark, kind, conf), media, parse_seq)
 
     def annotate(self, notes: DataFrame) -> Collection:
-        self.tables, self.rejects = ingest.annotate(self.tables, notes)
-        return self
+        return self._set(*ingest.annotate(self.tables, notes))
 
     def transform_metadata(self, parse_seq: list[dict], operation: str = "append", query: dict | None = None) -> Collection:
-        self.tables = ingest.transform_metadata(self.tables, parse_seq, operation, query, self.timed)
-        return self
+        return self._set(ingest.transform_metadata(self.tables, parse_seq, operation, query, self.timed))
 
     def update_field(self, field: str, value: Any, query: dict | None = None, orid: int | None = None) -> Collection:
-        self.tables = {**self.tables, "parsed": ingest.update_field(self.tables["parsed"], field, value, query, orid)}
-        return self
+        return self._set({**self.tables, "parsed": ingest.update_field(self.tables["parsed"], field, value, query, orid)})
 
     def drop_media(self, query: dict | None = None, where: str | None = None, orid: int | None = None, cascade: bool = True) -> DataFrame:
         """Remove the media that a predicate selects; gives them back."""
-        self.tables, gone = ingest.remove(self.tables, query, where, orid, cascade)
+        tables, gone = ingest.remove(self.tables, query, where, orid, cascade)
+        self._set(tables)
         return gone
 
     def merge(self, other: Collection) -> Collection:
-        self.tables = ingest.merge(self.tables, other.tables)
-        return self
+        return self._set(ingest.merge(self.tables, other.tables))
 
     # queries
 
@@ -217,5 +221,4 @@ class TimedCollection(Collection):
         return "timedCollection"
 
     def build_time(self) -> Collection:
-        self.tables = ingest.build_time(self.tables, self.timed)
-        return self
+        return self._set(ingest.build_time(self.tables, self.timed))
