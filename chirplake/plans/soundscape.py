@@ -22,6 +22,8 @@ from chirplake.sources import writers
 
 @dataclass(frozen=True)
 class EnergyParams:
+    """The defaults of each part of a configuration are these, and those of the classes below."""
+
     channels: str | list[int] | None = "__all__"
     n_fft: int = 1024
     hop_length: int = 512

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Kinds of annotation; those with a geometry need its frequency limits and its text.
+#: Kinds of annotation; those with a geometry need its frequency limits and its text.
 NOTE_TYPES = ("weak", "interval", "bbox", "linestring", "multilinestring", "polygon", "multipolygon")
 GEOMETRIES = NOTE_TYPES[2:]
 

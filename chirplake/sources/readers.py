@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECRETS = {"password", "passwd", "pwd", "token", "secret"}
-#: Places (start, end) of fields in the first 200 bytes of a recorder's file; the second set is for shifted headers.
+#: Places (start, end) of fields in the first 200 bytes of a recorder's file; the second set is for shifted headers.
 HEADER = {"time": (68, 87), "voltage": (166, 169), "device_id": (107, 123), "gain": (140, 141)}
 SHIFTED = {"time": (68, 87), "voltage": (168, 171), "device_id": (109, 125), "gain": (142, 143)}
 ZONES = ((89, 92), (84, 94))
