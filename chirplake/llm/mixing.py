@@ -51,16 +51,18 @@ def plan_mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str
     Sums run over hash bins of a source, so that a source with any share of the rows has no task of its own.
     """
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("~")))
-    x = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size"), F.col(source).alias("source"), key.alias("key"))
+    kind = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    x = docs.select(F.struct(*docs.columns).alias("row"), size.alias("size"), kind.alias("kind"), F.col(source).isNull().alias("none"), key.alias("key"))
     x = x.withColumn("bin", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    bins = saved(x.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bin")) - F.col("words")
-    per_source = source_targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
-    bins = bins.select("source", "bin", before.alias("offset"))
-    offsets = bins.alias("b").join(per_source.alias("s"), F.expr("b.source <=> s.source")).select("b.source", "b.bin", "b.offset", "s.source_size", "s.target")
-    place = Window.partitionBy("source", "bin").orderBy("key", "size", F.xxhash64("row"))
-    x = x.withColumn("own", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.alias("x").join(offsets.alias("o"), F.expr("x.source <=> o.source AND x.bin = o.bin"))
+    place = ["kind", "none", "bin"]  # never null, so that sums and join need the rows together in one way only
+    bins = saved(x.groupBy(*place).agg(F.sum("size").alias("words")), "mix-bins")
+    before = F.sum("words").over(Window.partitionBy("kind", "none").orderBy("bin")) - F.col("words")
+    named = bins.groupBy("kind", "none").agg(F.sum("words").alias("source_size")).select(F.when(~F.col("none"), F.col("kind")).alias("source"), "source_size")
+    targets = source_targets(named).select(F.coalesce("source", F.lit("")).alias("kind"), F.col("source").isNull().alias("none"), "source_size", "target")
+    offsets = bins.select(*place, before.alias("offset")).join(targets, ["kind", "none"])
+    order = Window.partitionBy(*place).orderBy("key", "size", F.xxhash64("row"))
+    x = x.withColumn("own", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    x = x.join(offsets, place)
     start = F.col("offset") + F.coalesce(F.col("own"), F.lit(0))
     half = F.col("size") / 2
     first, second = start + half <= F.col("target"), F.col("source_size") + start + half <= F.col("target")
