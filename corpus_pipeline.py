@@ -28,15 +28,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts that line dedup has emptied are no copies of each other's content, but link like other texts without words.
     """
-    near = simhash.near_duplicates(docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("key")))
-    ids = near.select("row.doc_id", "row.key", "component_id", "fp")
-    first = ids.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("k")
-    )
-    kept = first.select(F.col("k.doc_id").alias("id"), F.col("k.key").alias("key"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("key"))
-    found = rows.alias("r").join(kept.alias("k"), F.expr("r.id <=> k.id AND r.key = k.key"), "left_semi")
-    return found.groupBy("id", "key").agg(F.first("row").alias("row")).select("row.*")
+    marks = [F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g")]  # 96 bits of a whole row
+    near = simhash.near_duplicates(docs.select("doc_id", "text", *marks)).select("row.*", "component_id", "fp")
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
+    first = near.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g")).alias("k"))
+    kept = first.select("k.h", "k.g")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *marks)
+    return rows.join(kept, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("row").alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
