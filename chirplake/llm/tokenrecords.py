@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from chirplake.llm.shared import new_path, pieces
 
 END_ID = 2
-WORDS_HELD, STEMS_AT_ONCE, DOCS_AT_ONCE = 200_000, 2000, 500
+WORDS_HELD, STEMS_AT_ONCE, DOCS_AT_ONCE = 600_000, 2000, 500
 MARKS = ".,;:!?%$&#*"
 INDEX = "shard int, path string, offset long, length long, before long, n_tokens long"
 
@@ -75,8 +75,9 @@ class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins what white space parts, each word encoded once.
 
     Words that were seen lately are held, at most WORDS_HELD of them, and so are their stems, without the marks at their
-    end, which the tokenizer parts as well. Stems that aren't held go to the tokenizer as one text, apart by a special
-    token, which gives them fewer objects to make than texts of their own would.
+    end, which the tokenizer parts as well. Stems of letters a-z, which its normaliser and pre-tokeniser leave as they
+    are, go to its model; the others go to it as one text, apart by a special token, which makes fewer objects than texts
+    of their own would.
     """
 
     def __init__(self, path: str):
@@ -86,6 +87,11 @@ class WordEncoder:
         self.cut_id, self.cut = max(special) if special else (-1, "")
         self.held: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        tries = ("a", "the", "recordings", "qzxjv", "internationalisation")
+        self.direct = all(self.by_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in tries)
+
+    def by_model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -98,6 +104,11 @@ class WordEncoder:
         tails = {w: w[len(s) :] for w, s in parts.items()}
         parts = {w: plain_case(s) for w, s in parts.items()}
         new = sorted({*parts.values(), *tails.values()}.difference(stems))
+        if self.direct:
+            tokenize = self.tokenizer.model.tokenize
+            for w in [w for w in new if w.isascii() and w.isalpha() and w.islower()]:
+                stems[w] = np.array([t.id for t in tokenize(w)], "<u4").tobytes()
+            new = [w for w in new if w not in stems]
         plain = [w for w in new if self.cut and not any(c in w for c in self.specials)]
         for part in pieces(plain, STEMS_AT_ONCE):
             self.encode_joined(part)
