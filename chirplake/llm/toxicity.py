@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), "toxic"))  # toxic + clean rows at most
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").repartition(48, "id")
-    sample = saved(without_copies(sample), "toxicity-sample")
+    sample = saved(without_copies(saved(sample, "toxicity-labelled")).repartition(48, "id"), "toxicity-sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
