@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Characters of words in one suffix array, words held, documents encoded at once.
-BATCH_CHARS, WORDS_HELD, DOCS_AT_ONCE = 250_000, 500_000, 500
+#: Characters of words in one suffix array; words and pairs of pieces held; documents encoded at once.
+BATCH_CHARS, WORDS_HELD, PAIRS_HELD, DOCS_AT_ONCE = 120_000, 250_000, 500_000, 500
 NEVER = 1 << 60
 
 
@@ -98,7 +98,7 @@ class Pieces:
             for x, taken_x in self.right[a]
             for y, taken_y in self.left[b]
         )
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > PAIRS_HELD:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok
