@@ -1,0 +1,175 @@
+"""Set-similarity join: documents whose sets of word shingles have Jaccard similarity 0.8 or more, exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from chirplake.llm.shared import Forest, by_cell, components, runs, saved
+
+SHINGLE, SEED = 5, 42
+#: Similarity as a fraction, so that all bounds are whole numbers.
+UPPER, LOWER = 4, 5
+#: Distinct texts that common shingles are looked for in, about, and the texts of them that make a shingle common.
+SAMPLE, COMMON = 4000, 3
+#: Bits of the parity sketch of a set, as 64-bit words.
+SKETCH = 16
+BLOCK = 1 << 15
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; none if it has no words.
+
+    Words are those of :func:`simhash.fingerprint`. Fewer words than a shingle has make one.
+    """
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(SHINGLE, len(found)) - 1
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(line[a:b], SEED) for a, b in zip(starts[: len(found) - k].tolist(), ends[k:].tolist(), strict=True)], np.uint64))
+
+
+def head(n: int) -> int:
+    """So many first shingles, in any order that holds for all sets, of a set of n: similar sets share one of theirs."""
+    return n - -(-UPPER * n // LOWER) + 1 if n else 0
+
+
+def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are common in a bounded sample of the texts, and how common they are.
+
+    They only decide which shingles come last in the order of heads; any order finds the same pairs.
+    """
+    share = max(1, docs.count() // SAMPLE)
+    texts = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], names=["h"])
+
+    found = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toArrow()
+    hashes, counts = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def shingled(docs: DataFrame, text: str, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(row, node, n, head, sketch, set): each row of ``docs`` as a struct without its text, a hash of its set of shingles,
+    their number, the first of them with common ones last, the set's sketch, and the whole set, sorted, as bytes."""
+    hashes, counts = common
+
+    def first(found: np.ndarray) -> np.ndarray:
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+            rank = np.where(hashes[at] == found, counts[at], 0)
+            found = found[np.argsort(rank, kind="stable")]
+        return found[: head(len(found))].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            data = [s.tobytes() for s in sets]
+            nodes = np.array([xxhash.xxh64_intdigest(b, SEED) for b in data], np.uint64).view(np.int64)
+            heads = pa.array([first(s) for s in sets], pa.list_(pa.int64()))
+            n, sketches = pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            columns = {"row": batch.column("row"), "node": pa.array(nodes), "n": n, "head": heads, "sketch": sketches, "set": pa.array(data, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text])
+    rows = docs.select(rest.alias("row"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, node long, n int, head array<long>, sketch binary, set binary")
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes over buckets: two sketches never differ in more bits than their sets in hashes."""
+    odd = np.bincount((found % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(a) + len(b) - len(np.union1d(a, b))
+    return (UPPER + LOWER) * shared >= UPPER * (len(a) + len(b))
+
+
+def candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows that the bounds on sizes and sketches leave a partner in their cell; their whole sets are worth a look."""
+    rows = rows.sort_values(["cell", "lo", "hi", "n", "node"], kind="stable")
+    cell, lo, hi, part, n = (rows[c].to_numpy() for c in ("cell", "lo", "hi", "part", "n"))
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH)
+    keep = np.zeros(len(rows), bool)
+    for start, end in zip(*runs(cell, lo, hi), strict=True):
+        for i in range(start, end - 1):
+            last = i + 1 + int(np.searchsorted(n[i + 1 : end], LOWER * n[i] // UPPER, side="right"))
+            if last > i + 1:
+                apart = np.bitwise_count(sketches[i + 1 : last] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+                near = (UPPER + LOWER) * apart <= (LOWER - UPPER) * (n[i + 1 : last] + n[i])
+                if lo[start] != hi[start]:
+                    near &= part[i + 1 : last] != part[i]
+                keep[i + 1 : last] |= near
+                keep[i] |= near.any()
+    return rows.loc[keep, ["cell", "lo", "hi", "part", "node", "n"]]
+
+
+def search(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links that span what similar sets connect among the rows of each cell."""
+    rows = rows.sort_values(["cell", "lo", "hi", "n", "node"], kind="stable")
+    cell, lo, hi, part, n = (rows[c].to_numpy() for c in ("cell", "lo", "hi", "part", "n"))
+    nodes, one, at = np.unique(rows["node"].to_numpy(), return_index=True, return_inverse=True)
+    data = rows["set"].to_numpy()
+    sets = [np.frombuffer(data[i], np.uint64) for i in one]
+    sketches = np.array([sketch(s) for s in sets], np.uint64).reshape(-1, SKETCH)
+    forest = Forest(len(nodes))
+    for start, end in zip(*runs(cell, lo, hi), strict=True):
+        whole = lo[start] == hi[start]
+        for i in range(start, end - 1):
+            last = i + 1 + int(np.searchsorted(n[i + 1 : end], LOWER * n[i] // UPPER, side="right"))
+            for begin in range(i + 1, last, BLOCK):
+                j = np.arange(begin, min(begin + BLOCK, last))
+                fit = forest.label[at[j]] != forest.label[at[i]]
+                if not whole:
+                    fit &= part[j] != part[i]
+                j = j[fit]
+                apart = np.bitwise_count(sketches[at[j]] ^ sketches[at[i]]).sum(axis=1, dtype=np.int64)
+                for k in at[j[(UPPER + LOWER) * apart <= (LOWER - UPPER) * (n[j] + n[i])]].tolist():
+                    x, y = forest.label[at[i]], forest.label[k]
+                    if x != y and similar(sets[at[i]], sets[k]):
+                        forest.label[forest.label == max(x, y)] = min(x, y)
+    a, b = forest.links()
+    return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
+
+
+def similar_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, root): rows of ``docs`` as structs without their text, with the group that they are in.
+
+    Documents link where the Jaccard similarity of their sets of five-word shingles is 0.8 or more; a group is what links
+    connect, and ``root`` a hash that its rows share, whatever their ids. No pair is missed: in any order of the shingles,
+    two such sets share one of the first fifth of either (:func:`head`), so sets meet in a cell for each shingle of their
+    head, and pairs of a cell are checked on the whole sets, after exact bounds on sizes and parity sketches. Equal sets are
+    one node. Cells with the same nodes are one cell. Nodes of a cell that links connect already aren't compared again.
+
+    Texts without words, null among them, have equal sets. Repeated rows come back as often as they come.
+    """
+    marked = saved(shingled(docs, text, common_shingles(docs, text)), "setjoin")
+    heads = marked.groupBy("node").agg(F.first("head").alias("head"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    met = heads.select(F.explode("head").alias("cell"), "node")
+    cells = met.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s")).where("c > 1")
+    cells = cells.groupBy("c", "s").agg(F.min("cell").alias("cell")).select("cell")
+    rows = saved(met.join(cells, "cell"), "setjoin-cells")
+    sized = heads.select("node", "n", "sketch")
+    pairs = by_cell(rows.join(sized, "node"), candidates, "cell long, lo int, hi int, part int, node long, n int", max(64, rows.count() // 40_000))
+    pairs = saved(pairs, "setjoin-candidates")
+    some = marked.join(pairs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+    tasks = max(64, pairs.count() // 8000)
+    dealt = pairs.join(some, "node").withColumn("bin", F.pmod(F.xxhash64("cell", "lo", "hi"), F.lit(tasks)).cast("int"))
+    roots = components(dealt.groupBy("bin").applyInPandas(search, "a long, b long"))
+    return marked.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))

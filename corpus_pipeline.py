@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import linededup, mixing, shared, simhash, suffixpieces, toxicity
+from chirplake.llm import linededup, mixing, setjoin, shared, suffixpieces, toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id, of rows that share it the first by text.
 
+    Near duplicates have five-word shingles of Jaccard similarity 0.8 or more, or are linked by rows between them that do.
     Texts that line dedup has emptied are no copies of each other's content, but link like other texts without words.
     """
     marks = [F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g")]  # 96 bits of a whole row
-    near = simhash.near_duplicates(docs.select("doc_id", "text", *marks)).select("row.*", "component_id", "fp")
-    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")]
-    first = near.groupBy(*group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g")).alias("k"))
+    near = setjoin.similar_documents(docs.select("doc_id", "text", *marks)).select("row.*", "root")
+    first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g")).alias("k"))
     kept = first.select("k.h", "k.g")
     rows = docs.select(F.struct(*docs.columns).alias("row"), *marks)
     return rows.join(kept, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("row").alias("row")).select("row.*")

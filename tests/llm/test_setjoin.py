@@ -1,0 +1,87 @@
+"""The pipeline's near dedup: Jaccard similarity 0.8 of five-word shingles, against brute force."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from chirplake.llm import setjoin, shared, simhash
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_set(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))) if words else frozenset()
+
+
+def brute(texts):
+    """The first of each group of texts, by its place."""
+    sets, group = [plain_set(t) for t in texts], list(range(len(texts)))
+    links = [(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0]
+    while True:
+        before = group.copy()
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            return group
+
+
+def copies(seed):
+    """Texts with near copies on both sides of the similarity, some around a passage that many have."""
+    rng = random.Random(seed)
+    words, passage = [f"w{i}" for i in range(400)], [f"p{i}" for i in range(30)]
+    texts = ["", " ", "one two", "One  two", "one two three"]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.choice([6, 40, 150, 400])) + rng.choice([[], passage])
+        for _ in range(rng.randint(1, 7)):
+            own = base.copy()
+            for _ in range(rng.randint(0, max(1, len(own) // 40))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    return texts
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], COLUMNS).repartition(5)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stage_keeps_one_of_each_group(spark, seed):
+    texts = copies(seed)
+    kept = corpus_pipeline.keep_one(spark, documents(spark, enumerate(texts)), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute(texts)))
+
+
+def test_far_fingerprints_of_similar_texts(spark):
+    """Similar texts whose fingerprints differ in more than four bits are near duplicates too."""
+    rng = random.Random(0)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    texts = [" ".join(base)] + [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (20, 60)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert all((prints[0] ^ p).bit_count() > 4 for p in prints[1:])
+    assert [r.doc_id for r in corpus_pipeline.keep_one(spark, documents(spark, enumerate(texts)), "").collect()] == [0]
+
+
+def test_cells_in_chunks(spark, monkeypatch):
+    texts = copies(3)
+    monkeypatch.setattr(setjoin, "by_cell", lambda *a: shared.by_cell(*a, chunk=3))
+    got = {}
+    for r in setjoin.similar_documents(documents(spark, enumerate(texts))).select("row.doc_id", "root").collect():
+        got.setdefault(r.root, []).append(r.doc_id)
+    want = {}
+    for i, g in enumerate(brute(texts)):
+        want.setdefault(g, []).append(i)
+    assert sorted(map(sorted, got.values())) == sorted(want.values())
+
+
+def test_no_rows(spark):
+    assert corpus_pipeline.keep_one(spark, documents(spark, [(1, "")]).limit(0), "").count() == 0
+
+
+def test_stage_on_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    want = [rows[i][0] for i in sorted(set(brute([t for _, t in rows])))]
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one(spark, docs, "").collect()) == want
