@@ -87,7 +87,7 @@ class Lines(HTMLParser):
         elif not out and tag not in ("html", "body", "article", "main"):
             named = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in PARTS.findall(v)}
             out = bool(named & MARKS) or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        if tag in REGION:
+        if tag in REGION and not main:  # an article is one region, whatever is inside
             self.regions += 1
             region = self.regions
         self.links += tag == "a"
@@ -122,7 +122,7 @@ def content(lines: list[tuple[str, int, int, int, bool]]) -> list[str]:
     """Lines of the content regions: those that hold a line whose smoothed text-to-tag ratio is over the threshold.
 
     A line's ratio is its characters outside links over its tags, weighed up in an article or main element. Where a page
-    has such elements, no region outside them can be over the threshold.
+    has such elements, no region outside them can be over the threshold, and each is one region with all that it holds.
     """
     if not lines:
         return []

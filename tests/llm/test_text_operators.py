@@ -93,6 +93,16 @@ def test_main_text():
     assert htmltext.main_text("<article><p>x<article><div><p>unclosed <!-- c --> y") == "x unclosed y"
 
 
+@pytest.mark.parametrize("inside", ["<table><tr>%s</table>", "<div>%s</div>", "<section><div>%s</div></section>", "<article>%s</article>"])
+def test_short_blocks_of_an_article_stay(inside):
+    long = "".join(f"<p>{c * 500}</p>" for c in "abc")
+    cells = "".join(f"<td>{i}.</td>" for i in range(8)) + "<div><a href=a>link</a></div>"
+    for tag in ("article", "main"):
+        text = htmltext.main_text(f"<body><div>menu</div><{tag}>{long}{inside % cells}{long}</{tag}></body>")
+        want = [*(c * 500 for c in "abc"), *(f"{i}." for i in range(8)), "link", *(c * 500 for c in "abc")]
+        assert text == " ".join(want)
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, None)], "page_id long, html string, row string")
     got = htmltext.extract(df).select("row.page_id", "row.row", "text").collect()
