@@ -29,9 +29,21 @@ MARKS = {
     "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share",
     "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Marks that an article below doesn't lift: it is a teaser, an advert or a comment. A main element lifts all but comments.
+FIRM = {
+    "ad", "ads", "advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo",
+    "disqus", "footer", "menu", "nav", "navbar", "navigation", "promo", "promotion", "related", "replies", "respond", "sidebar", "sponsor",
+    "sponsored",
+}
+COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
+#: Names with one of these words say how a page is laid out, not what the element is.
+MODIFIERS = {"has", "have", "hide", "hides", "no", "not", "show", "shows", "with", "without"}
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li", "summary", "figcaption"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
+#: Why an element is left out: by a form or a mark, a firm mark, or for good.
+SOFT, NAMED, GONE = 1, 2, 3
+
 SIGMA, RADIUS = 1.0, 3
 #: A line belongs to a cluster if its smoothed ratio is over this share of the mean.
 SHARE = 0.5
@@ -39,19 +51,25 @@ SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def names(attrs: list[tuple[str, str | None]]) -> set[str]:
+    """Words in class, id and role, without those of names that have a modifier (``with-sidebar``, ``no-sidebar``)."""
+    split = [{w.lower() for w in PARTS.findall(name)} for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()]
+    return {w for words in split if not words & MODIFIERS for w in words}
+
+
 class Lines(HTMLParser):
     """Parser events as they stream in, to lines of text: (text, tags, linked characters, region, main)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, left out, region, main
+        self.open: list[tuple[str, int, int, bool]] = []  # tag, left out, region, main
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.regions = 0
 
     def end_line(self) -> None:
         if line := SPACE.sub(" ", "".join(self.text)).strip():
-            _, out, region, main = self.open[-1] if self.open else ("", False, 0, False)
+            _, _, region, main = self.open[-1] if self.open else ("", 0, 0, False)
             self.lines.append((line, self.tags, self.linked, region, main))
         self.text, self.tags, self.linked = [], 0, 0
 
@@ -81,12 +99,20 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        _, out, region, main = self.open[-1] if self.open else ("", False, 0, False)
-        if tag in NEVER or (tag == "header" and not main):
-            out = True
-        elif not out and tag not in ("html", "body", "article", "main"):
-            named = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in PARTS.findall(v)}
-            out = bool(named & MARKS) or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+        _, out, region, main = self.open[-1] if self.open else ("", 0, 0, False)
+        if tag == "form":  # one inside an article is part of it, and no article inside that lifts it
+            out = max(out, GONE if main else SOFT)
+        elif tag in NEVER or (tag == "header" and not main):
+            out = GONE
+        elif tag in ("article", "main"):
+            if not main and out <= (NAMED if tag == "main" else SOFT):
+                out = 0
+        elif out < GONE and tag not in ("html", "body"):
+            if (named := names(attrs)) & MARKS:
+                firm = GONE if main or named & COMMENTS or tag not in ("div", "section") else NAMED if named & FIRM else SOFT
+                out = max(out, firm)
+            if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
+                out = GONE
         if tag in REGION and not main:  # an article is one region, whatever is inside
             self.regions += 1
             region = self.regions
@@ -147,7 +173,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """(row, text): each row of ``pages`` as a struct without its html, and the main text of its whole page.
 
     Elements of navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and comments
-    never give lines. Of the other lines, the regions around clusters of high text-to-tag ratio are the main text, whole.
+    never give lines. A form, or a div or section that is marked by name, doesn't hide an article below it unless its name
+    is one of navigation, sidebars, footers, adverts or comments; a main element is only hidden by comments, or by tag. Of the other lines, the regions around clusters of high text-to-tag ratio are the main text, whole.
     A null or empty page gives an empty text; text without any markup is one line and stays. Unclosed and stray tags
     close as browsers would for paragraphs, list items and cells. Repeated rows stay as they are.
     """

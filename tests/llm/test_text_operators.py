@@ -103,6 +103,26 @@ def test_short_blocks_of_an_article_stay(inside):
         assert text == " ".join(want)
 
 
+ARTICLE = "<article><p>The text of the article is long enough.</p></article>"
+WRAPPERS = ["<div class='page with-sidebar'>%s</div>", "<div class='no-sidebar'>%s</div>", "<div class=hasSidebar>%s</div>", "<form id=f>%s</form>", "<div class='widget'>%s</div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_of_a_page_do_not_hide_it(wrapper):
+    assert htmltext.main_text(f"<body>{wrapper % (ARTICLE + '<div class=sidebar>Aside.</div>')}</body>") == "The text of the article is long enough."
+
+
+@pytest.mark.parametrize("wrapper", ["<aside>%s</aside>", "<nav>%s</nav>", "<footer>%s</footer>", "<div class=comments>%s</div>", "<div class='main-nav'>%s</div>", "<div id=sidebar>%s</div>", "<div class=ad>%s</div>"])
+def test_articles_in_other_parts_stay_out(wrapper):
+    other = wrapper % ARTICLE.replace("article is", "teaser is")
+    assert htmltext.main_text(f"<body>{ARTICLE}{other}</body>") == "The text of the article is long enough."
+    assert htmltext.main_text(f"<body>{other}</body>") == ""
+
+
+def test_main_in_a_marked_wrapper():
+    assert htmltext.main_text(f"<div class='layout sidebar-left'><div class=sidebar>Aside.</div><main>{ARTICLE}<form>Name</form></main></div>") == "The text of the article is long enough."
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, None)], "page_id long, html string, row string")
     got = htmltext.extract(df).select("row.page_id", "row.row", "text").collect()
