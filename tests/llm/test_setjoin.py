@@ -76,6 +76,16 @@ def test_cells_in_chunks(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(want.values())
 
 
+def test_groups_without_ids(spark):
+    """One row stays of near copies that all have null ids, though their fingerprints differ."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(1500)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in (100, 700, 1300)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert len(set(prints)) == 3 and max((prints[0] ^ p).bit_count() for p in prints) <= 4
+    assert corpus_pipeline.keep_one(spark, documents(spark, [(None, t) for t in texts]), "").count() == 1
+
+
 def test_no_rows(spark):
     assert corpus_pipeline.keep_one(spark, documents(spark, [(1, "")]).limit(0), "").count() == 0
 
