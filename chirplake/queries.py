@@ -384,6 +384,12 @@ def dense_ids(events):
     return numbered.agg(F.count(F.lit(1)).alias("n"), (F.min("id") - 1).alias("first"), (F.max("id") - 1).alias("last"))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS id FROM events")
+def dense_ids_rows(events):
+    """Each row's id, so that gaps, repeats and a wrong order show."""
+    return ingest.dense_ids(events.select("event_id"), "id", ["event_id"]).select("event_id", "id")
+
+
 @query(f"SELECT {CELL} AS \"timeCell\", user_id, count(*) AS count FROM events GROUP BY 1, 2")
 def soundscape_groups(events):
     """Groups and cells of a fragment through the soundscape's nodes."""
