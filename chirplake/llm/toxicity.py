@@ -51,7 +51,7 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weighted words (``"word "``) and stems (``"stem"``), exceptions (longer words or phrases), and the calibration.
+    """Weighted words (``"word "``) and stems (``"stem"``), exceptions (longer words; no phrases are learned), and the calibration.
 
     ``rate`` is the weight that a text's matches add up to, per hundred words; the score is logistic in log(1 + rate).
     """
