@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +14,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Characters of words in one suffix array; words and pairs of pieces held; documents encoded at once.
-BATCH_CHARS, WORDS_HELD, PAIRS_HELD, DOCS_AT_ONCE = 120_000, 250_000, 500_000, 500
+#: Characters of texts whose words are indexed together; places of the table of pairs of pieces; characters of a part
+#: that are relaxed side by side with other parts.
+BATCH_CHARS, PAIRS_HELD, DEEP = 2_000_000, 1 << 22, 48
 NEVER = 1 << 60
+#: Ends of a path that no piece reaches, and those where anything may follow.
+NOWHERE, FRESH = -1, -2
+#: What stands between words: a number above all characters.
+BETWEEN = 0x110000
+
+
+def fields(message: bytes) -> dict[int, int | bytes]:
+    """Numbers and bytes of a protocol buffer message by field, the last of each."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            out[key >> 3] = message[at : at + size]
+            at += size
+    return out
+
+
+def check_kind(message: bytes) -> None:
+    """An error unless a model is BPE and leaves texts as they are but for blanks and the one that it puts first."""
+    spec = fields(message)
+    trainer, normal = fields(spec.get(2, b"")), fields(spec.get(3, b""))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("the model must be BPE")
+    if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model must put a blank first and change nothing else")
 
 
 class Pieces:
@@ -29,6 +68,7 @@ class Pieces:
 
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_kind(model.serialized_model_proto())
         n = model.get_piece_size()
         self.piece = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(n)]
@@ -36,13 +76,13 @@ class Pieces:
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if model.is_byte(i)}
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
         inner = [p for p in self.ids if SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE))]
-        if len(self.byte) != 256 or inner:
-            raise ValueError("the model must have byte fallback and no pieces across spaces")
+        known = {c for p in self.ids for c in p}
+        if len(self.byte) != 256 or inner or not known <= self.ids.keys():
+            raise ValueError("the model must have byte fallback, a piece for each character of a piece, and no pieces across spaces")
         # rank: order of merges; pieces of blanks only share the last one and are made afterwards
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-model.get_score(self.ids[p]), self.ids[p]))
         self.rank = {p: r for r, p in enumerate(order) if p.strip(SPACE)}
         self.blanks = {len(p) for p in self.ids if not p.strip(SPACE)}
-        self.known = "".join(sorted({c for p in self.ids for c in p}))
         self.left: dict[int, list[tuple[str, int]]] = {}
         self.right: dict[int, list[tuple[str, int]]] = {}
         usable = []
@@ -58,13 +98,11 @@ class Pieces:
         self.codes = np.zeros((len(usable), self.longest), np.int64)
         for r, i in enumerate(self.match_ids):
             self.codes[r, : self.lengths[r]] = np.frombuffer(self.piece[i].encode("utf-32-le"), np.uint32)
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
-        self.adjacent = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
-        self.blank_runs: dict[int, list[int]] = {}
-        odd = re.escape("\n")
-        self.segment = re.compile(f"{odd}|{SPACE}*[^{SPACE}{odd}]+|{SPACE}+") if "\n" not in self.known else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.pair_key, self.pair_fits = np.full(PAIRS_HELD, -1, np.int64), np.zeros(PAIRS_HELD, bool)
+        self.single = np.array(sorted(map(ord, known)), np.int64)
+        self.adjacent = np.array(sorted({ord(x) << 21 | ord(y) for p in self.ids for x, y in zip(p, p[1:], strict=False)}), np.int64)
+        odd = "" if "\n" in known else "\n"  # a character that is no piece is a segment of its own
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}{odd}]+|{SPACE}+" + (f"|{odd}" if odd else ""))
 
     def merge(self, text: str) -> list:
         """What the merges make of a text: (piece, merged from) trees."""
@@ -89,64 +127,85 @@ class Pieces:
             tree = tree[1][side]
 
     def fit(self, a: int, b: int) -> bool:
-        """Whether the merges leave piece b after piece a as they are; kept for the next time."""
+        """Whether the merges leave piece b after piece a as they are."""
+        rank = self.rank.get
+        for x, taken_x in self.right[a]:
+            for y, taken_y in self.left[b]:
+                m = rank(x + y, NEVER)
+                if m < taken_x and m <= taken_y and m < NEVER:
+                    return False
+        return True
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`fit` of many pairs; a table of fixed size keeps the last ones."""
         key = a << 32 | b
-        if (known := self.pairs.get(key)) is not None:
-            return known
-        ok = all(
-            not (m := self.rank.get(x + y, NEVER)) < NEVER or m >= taken_x or m > taken_y
-            for x, taken_x in self.right[a]
-            for y, taken_y in self.left[b]
-        )
-        if len(self.pairs) > PAIRS_HELD:
-            self.pairs.clear()
-        self.pairs[key] = ok
+        place = (key * -7046029254386353131 >> 40) & (PAIRS_HELD - 1)
+        ok = self.pair_fits[place]
+        unknown = np.flatnonzero(self.pair_key[place] != key)
+        if len(unknown):
+            new, first, at = np.unique(key[unknown], return_index=True, return_inverse=True)
+            found = np.array([self.fit(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            ok[unknown] = found[at]
+            where = place[unknown][first]
+            self.pair_key[where], self.pair_fits[where] = new, found
+            clash = self.pair_key[where] != new  # two new pairs at one place: the place keeps one of them, with its own answer
+            self.pair_key[where[clash]] = -1
         return ok
 
     def blank_run(self, n: int) -> list[int]:
         """Ids of n blanks that no word takes: the leftmost two that make a piece merge, until none do."""
-        if n not in self.blank_runs:
-            done: list[int] = []
-            parts = [1] * n
-            while parts:
-                k = next((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.blanks), None)
-                if k is None:
-                    done += parts
-                    break
-                parts[k : k + 2] = [parts[k] + parts[k + 1]]
-                while len(parts) > 1 and parts[0] == max(self.blanks, default=1):
-                    done.append(parts.pop(0))
-            self.blank_runs[n] = [self.ids.get(SPACE * x, 0) for x in done]
-        return self.blank_runs[n]
+        parts: list[int] = []
+        for _ in range(n):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in self.blanks:
+                parts[-2:] = [parts[-2] + parts[-1]]
+        return [self.ids[SPACE * x] for x in parts]
 
     # the suffix array and what it finds
 
-    def suffixes(self, text: np.ndarray) -> np.ndarray:
-        """Places of a text in order of the next ``longest`` characters, by doubling."""
-        _, rank = np.unique(text, return_inverse=True)
-        step = 1
+    def suffixes(self, digits: np.ndarray, bits: int, taken: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, keys): places of a text in order of the next ``longest`` characters, and the numbers that the first
+        ``taken`` characters of each make; after those by doubling."""
+        key = digits
+        for step in range(1, taken):
+            after = np.zeros(len(digits), np.int64)
+            after[:-step] = digits[step:]
+            key = key << bits | after
+        rank, step = key, taken
         while True:
-            after = np.zeros(len(text), np.int64)
-            after[:-step] = rank[step:] + 1
-            key = rank.astype(np.int64) * (len(text) + 2) + after
-            order = np.argsort(key, kind="stable")
-            step *= 2
+            order = np.argsort(rank)
             if step >= self.longest:
-                return order
-            ordered = key[order]
-            rank = np.empty(len(text), np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+                return order, key[order]
+            ordered = rank[order]
+            rank = np.empty(len(digits), np.int64)
+            rank[order] = np.concatenate(([1], 1 + np.cumsum(ordered[1:] != ordered[:-1])))
+            after = np.zeros(len(digits), np.int64)
+            after[:-step] = rank[step:]
+            rank = rank * (len(digits) + 2) + after
+            step *= 2
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, id) of every match of every piece, in order of start: binary searches, a character at a time."""
-        array = self.suffixes(text)
+        """(start, length, id) of every match of every piece: binary searches for as many characters as a number holds,
+        then a character at a time."""
+        alphabet = np.unique(text)
+        bits = len(alphabet).bit_length()
+        taken = min(62 // bits, self.longest)
+        array, key = self.suffixes(np.searchsorted(alphabet, text).astype(np.int64) + 1, bits, taken)
+        inside = np.arange(self.longest) < self.lengths[:, None]
+        some = np.flatnonzero((held(alphabet, self.codes) | ~inside).all(axis=1))
+        lengths, codes = self.lengths[some], self.codes[some]
+        digit = (np.searchsorted(alphabet, codes) + 1) * inside[some]
+        low = np.zeros(len(some), np.int64)
+        for d in range(taken):
+            low = low << bits | digit[:, d]
+        width = np.left_shift(1, bits * np.maximum(taken - lengths, 0))
+        low, high = np.searchsorted(key, low), np.searchsorted(key, low + width)
         padded = np.concatenate((text, np.zeros(self.longest, np.int64)))
-        low, high = np.zeros(len(self.match_ids), np.int64), np.full(len(self.match_ids), len(text), np.int64)
-        for depth in range(self.longest):
-            live = np.flatnonzero((self.lengths > depth) & (low < high))
+        for depth in range(taken, self.longest):
+            live = np.flatnonzero((lengths > depth) & (low < high))
             if not len(live):
                 break
-            want = self.codes[live, depth]
+            want = codes[live, depth]
             bounds = []
             for strict in (False, True):
                 a, b = low[live].copy(), high[live].copy()
@@ -158,102 +217,125 @@ class Pieces:
                     b = np.where(open_ & ~less, mid, b)
                 bounds.append(a)
             low[live], high[live] = bounds
-        count = np.maximum(high - low, 0)
-        which = np.repeat(np.arange(len(count)), count)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
-        start = array[at]
-        order = np.argsort(start, kind="stable")
-        which = which[order]
-        return start[order], self.lengths[which], self.match_ids[which]
-
-    def encode_words(self, words: list[str]) -> None:
-        """Hold the ids of words (at most one leading blank each): index their concatenation, match, sort, relax."""
+        found = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(found)), found)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(found) - found, found) + low[which]
+        return array[at], lengths[which], self.match_ids[some][which]
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of words with at most one leading blank: index their concatenation, match, sort, relax.
+
+        A part runs up to a character that no piece has after the one before it, so that no merge crosses. Relaxation goes
+        through all parts side by side, one character at a time; what is left of long parts goes through alone.
+        """
         joined = "\0" + "\0".join(words) + "\0"
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        start, length, piece = self.occurrences(text)
+        between = np.cumsum([0, *(len(w) + 1 for w in words)])
+        text[between] = BETWEEN
         n = len(text)
-        last: list[int] = [-1] * (n + 1)  # the piece that ends at a place; -2 where a word starts, -3 after bytes
-        back: list[int] = [0] * (n + 1)
-        starts = np.cumsum([1] + [len(w) + 1 for w in words])[:-1].tolist()
-        single = np.zeros(n, bool)
-        single[start[length == 1]] = True
-        lone = set(np.flatnonzero(~single).tolist())  # characters that are no piece: bytes, which nothing merges with
-        known, fit = self.pairs.get, self.fit
-        begins = np.searchsorted(start, np.arange(n + 1)).tolist()
-        pieces, ends = piece.tolist(), (start + length).tolist()
-        for s, word in zip(starts, words, strict=True):
-            last[s] = -2
-            for at in range(s, s + len(word)):
-                prev = last[at]
-                if prev == -1:
-                    continue
-                if at in lone:
-                    last[at + 1], back[at + 1] = -3, at
-                elif prev < 0:
-                    for e in range(begins[at], begins[at + 1]):
-                        last[ends[e]], back[ends[e]] = pieces[e], at
-                else:
-                    prev <<= 32
-                    for e in range(begins[at], begins[at + 1]):
-                        ok = known(prev | pieces[e])
-                        if ok or (ok is None and fit(prev >> 32, pieces[e])):
-                            last[ends[e]], back[ends[e]] = pieces[e], at
-            ids: list[int] = []
-            at = s + len(word)
-            while at > s:
-                if last[at] == -3:
-                    ids += [self.byte[b] for b in reversed(word[back[at] - s].encode("utf-8", "replace"))]
+        begin, length, piece = self.occurrences(text)
+        stop = begin + length
+        lone = ~held(self.single, text)
+        cut = np.ones(n + 1, bool)
+        cut[1:-1] = ~held(self.adjacent, text[:-1] << 21 | text[1:])
+        starts = np.flatnonzero(cut[:-1])
+        offset = np.arange(n) - starts[np.cumsum(cut[:-1]) - 1]
+        last, back = np.full(n + 1, NOWHERE), np.zeros(n + 1, np.int64)
+        last[starts] = FRESH
+        live = ~cut  # a part's end is the next one's start, where anything may follow: its last piece is kept apart
+        final, final_back = np.full(n + 1, NOWHERE), np.zeros(n + 1, np.int64)
+        place = np.minimum(offset[begin], DEEP).astype(np.uint8)  # edges by place in their part
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(DEEP + 1))
+        for k in range(DEEP):
+            edges = order[bounds[k] : bounds[k + 1]]
+            if not len(edges):
+                break
+            before = last[begin[edges]]
+            some = before != NOWHERE
+            edges, before = edges[some], before[some]
+            ok = before == FRESH
+            ask = np.flatnonzero(~ok)
+            ok[ask] = self.fits(before[ask], piece[edges[ask]])
+            edges = edges[ok]
+            inside = live[stop[edges]]
+            x, y = edges[inside], edges[~inside]
+            last[stop[x]], back[stop[x]] = piece[x], begin[x]
+            final[stop[y]], final_back[stop[y]] = piece[y], begin[y]
+        deep = order[bounds[DEEP] :]
+        for e in deep[np.argsort(begin[deep])].tolist():
+            a, b, p = int(begin[e]), int(stop[e]), int(piece[e])
+            before = int(last[a])
+            if before != NOWHERE and (before == FRESH or self.fits(np.array([before]), np.array([p]))[0]):
+                if live[b]:
+                    last[b], back[b] = p, a
                 else:
-                    ids.append(last[at])
-                at = back[at]
-            self.words[word] = struct.pack(f"<{len(ids)}I", *reversed(ids))
+                    final[b], final_back[b] = p, a
+        chosen = np.full(n, NOWHERE)  # the piece of the way that starts at a place
+        ends = np.flatnonzero(final != NOWHERE)
+        at, p = final_back[ends], final[ends]
+        while len(at):
+            chosen[at] = p
+            more = at[last[at] != FRESH]
+            at, p = back[more], last[more]
+        return self.flat(text, chosen, lone, between[1:])
+
+    def flat(self, text: np.ndarray, chosen: np.ndarray, lone: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces by place, and bytes for characters that are no piece, as ids in a row, and where each word's end."""
+        lone = np.flatnonzero(lone & (text != BETWEEN))
+        size = (chosen != NOWHERE).astype(np.int64)
+        size[lone] = 1 + (text[lone] > 0x7F) + (text[lone] > 0x7FF) + (text[lone] > 0xFFFF)
+        if len(lone) and ((text[lone] >= 0xD800) & (text[lone] < 0xE000)).any():
+            raise ValueError("a text holds half a surrogate pair")
+        upto = np.cumsum(size)
+        ids = np.zeros(int(upto[-1]), np.int64)
+        some = np.flatnonzero(chosen != NOWHERE)
+        ids[upto[some] - 1] = chosen[some]
+        table = np.array([self.byte[b] for b in range(256)])
+        if len(lone):
+            code = np.frombuffer(text[lone].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            place = np.repeat(upto[lone] - size[lone], size[lone]) + np.arange(len(code)) - np.repeat(np.cumsum(size[lone]) - size[lone], size[lone])
+            ids[place] = table[code]
+        return ids, upto[ends]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts. Segments that aren't held are cut where no piece has the two characters side by side, so
-        that no merge crosses; each part that isn't held is encoded once."""
+        """Ids of whole texts: their distinct words are indexed together, and each word's ids put where it stands."""
         cut = [self.segment.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.segments) > WORDS_HELD:
-            self.segments.clear()
-        if len(self.words) > WORDS_HELD:
-            self.words.clear()
-        new = sorted(set(chain.from_iterable(cut)).difference(self.segments))
-        parts = {w: self.parts(w) for w in new}
-        size, batch = 0, []
-        for w in sorted(set(chain.from_iterable(x for _, x in parts.values())).difference(self.words)):
-            batch.append(w)
-            size += len(w) + 1
-            if size > BATCH_CHARS:
-                self.encode_words(batch)
-                size, batch = 0, []
-        if batch:
-            self.encode_words(batch)
-        words, blank = self.words, struct.pack("<I", self.ids.get(SPACE, 0))
-        for w, (blanks, x) in parts.items():
-            ids = b"".join([words[part] for part in x])
-            if blanks:  # blanks in a row, of which the word may take the last
-                if ids and ids[:4] != blank:
-                    blanks -= 1
-                elif ids:
-                    ids = ids[4:]
-                ids = np.array(self.blank_run(blanks), "<u4").tobytes() + ids
-            self.segments[w] = ids
-        get = self.segments.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in cut]
-
-    def parts(self, segment: str) -> tuple[int, list[str]]:
-        """Blanks in a row at the start, 0 if fewer than two, and the parts of the rest with one blank at most."""
-        blanks = 0
-        if segment.startswith(SPACE * 2) or segment == SPACE:
-            blanks = len(segment) - len(segment.lstrip(SPACE))
-            segment = segment[blanks - 1 :] if blanks < len(segment) else ""
-        out, start, pairs = [], 0, self.adjacent
-        for i in range(1, len(segment)):
-            if segment[i - 1 : i + 1] not in pairs:
-                out.append(segment[start:i])
-                start = i
-        if segment:
-            out.append(segment[start:])
-        return blanks, out
+        every = list(chain.from_iterable(cut))
+        if not every:
+            return [np.zeros(0, "<u4") for _ in texts]
+        number = dict(zip(dict.fromkeys(every), count(), strict=False))
+        which = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        words = list(number)
+        runs: dict[int, int] = {}  # of blanks in a row the word may take the last
+        for i in [i for i, w in enumerate(words) if w[:2] == SPACE * 2 or w == SPACE]:
+            rest = words[i].lstrip(SPACE)
+            runs[i] = len(words[i]) - len(rest)
+            words[i] = SPACE + rest if rest else ""
+        ids, ends = self.encode_words(words)
+        starts = np.concatenate(([0], ends[:-1]))
+        if runs:
+            ids, starts, ends = self.with_blanks(ids, starts, ends, runs)
+        size = (ends - starts)[which]
+        upto = np.cumsum(size)
+        flat = ids[np.repeat(starts[which] - (upto - size), size) + np.arange(int(upto[-1]))].astype("<u4")
+        bounds = np.concatenate(([0], upto))[np.cumsum([0, *map(len, cut)])].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def with_blanks(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, runs: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that stand after blanks in a row anew, behind all others, with the blanks before them."""
+        extra, starts, ends, blank = [ids], starts.copy(), ends.copy(), self.ids[SPACE]
+        end = len(ids)
+        for i, n in runs.items():
+            own = ids[starts[i] : ends[i]]
+            if len(own) and own[0] == blank:
+                own = own[1:]
+            elif len(own):
+                n -= 1
+            extra += [np.array(self.blank_run(n), np.int64), own]
+            starts[i], end = end, end + len(extra[-2]) + len(own)
+            ends[i] = end
+        return np.concatenate(extra), starts, ends
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the blank that encoding puts first; bytes that are no text become U+FFFD."""
@@ -262,6 +344,11 @@ class Pieces:
         return out.removeprefix(" ")
 
 
+def held(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 _models: dict[str, Pieces] = {}
 
 
@@ -288,18 +375,22 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-                part = batch.slice(i, DOCS_AT_ONCE)
-                texts = part.column("text").to_pylist()
-                ids = pieces.encode(texts)
+            texts = batch.column("text").to_pylist()
+            upto = np.cumsum([0, *(len(t or "") for t in texts)])
+            start = 0
+            while start < len(texts):
+                end = max(start + 1, int(np.searchsorted(upto, upto[start] + BATCH_CHARS, side="right")) - 1)
+                part, rows = texts[start:end], batch.column("row").slice(start, end - start)
+                ids = pieces.encode(part)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+                flat = np.concatenate(ids).astype(np.int32)
                 crc = [zlib.crc32(x.tobytes()) for x in ids]
-                same = [pieces.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                same = [pieces.decode(x) == (t or "") for x, t in zip(ids, part, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
+                    [rows, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
                     names=["row", "ids", "n_ids", "ids_crc32", "same"],
                 )
+                start = end
 
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(0).alias("_"))
     rows = docs.select(rest.alias("row"), F.col(text).alias("text"))

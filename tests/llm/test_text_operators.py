@@ -269,6 +269,43 @@ def test_pieces_are_the_library_s(spark):
     assert [suffixpieces.model(path).decode(m) for m in mine] == [lib.decode(m.tolist()) for m in mine]
 
 
+def test_the_suffix_array_meets_every_distinct_word(monkeypatch):
+    """What is indexed is each distinct word of a call, whether met before or not."""
+    pieces = suffixpieces.model(suffixpieces.default_model())
+    met, plain = [], pieces.occurrences
+    monkeypatch.setattr(pieces, "occurrences", lambda text: met.append(len(text)) or plain(text))
+    texts = ["the cat and the dog", "the dog"] * 50
+    for _ in range(2):
+        pieces.encode(texts)
+    assert met == [1 + sum(len(w) + 2 for w in ("the", "cat", "and", "dog"))] * 2
+
+
+def test_pairs_kept_in_few_places(monkeypatch):
+    """Pairs that clash in the table of known pairs are worked out anew."""
+    import sentencepiece
+
+    monkeypatch.setattr(suffixpieces, "PAIRS_HELD", 8)
+    path = suffixpieces.default_model()
+    texts = ["several words that share places", "  and\n\nblanks    in rows", "x" * 300 + "ab" * 100, "中文" * 200, "\u0301 \U0001f600"]
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert [m.tolist() for m in suffixpieces.Pieces(path).encode(texts)] == [lib.encode(t) for t in texts]
+
+
+def message(**spec):
+    """A model's fields that :func:`suffixpieces.check_kind` reads: trainer's 3, normaliser's 2 to 5."""
+    normal = b"".join(bytes([k << 3, spec[n]]) for k, n in ((3, "first"), (4, "extra"), (5, "escape")) if n in spec)
+    normal += bytes([2 << 3 | 2, len(spec.get("table", b""))]) + spec.get("table", b"")
+    trainer = bytes([3 << 3, spec.get("kind", 2)])
+    return bytes([2 << 3 | 2, len(trainer)]) + trainer + bytes([3 << 3 | 2, len(normal)]) + normal
+
+
+def test_other_models_are_refused():
+    suffixpieces.check_kind(message(extra=0))
+    for wrong in ({"extra": 0, "kind": 1}, {"extra": 1}, {}, {"extra": 0, "first": 0}, {"extra": 0, "escape": 0}, {"extra": 0, "table": b"x"}):
+        with pytest.raises(ValueError):
+            suffixpieces.check_kind(message(**wrong))
+
+
 def test_encode_hard_rows(spark):
     df = clashing(spark, HARD)
     got = suffixpieces.encode(df, suffixpieces.default_model()).select("row.doc_id", "ids", "n_ids", "same").collect()
