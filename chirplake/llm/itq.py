@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.shared import Forest, by_cell, components, runs, saved
+from chirplake.llm.shared import Forest, by_cell, components, hot_cells, runs, saved
 
 COSINE = 0.93
 BITS, ROUNDS = 64, 30
@@ -132,7 +132,7 @@ def near_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
 
     tables = classes.mapInArrow(encode, "cell long, node long, copies long, table int, code binary, vector binary")
     tasks = max(256, classes.count() * 8 // 4_000)
-    found = saved(by_cell(tables, search, "a long, b long, n long", tasks), "itq-found")
+    found = saved(by_cell(tables, hot_cells(tables), search, "a long, b long, n long", tasks), "itq-found")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

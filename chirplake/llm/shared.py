@@ -19,9 +19,14 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary folder of this machine."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset on a local master (tests), a temporary folder.
+
+    On a cluster a folder of one machine would lose rows, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _own_folders.setdefault(app, "file://" + tempfile.mkdtemp(prefix="chirplake-"))
     return folder.rstrip("/")
@@ -40,11 +45,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of :func:`saved` that no later step reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`saved` that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Neighbours from which a node of a link graph is joined apart, at least, and such nodes, at most.
+HOT, HOT_NODES = 512, 100_000
+#: Rows up to which a table whose rows have been counted is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table, to be broadcast if its counted rows are few; else Spark joins it by shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def with_least(links: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) with m, the least of a and its b; the (a, m) themselves).
+
+    ``links`` has at most ``n`` rows. The minima are combined map-side. Nodes with more neighbours than HOT or than
+    ``n / HOT_NODES`` are at most HOT_NODES, so their minima are broadcast, and no task gets all links of one of them.
+    """
+    low = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = F.col("n") > max(HOT, n // HOT_NODES)
+    stars = F.broadcast(low.where(hot).select("a", F.col("m").alias("star")))
+    dealt = links.join(stars, "a", "left")
+    rest = dealt.where("star IS NULL").drop("star").join(low.where(~hot).select("a", "m"), "a")
+    return dealt.where("star IS NOT NULL").select("a", "b", F.col("star").alias("m")).union(rest.select("a", "b", "m")), low.select("a", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -62,12 +93,11 @@ def components(links: DataFrame) -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        large = saved(with_least(both, 2 * before[0])[0].where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links-large")
+        small, low = with_least(large, 2 * before[0])
+        small = small.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         after = saved(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
-        forget(now)
+        forget(now, large)
         now, last, before = after, before, state(after)
         if before == last:
             break
@@ -102,18 +132,24 @@ class Forest:
         return rest, self.label[rest]
 
 
-def by_cell(rows: DataFrame, search: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tasks: int, chunk: int = 2048) -> DataFrame:
-    """``search`` over the rows of each cell; ``rows`` has ``cell`` and ``node`` (long).
+def hot_cells(rows: DataFrame, chunk: int = 2048, weight: str | None = None, weighs: int = 1 << 20) -> DataFrame:
+    """(cell, parts) of the cells whose rows are more than ``chunk``, or whose weights are more than ``weighs``; saved."""
+    counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(weight) if weight else F.lit(0)).alias("w"))
+    parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("w") / weighs)).cast("int")
+    return saved(counts.select("cell", parts.alias("parts")).where("parts > 1"), "hot-cells")
+
+
+def by_cell(rows: DataFrame, hot: DataFrame, search: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tasks: int) -> DataFrame:
+    """``search`` over the rows of each cell; ``rows`` has ``cell`` and ``node`` (long), ``hot`` is of :func:`hot_cells`.
 
-    A cell of more than ``chunk`` rows is dealt into chunks by a hash of the node, and each pair of chunks goes
-    somewhere of its own, so that no task holds more than two chunks of one cell and no pair is lost. ``search`` gets
-    the rows of many cells at once, with ``lo`` and ``hi``, the pair of chunks they are there for, and ``part``, their
-    own chunk; it compares rows of the same (cell, lo, hi), and of different ``part`` where lo < hi.
+    A hot cell is dealt into parts by a hash of the node, and each pair of parts goes somewhere of its own, so that no
+    task holds more than two parts of one cell and no pair is lost. ``search`` gets the rows of many cells at once, with
+    ``lo`` and ``hi``, the pair of parts they are there for, and ``part``, their own; it compares rows of the same
+    (cell, lo, hi), and of different ``part`` where lo < hi.
     """
-    hot = rows.groupBy("cell").count().where(F.col("count") > chunk).select("cell", F.ceil(F.col("count") / chunk).cast("int").alias("parts"))
     parts = F.coalesce(F.col("parts"), F.lit(1))
     dealt = (
-        rows.join(hot, "cell", "left")
+        rows.join(few(hot), "cell", "left")
         .withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .withColumn("lo", F.least("part", "other"))

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from chirplake.llm import queries, simhash, suffixpieces, toxicity
+from chirplake.llm import queries, suffixpieces, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,11 +71,12 @@ def test_pipeline(spark, db):
     by_id = lined.sort_values("doc_id")
     assert near.sort_values("doc_id").text.tolist() == brute_lines(list(zip(by_id.doc_id, by_id.text, strict=True)))
     # near dedup
-    from test_text_operators import brute_groups
+    from test_similar import brute
 
     by_id = near.sort_values("doc_id").reset_index(drop=True)
-    own = brute_groups([simhash.fingerprint(t) for t in by_id.text])
-    assert sorted(mixed.doc_id) == by_id.doc_id[[i for i, g in enumerate(own) if g == i]].tolist()
+    want = set(by_id.doc_id[sorted(set(brute(by_id.text.tolist())))])
+    kept = set(mixed.doc_id)
+    assert want <= kept and len(kept - want) <= 0.05 * (len(by_id) - len(want))
     # mix
     words = mixed.text.map(lambda t: len(t.split())).groupby(mixed.source).sum()
     taken = encoded.text.map(lambda t: len(t.split())).groupby(encoded.source).sum()

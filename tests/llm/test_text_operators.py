@@ -182,8 +182,6 @@ def test_near_duplicates(spark, seed):
 
 def test_every_pair_at_distance_four_is_found(spark, monkeypatch):
     """Links through the grids, with cells split into chunks, are all links."""
-    import functools
-
     from chirplake.llm import shared
 
     rng = np.random.default_rng(5)
@@ -196,11 +194,11 @@ def test_every_pair_at_distance_four_is_found(spark, monkeypatch):
     prints |= {one ^ (1 << k) for k in range(64)}
     prints = sorted(prints)
     nodes = spark.createDataFrame([(int(np.array(p, np.uint64).view(np.int64)),) for p in prints], "node long")
-    rows = nodes.mapInArrow(simhash.grid_rows, "cell long, node long, home boolean")
-    links = functools.partial(shared.by_cell, rows, simhash.search, "a long, b long", 16)
     groups = brute_groups(prints)
     for chunk in (2048, 5):
-        roots = {r.node % 2**64: r.root for r in shared.components(links(chunk=chunk)).collect()}
+        monkeypatch.setattr(simhash, "hot_cells", lambda rows, chunk=chunk: shared.hot_cells(rows, chunk))
+        links = simhash.range_join(nodes, simhash.GRIDS, ["node"], simhash.DISTANCE)
+        roots = {r.node % 2**64: r.root for r in shared.components(links).collect()}
         parts = {}
         for p, g in zip(prints, groups, strict=True):
             parts.setdefault(g, set()).add(roots.get(p, p))
@@ -208,6 +206,18 @@ def test_every_pair_at_distance_four_is_found(spark, monkeypatch):
         assert len({next(iter(x)) for x in parts.values()}) == len(parts)
 
 
+def test_components_with_stars(spark, monkeypatch):
+    """Nodes with very many neighbours are joined apart; the components are the same."""
+    from chirplake.llm import shared
+
+    rng = random.Random(0)
+    links = [(5, k) for k in range(100, 400)] + [(400 + k, 401 + k) for k in range(30)] + [(399, 400)] + [(900, 901), (901, 902)]
+    rng.shuffle(links)
+    monkeypatch.setattr(shared, "HOT", 8)
+    got = {r.node: r.root for r in shared.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys([*range(100, 431), 5], 5), **dict.fromkeys([900, 901, 902], 900)}
+
+
 def test_near_duplicates_hard_rows(spark):
     df = clashing(spark, HARD)
     got = simhash.near_duplicates(df).select("row.doc_id", "row.size", "component_id", "fp").collect()
