@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import linededup, mixing, setjoin, shared, suffixpieces, toxicity
+from chirplake.llm import linededup, mixing, shared, simhash, suffixpieces, toxicity
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that line dedup has emptied are no copies of each other's content, but link like other texts without words.
     """
     marks = [F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g")]  # 96 bits of a whole row
-    near = setjoin.similar_documents(docs.select("doc_id", "text", *marks)).select("row.*", "root")
+    near = simhash.similar_documents(docs.select("doc_id", "text", *marks)).select("row.*", "root")
     first = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g")).alias("k"))
-    kept = first.select("k.h", "k.g")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *marks)
-    return rows.join(kept, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("row").alias("row")).select("row.*")
+    # rows that are alike in all columns are one before they meet the kept ones, so that none of any number is a hot key
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *marks).groupBy("h", "g").agg(F.first("row").alias("row"))
+    return rows.join(first.select("k.h", "k.g"), ["h", "g"], "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
