@@ -199,13 +199,14 @@ def energies(recordings: DataFrame, config: Any, carry: list[str]) -> DataFrame:
     names = config.columns()
     kinds = dict(recordings.dtypes)
     cuts_sql = ", ".join(f"`{n}` double" for n in names)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", chunkId string, chunkFileStart double, chunkFileStop double, chunkDuration double, chunkTbins long, chunkWeight double, chunkAbsStart double, chunkAbsStop double, channel long, " + cuts_sql
+    plain = [c.replace(".", f"_{i}_") for i, c in enumerate(carry)]  # Python functions take no column with a dot in its name
+    schema = ", ".join(f"`{p}` {kinds[c]}" for p, c in zip(plain, carry, strict=True)) + ", chunkId string, chunkFileStart double, chunkFileStop double, chunkDuration double, chunkTbins long, chunkWeight double, chunkAbsStart double, chunkAbsStop double, channel long, " + cuts_sql
 
-    def rows(row: Any) -> Iterator[tuple]:
+    def rows(row: Any, carried: tuple) -> Iterator[tuple]:
         x, rate = decode(row.content, sr=config.readSr)
         if config.signal:
             x = np.atleast_2d(apply(config.signal, x))
-        timeexp = float(getattr(row, "timeexp", None) or 1.0)
+        timeexp = 1.0 if pd.isna(row.timeexp) or not row.timeexp else float(row.timeexp)
         rate, duration = rate * timeexp, float(row.fileDuration)
         steps = max(int(round(duration / config.tStep)), 0)
         if config.channels is None:
@@ -218,7 +219,7 @@ def energies(recordings: DataFrame, config: Any, carry: list[str]) -> DataFrame:
             raise ValueError("more channels asked for than there are")
         size = int(round((rate * config.tStep - config.n_fft) / config.hop_length) + 1)
         cuts = frequency_bands(frequencies(rate, config.n_fft), tuple(config.fLimits), config.fBins)
-        base = getattr(row, "absStart", None)
+        base = None if pd.isna(row.absStart) else row.absStart
         for channel in wanted:
             spec = spectrogram(pick_channel(x, channel), config.n_fft, config.hop_length)
             for k in range(steps):
@@ -226,17 +227,21 @@ def energies(recordings: DataFrame, config: Any, carry: list[str]) -> DataFrame:
                 n, weight, values = slice_energy(spec, duration, start, size, cuts, config.aggr, config.spec, config.full_spec)
                 lo, hi = (None, None) if base is None else (base + start, base + stop)
                 ends = (float(start), float(stop)) if base is None else (float(lo), float(hi))
-                yield (*[getattr(row, c) for c in carry], f"{row.orid}-{ends[0]}-{ends[1]}", float(start), float(stop), float(stop - start), n, float(weight), lo, hi, 99 if channel is None else channel, *values)
+                yield (*carried, f"{row.orid}-{ends[0]}-{ends[1]}", float(start), float(stop), float(stop - start), n, float(weight), lo, hi, 99 if channel is None else channel, *values)
 
-    columns = [*carry, "chunkId", "chunkFileStart", "chunkFileStop", "chunkDuration", "chunkTbins", "chunkWeight", "chunkAbsStart", "chunkAbsStop", "channel", *names]
+    columns = [*plain, "chunkId", "chunkFileStart", "chunkFileStop", "chunkDuration", "chunkTbins", "chunkWeight", "chunkAbsStart", "chunkAbsStop", "channel", *names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if out := list(rows(row)):
+            at = [batch.columns.get_loc(p) for p in plain]
+            own = ["orid", "content", "timeexp", "fileDuration", "absStart"]
+            for row, carried in zip(batch.reindex(columns=own).itertuples(index=False), batch.iloc[:, at].itertuples(index=False, name=None), strict=True):
+                if out := list(rows(row, carried)):
                     yield pd.DataFrame(out, columns=columns)
 
-    return recordings.mapInPandas(run, schema)
+    rest = [c for c in ("content", "timeexp") if c in recordings.columns]
+    named = recordings.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, carry, strict=True)], *rest)
+    return named.mapInPandas(run, schema).toDF(*carry, *columns[len(plain) :])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chirplake.operators.filters import find
+from chirplake.operators.filters import find, quoted
 
 #: What a cell without rows has in a dense matrix.
 MISSING = -1000.0
@@ -25,14 +25,15 @@ def field_levels(df: DataFrame, field: Column, name: str) -> DataFrame:
 
 def combinations(df: DataFrame, fields: list[str]) -> DataFrame:
     """Every combination of the levels that fields have, also those without rows."""
-    out = field_levels(df, F.col(fields[0]), fields[0])
+    out = field_levels(df, F.col(quoted(fields[0])), fields[0])
     for f in fields[1:]:
-        out = out.crossJoin(field_levels(df, F.col(f), f))
+        out = out.crossJoin(field_levels(df, F.col(quoted(f)), f))
     return out
 
 
 def group_counts(df: DataFrame, fields: list[str]) -> DataFrame:
-    return df.groupBy(*fields).agg(F.count(F.lit(1)).alias("count"))
+    """Rows of each group; a field is a column's whole name, dots included."""
+    return df.groupBy(*[F.col(quoted(f)) for f in fields]).agg(F.count(F.lit(1)).alias("count"))
 
 
 def crono_counts(splits: DataFrame, cell: str = "timeCell", orid: str = "orid") -> DataFrame:
@@ -71,15 +72,55 @@ def crono_matrix(df: DataFrame, values: list[str], low: int, high: int, cell: st
     return long.crossJoin(F.broadcast(ends)).select(cell, "level", F.when(F.col("value") != MISSING, F.col("value")).alias("value"), F.when(F.col("value") != MISSING, scaled).alias("norm"))
 
 
+#: Rank error of a sketch is the rows over this; the exact values are looked for within twice that.
+ACCURACY = 100_000
+
+
+def exact_percentiles(df: DataFrame, values: list[str], percentiles: tuple[float, ...]) -> list[list[float]]:
+    """The percentiles of each of the values, between ranks by proportion, as numbers on the driver.
+
+    A sketch brackets each percentile; the distinct values inside a bracket are counted map-side, and the two at its ranks
+    are read off. So no buffer holds all values of a column. Nulls don't count.
+    """
+    doubles = [F.col(quoted(v)).cast("double") for v in values]
+    slack = 2.0 / ACCURACY
+    around = [min(max(p / 100.0 + s, 0.0), 1.0) for p in percentiles for s in (-slack, slack)]
+    first = df.agg(*[x for v in doubles for x in (F.count(v), F.percentile_approx(v, around, ACCURACY))]).first()
+    wanted, below = [], []
+    for i, v in enumerate(doubles):
+        n, ends = first[2 * i], first[2 * i + 1]
+        for j, p in enumerate(percentiles):
+            if n:
+                low, high = ends[2 * j], ends[2 * j + 1]
+                wanted.append((i, j, p / 100.0 * (n - 1), low, high))
+                below.append(F.sum((v < low).cast("long")))
+    out: list[list[float]] = [[None] * len(percentiles) for _ in values]
+    if not wanted:
+        return out
+    before = df.agg(*below).first()
+    near = F.array(*[F.when(doubles[i].between(low, high), F.struct(F.lit(k).alias("k"), doubles[i].alias("v"))) for k, (i, _, _, low, high) in enumerate(wanted)])
+    counted = df.select(F.explode(F.array_compact(near)).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))  # a share of 4 / ACCURACY of the rows
+    ranks = F.element_at(F.create_map(*[F.lit(x) for k, (_, _, at, _, _) in enumerate(wanted) for x in (k, int(at) - before[k])]), F.col("k"))
+    for step, name in ((0, "low"), (1, "high")):
+        there = F.min(F.when(F.col("upto") > ranks + step, F.col("v"))).alias(name)
+        found = {r["k"]: r[name] for r in upto.groupBy("k").agg(there).collect()}
+        for k, (i, j, at, _, _) in enumerate(wanted):
+            value, part = found.get(k), at - int(at)
+            if step == 0:
+                out[i][j] = value
+            elif part > 0:
+                out[i][j] = (int(at) + 1 - at) * out[i][j] + part * value
+    return out
+
+
 def percentile_scores(df: DataFrame, values: list[str], percentiles: tuple[float, float]) -> DataFrame:
     """``df`` with score: how many of the values lie between their percentiles over all rows, both included."""
-    at = F.array(*[F.lit(p / 100.0) for p in percentiles])
-    bounds = df.agg(*[F.percentile(F.col(v).cast("double"), at).alias(f"b{i}") for i, v in enumerate(values)])
-    inside = [F.col(v).between(F.col(f"b{i}")[0], F.col(f"b{i}")[1]).cast("int") for i, v in enumerate(values)]
-    score = inside[0]
-    for x in inside[1:]:
-        score = score + x
-    return df.crossJoin(F.broadcast(bounds)).withColumn("score", score).select(*df.columns, "score")
+    score = F.lit(0)
+    for v, (low, high) in zip(values, exact_percentiles(df, values, percentiles), strict=True):
+        inside = F.col(quoted(v)).cast("double").between(F.lit(low).cast("double"), F.lit(high).cast("double"))
+        score = score + F.when(F.col(quoted(v)).isNull(), None).otherwise(inside.cast("int"))
+    return df.withColumn("score", score)
 
 
 def top_scores(scored: DataFrame, n: int, ties: list[str]) -> DataFrame:

@@ -150,6 +150,11 @@ class Compiler:
         return column, kind
 
 
+def quoted(name: str) -> str:
+    """A column's whole name, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def find(df: DataFrame, query: dict | None = None, where: str | None = None, orid: int | None = None, id_column: str = "orid", **options: Any) -> DataFrame:
     """Rows that satisfy everything given: a query, SQL text, an id."""
     condition = Compiler(df.schema, **options).compile(query)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -23,16 +24,28 @@ def register_parser(name: str, function: Callable[..., dict]) -> None:
     PARSERS[name] = function
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as it was worked out once, in the checkpoint folder: what is read twice is the same rows in the same partitions.
+
+    Where no folder is set on a local master (tests), a temporary one; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chirplake-"))
+    return df.checkpoint()
+
+
 def dense_ids(df: DataFrame, name: str, order: list[Column | str], after: int = 0) -> DataFrame:
     """Ids after, after + 1, ... in an order, without gaps.
 
-    Rows are range-sorted; each partition numbers its own rows, and the sizes of the partitions before it are added. So
-    no partition holds all rows. The order must have no ties if ids are to be the same on each run.
+    Rows are range-sorted and stored; each partition has numbered its own rows, and the sizes of the partitions before it
+    are added. So no partition holds all rows. The order must have no ties if ids are to be the same on each run.
     """
     columns = df.columns
     placed = df.select(F.struct(*columns).alias("row"), F.struct(*order).alias("k")).withColumn("h", F.col("k")).repartitionByRange("k").sortWithinPartitions("k")
-    placed = placed.select("row", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    placed = placed.checkpoint() if placed.sparkSession.sparkContext.getCheckpointDir() else placed
+    placed = stored(placed.select("row", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")))
     sizes = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     bases = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("base"))
     number = F.col("base") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) + F.lit(after + 1)

@@ -29,7 +29,7 @@ def annotated(
     annotations. A subgroup key is a column or a path of a JSON column; ``orid`` is always a key and may be left out.
     Lists are in order of id.
     """
-    notes = find(annotations, query, **options)
+    notes = find(annotations, query, **options).where(F.col("orid").isNotNull())  # those of no recording have no place
     names = [c for c in NOTE_FIELDS if c in notes.columns]
     note = F.struct(*[F.col(c) for c in names])
     keys = [k for k in subgroup if k != "orid"]

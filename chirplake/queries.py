@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chirplake.functions import arrays, timefns
 from chirplake.operators import aggregates, chunks, filters, geometry, ingest, joins, sampling
 from chirplake.plans import soundscape
+from chirplake.schema import TABLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,12 +107,36 @@ def level_combinations(documents):
     return aggregates.combinations(documents, ["lang", "source"])
 
 
+SITED = "(SELECT event_id, props::JSON ->> '$.k' AS k FROM events)"
+
+
+def sited(events: DataFrame) -> DataFrame:
+    """Events as recordings whose metadata has a path below ``site``."""
+    kept = events.select(F.col("event_id").alias("orid"), F.struct(F.lit(60.0).alias("duration")).alias("media_info"), F.concat(F.lit('{"site":'), F.col("props"), F.lit("}")).alias("metadata"))
+    return soundscape.project_metadata(kept, ["site.k"])
+
+
+@query(f"SELECT k AS site, count(*) AS count FROM {SITED} GROUP BY 1")
+def dotted_groups(events):
+    """Groups by a metadata path, through the soundscape's nodes."""
+    s = soundscape.Soundscape("s", sited(events), {"globalParams": {"groupFields": ["site.k"]}})
+    return s.get_groups().select(F.col("`site.k`").alias("site"), "count")
+
+
+@query(f"SELECT event_id, k AS site FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5(event_id::VARCHAR), event_id) AS r FROM {SITED} WHERE k IS NOT NULL) WHERE r <= 2")
+def dotted_sample(events):
+    """A sample of each group of a metadata path."""
+    return sampling.stratified_sample(sited(events), ["site.k"], 2).select(F.col("orid").alias("event_id"), F.col("`site.k`").alias("site"))
+
+
 @query("SELECT lang, source, count(*) AS count FROM documents GROUP BY lang, source")
 def group_counts(documents):
     return aggregates.group_counts(documents, ["lang", "source"])
 
 
-@query()
+@query("""
+    SELECT 'k' AS field, CASE WHEN bool_and(json_type(props::JSON, '$.k') IN ('BIGINT', 'UBIGINT')) THEN 'bigint' ELSE 'string' END AS type
+    FROM (SELECT props FROM events ORDER BY event_id LIMIT 10)""")
 def infer_types(events):
     """Types of metadata paths from ten rows."""
     kinds = soundscape.infer_types(events.select(F.col("event_id").alias("orid"), F.col("props").alias("metadata")), ["k"])
@@ -155,14 +180,70 @@ def first_wins_dedupe(documents):
     return aggregates.first_wins(documents.select("doc_id", F.md5("text").alias("md5")), "md5", "doc_id")
 
 
-@query("SELECT d.doc_id, d.n_chars FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id WHERE d.n_chars >= 50")
-def insert_rejects(documents, labels):
-    return joins.without_ids(documents, labels, "doc_id").where("n_chars >= 50").select("doc_id", "n_chars")
+def inserted(documents: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Documents as recordings of a store for each language: some without a timeexp, some whose file can't be read."""
+    path = F.concat_ws("/", "source", "doc_id")
+    store = F.struct(F.md5("lang").alias("hash"), F.lit("direct").alias("type"), F.lit("{}").alias("conf"), F.lit("{}").alias("metadata"))
+    metadata = F.to_json(F.struct(path.alias("path"), F.when(F.col("doc_id") % 7 != 0, 1.0).alias("timeexp"), "doc_id"))
+    records = documents.select(store.alias("datastore"), F.struct(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("fkey")).alias("source"), metadata.alias("metadata"))
+    media = documents.where("doc_id % 5 <> 0").select(
+        path.alias("path"), F.md5("text").alias("md5"), F.col("n_chars").alias("filesize"), F.lit(8000).alias("samplerate"), F.lit(2).alias("sampwidth"),
+        F.lit(1).alias("nchannels"), F.col("n_chars").alias("nframes"),
+    )
+    return ingest.insert(empty_tables(documents), records, media)
+
+
+def empty_tables(df: DataFrame) -> dict[str, DataFrame]:
+    return {name: df.sparkSession.createDataFrame([], kind) for name, kind in TABLES.items()}
+
 
+INSERTED = """(SELECT doc_id, md5(text) AS md5, n_chars, CASE WHEN doc_id % 7 = 0 THEN 'no timeexp' WHEN doc_id % 5 = 0 THEN 'file can''t be read'
+    WHEN row_number() OVER (PARTITION BY md5(text), doc_id % 7 = 0 OR doc_id % 5 = 0 ORDER BY md5(lang), doc_id) > 1 THEN 'md5 is there already' END AS reason, lang FROM documents)"""
 
-@query("SELECT d.doc_id, d.lang FROM documents d ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 0) l ON d.doc_id = l.doc_id")
-def delete_matches(documents, labels):
-    return joins.without_ids(documents, filters.find(labels, {"quality": 0}), "doc_id").select("doc_id", "lang")
+
+@query(f"SELECT doc_id, reason FROM {INSERTED} WHERE reason IS NOT NULL")
+def insert_rejects(documents):
+    """Records that an insert leaves out, with the reason."""
+    return inserted(documents)[1].select(filters.json_value("record", "doc_id", "bigint").alias("doc_id"), "reason")
+
+
+@query(f"SELECT doc_id, md5, row_number() OVER (ORDER BY md5(lang), doc_id) AS orid, n_chars / 8000.0::DOUBLE AS duration FROM {INSERTED} WHERE reason IS NULL")
+def insert_parsed(documents):
+    """Ids and media info of what an insert takes."""
+    parsed = inserted(documents)[0]["parsed"]
+    return parsed.select(filters.json_value("metadata", "doc_id", "bigint").alias("doc_id"), "md5", "orid", F.col("media_info.duration").alias("duration"))
+
+
+@query("""
+    SELECT l_orderkey AS orid, l_linenumber::DOUBLE AS start_time, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id
+    FROM lineitem WHERE l_returnflag = 'A' OR (l_returnflag = 'R' AND l_linenumber <> 3)""")
+def annotate_ids(lineitem):
+    """Annotations with ids; of unknown type, or without a geometry where one is needed, they are rejected."""
+    kind = F.when(F.col("l_returnflag") == "R", "bbox").when(F.col("l_returnflag") == "A", "weak").otherwise("other")
+    start, empty = F.col("l_linenumber").cast("double"), F.lit("{}")
+    notes = lineitem.select(
+        kind.alias("notetype"), F.col("l_orderkey").alias("orid"), start.alias("start_time"), (start + 1).alias("end_time"), F.lit(1.0).alias("duration"),
+        F.col("l_extendedprice").alias("max_freq"), F.col("l_discount").alias("min_freq"), F.when(F.col("l_linenumber") != 3, "POINT (0 0)").alias("wkt"),
+        empty.alias("label"), empty.alias("groups"), empty.alias("metadata"),
+    )
+    return ingest.annotate(empty_tables(lineitem), notes)[0]["annotations"].select("orid", "start_time", "id")
+
+
+@query("""
+    SELECT o_orderkey AS orid, count(l_orderkey) AS notes FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+    WHERE o_orderstatus <> 'F' GROUP BY o_orderkey""")
+def delete_matches(orders, lineitem):
+    """What a removal leaves: recordings, and their annotations with them."""
+    status = F.to_json(F.struct(F.col("o_orderstatus").alias("status")))
+    kinds = {"orid": F.col("o_orderkey"), "metadata": status}
+    parsed = orders.select(*[kinds.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["parsed"]])
+    original = parsed.select(F.col("orid").alias("id"), F.lit(None).cast("string").alias("source"), "metadata")
+    kinds = {"orid": F.col("l_orderkey"), "id": F.col("l_linenumber")}
+    notes = lineitem.select(*[kinds.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["annotations"]])
+    left, _ = ingest.remove(empty_tables(orders) | {"parsed": parsed, "original": original, "annotations": notes}, {"metadata.status": "F"})
+    counted = left["annotations"].groupBy("orid").agg(F.count(F.lit(1)).alias("notes"))
+    kept = left["parsed"].join(left["original"].select(F.col("id").alias("orid")), "orid", "left_semi")
+    return kept.select("orid").join(counted, "orid", "left").select("orid", F.coalesce("notes", F.lit(0)).alias("notes"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderpriority END AS o_orderpriority FROM orders")
@@ -193,14 +274,12 @@ def missing_cells(events):
 
 
 @query(f"""
-    SELECT event_id, epoch_us(ts AT TIME ZONE '{ZONE}') / 1e6 AS "absStart", epoch_us(ts AT TIME ZONE '{ZONE}') / 1e6 + value AS "absStop",
+    SELECT event_id, epoch(date_trunc('second', ts) AT TIME ZONE '{ZONE}') AS "absStart", round(epoch(date_trunc('second', ts) AT TIME ZONE '{ZONE}') + value, 6) AS "absStop",
            strftime(ts, '%Y-%m-%d %H:%M:%S') || '-06:00' AS "standardStart" FROM events""")
 def time_fields(events):
-    text = F.date_format("ts", "dd-MM-yyyy HH:mm:ss")
-
-    fields = timefns.time_fields(text, F.lit(ZONE), F.col("value"))
-    exact = timefns.as_seconds(timefns.localize(F.col("ts"), ZONE))
-    return events.select("event_id", exact.alias("absStart"), (exact + F.col("value")).alias("absStop"), fields["standardStart"].alias("standardStart"))
+    """Time fields of recordings whose text of the time is in whole seconds."""
+    fields = timefns.time_fields(F.date_format("ts", "dd-MM-yyyy HH:mm:ss"), F.lit(ZONE), F.col("value"))
+    return events.select("event_id", fields["absStart"].alias("absStart"), F.round(fields["absStop"], 6).alias("absStop"), fields["standardStart"].alias("standardStart"))
 
 
 @query(f"SELECT event_id, {CELL} AS \"timeCell\" FROM events")
@@ -333,7 +412,11 @@ def stratified_sample(events):
     return sampling.stratified_sample(celled(events), ["timeCell", "event_type"], 3, key="event_id").select("event_id", "event_type", "timeCell")
 
 
-@query()
+@query(f"""
+    WITH e AS (SELECT event_id, event_type, {CELL} AS c FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c, event_type ORDER BY md5(event_id::VARCHAR), event_id) AS r, count(*) OVER (PARTITION BY c, event_type) AS n FROM e),
+    d AS (SELECT DISTINCT c, event_type, d, ('0x' || substr(md5('0:' || c || ':' || event_type || ':' || d), 1, 12))::BIGINT % n + 1 AS pick FROM r, (VALUES (1), (2), (3)) v(d) WHERE n > 3)
+    SELECT event_id, event_type, c AS "timeCell" FROM r JOIN d USING (c, event_type) WHERE r = pick UNION ALL SELECT event_id, event_type, c FROM r WHERE n <= 3""")
 def sample_with_replacement(events):
     return sampling.stratified_sample(celled(events), ["timeCell", "event_type"], 3, True, key="event_id").select("event_id", "event_type", "timeCell")
 

@@ -33,6 +33,33 @@ def col(spark, folder):
     return TimedCollection(spark, "field").insert_media(records, media, [{"function": "mark", "kwargs": {"value": 3}}])
 
 
+def test_dense_ids_without_a_folder(tmp_path):
+    """In a session of its own that has no checkpoint folder, with many wide rows in several partitions."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from chirplake.operators import ingest
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "7").getOrCreate()
+type(spark.sparkContext).getCheckpointDir = lambda self: None  # as where no setting of the machine names one
+rows = spark.range(0, 300_000, 1, 16).select("id", F.md5(F.col("id").cast("string")).alias("k"), F.repeat(F.lit("x"), 50).alias("wide"))
+x = ingest.dense_ids(rows, "n", ["k"]).agg(F.count("n"), F.countDistinct("n"), F.min("n"), F.max("n"), F.countDistinct("id")).first()
+assert list(x) == [300_000, 300_000, 1, 300_000, 300_000], x
+"""
+    env = {**os.environ, "TMPDIR": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=300)
+
+
+def test_splits_carry_dotted_fields(spark, col):
+    from chirplake.plans.soundscape import Config
+
+    fragment = readers.with_content(col.get_media()).select("orid", "content", F.col("media_info.duration").alias("fileDuration"), F.lit(7).alias("site.id"))
+    splits = audio_splits(fragment, Config().merged({"energyParams": {"tStep": 60}}))
+    assert {r["site.id"] for r in splits.collect()} == {7}
+
+
 def test_insert(col):
     rows = {r.path.rsplit("/", 1)[-1]: r for r in col.get_media().collect()}
     assert sorted(rows) == ["a.wav", "b.wav", "c.wav"]

@@ -37,6 +37,37 @@ def test_samples(spark):
     assert abs(next(r["count"] for r in shares if r.split == "train") - 1400) < 100
 
 
+def test_percentiles_bracketed(spark, monkeypatch):
+    """Exact also where a sketch is coarse, values repeat, are null or all the same."""
+    monkeypatch.setattr(aggregates, "ACCURACY", 50)
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.normal(size=3000), rng.integers(0, 5, 3000), np.full(3000, 2.0)])
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(3000, None, None, None)]
+    df = spark.createDataFrame(rows, "orid long, `a.b` double, c double, d double")
+    got = aggregates.exact_percentiles(df, ["a.b", "c", "d"], (0, 12.5, 50, 100))
+    assert np.allclose(got, np.percentile(x, [0, 12.5, 50, 100], axis=0).T, atol=1e-12)
+    assert aggregates.exact_percentiles(df.limit(0), ["c"], (20,)) == [[None]]
+    assert aggregates.percentile_scores(df, ["a.b", "c"], (20, 60)).where("score IS NULL").count() == 1
+
+
+def test_dotted_fields(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(30)], "orid long, `site.id` long")
+    assert {(r[0], r[1]) for r in aggregates.group_counts(df, ["site.id"]).collect()} == {(0, 10), (1, 10), (2, 10)}
+    assert sampling.stratified_sample(df, ["site.id"], 2).columns == df.columns
+    for replace in (False, True):
+        assert sampling.stratified_sample(df, ["site.id"], 2, replace).count() == 6
+    assert aggregates.combinations(df, ["site.id"]).count() == 3
+
+
+def test_annotations_of_no_recording(spark):
+    """They don't reach the grouping, however many they are."""
+    notes = spark.createDataFrame([(i, None, "x") for i in range(50)] + [(99, 1, "y")], "id long, orid long, label string")
+    media = spark.createDataFrame([(1, "x")], "orid long, media_info string")
+    nested = joins.annotated(notes, media)
+    assert "isnotnull(orid" in nested._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(r.data) for r in nested.collect()] == [1]
+
+
 def test_annotated_media(spark):
     notes = spark.createDataFrame([(1, 10, '{"sp": "a"}'), (2, 10, '{"sp": "b"}'), (3, 10, '{"sp": "a"}'), (4, None, "{}"), (5, 77, "{}")], "id long, orid long, label string")
     media = spark.createDataFrame([(10, "x"), (11, "y")], "orid long, media_info string")
