@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirplake.llm import htmltext, itq, licenses, linededup, mixing, mtree, simhash, suffixpieces, tokenrecords, toxicity
+from chirplake.llm.shared import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("words"))
+    docs = saved(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("words")), "mix-words")
     planned = mixing.plan_mix(docs, F.col("words"))
     taken = F.col("mix.size") * F.col("mix.copies")
     return planned.select("row.doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
@@ -102,13 +103,17 @@ ORACLE_SQL = {
         l AS (SELECT max(CASE WHEN (1.5 * total - before) / rest * weight <= cap THEN (1.5 * total - before) / rest END) AS level FROM r),
         t AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(level * weight, cap::DOUBLE)) AS target FROM r, l),
         x AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target,
+            SELECT d.doc_id, d.source, d.k, d.size, t.source_size, t.target,
                    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               (size * ((start + size / 2 <= target)::INT + (source_size + start + size / 2 <= target)::INT))::BIGINT AS taken
-        FROM x""",
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (
+            SELECT source, c.copy, doc_id, k, size, (start + size + c.copy * source_size) / target AS time
+            FROM x, (VALUES (0), (1)) c(copy) WHERE size > 0),
+        q AS (SELECT *, sum(size) OVER (ORDER BY time, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS served FROM c),
+        n AS (SELECT doc_id, k, source, count(*) AS copies FROM q WHERE served <= 1.5 * (SELECT sum(size) FROM d) GROUP BY ALL)
+        SELECT x.doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken
+        FROM x LEFT JOIN n ON x.doc_id = n.doc_id AND x.source IS NOT DISTINCT FROM n.source""",
     "op10_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i

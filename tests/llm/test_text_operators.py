@@ -62,6 +62,24 @@ def test_mix(spark):
     assert out == [r.doc_id for r in mixing.mix(df.repartition(7)).collect()]
 
 
+def test_mix_is_a_fair_queue(spark):
+    """Against the plain queue: all copies in order of virtual finish time, up to the budget."""
+    rng = random.Random(1)
+    docs = [(i if i % 50 else None, "w " * rng.choice([0, 1, 5, 30, 200]), rng.choice(["a", "a", "b", "c", None])) for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = mixing.plan_mix(df, mixing.words()).select("row.source", "mix.*").collect()
+    queue = []
+    for k, r in enumerate(rows):
+        queue += [((r.start + r.size + c * r.source_size) / r.target, r.source is None, r.source or "", k) for c in (0, 1) if r.size]
+    served, copies, budget = 0, [0] * len(rows), 1.5 * sum(r.size for r in rows)
+    for *_, k in sorted(queue):
+        served += rows[k].size
+        if served > budget:
+            break
+        copies[k] += 1
+    assert copies == [r.copies for r in rows]
+
+
 def test_mix_hard_rows(spark):
     df = clashing(spark, HARD)
     got = mixing.plan_mix(df, mixing.words()).select("row.doc_id", "mix.*").collect()
