@@ -41,12 +41,17 @@ MODIFIERS = {"has", "have", "hide", "hides", "no", "not", "show", "shows", "with
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li", "summary", "figcaption"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
+#: Where a search for an open paragraph, and for an open item or cell, ends.
+FENCES = (REGION | NEVER, {"ul", "ol", "dl", "menu", "table"} | NEVER)
+
 #: Why an element is left out: by a form or a mark, a firm mark, or for good.
 SOFT, NAMED, GONE = 1, 2, 3
 
 SIGMA, RADIUS = 1.0, 3
 #: A line belongs to a cluster if its smoothed ratio is over this share of the mean.
 SHARE = 0.5
+#: An article is a teaser if the regions outside articles have more than this times its text.
+TEASER = 3
 SPACE = re.compile(r"\s+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -58,43 +63,55 @@ def names(attrs: list[tuple[str, str | None]]) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Parser events as they stream in, to lines of text: (text, tags, linked characters, region, main)."""
+    """Parser events as they stream in, to lines of text: (text, tags, linked characters, region, main).
+
+    ``spare`` has the lines of forms and of elements that are left out for a name that isn't firm. Each event takes the same time however many
+    elements are open: places of open tags are kept by tag.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.spare: list[tuple[str, int, int, int, bool]] = []
         self.open: list[tuple[str, int, int, bool]] = []  # tag, left out, region, main
+        self.places: dict[str, list[int]] = {}
+        self.fences: tuple[list[int], list[int]] = ([-1], [-1])
         self.text: list[str] = []
-        self.tags = self.linked = self.links = self.regions = 0
+        self.tags = self.linked = self.regions = 0
 
     def end_line(self) -> None:
         if line := SPACE.sub(" ", "".join(self.text)).strip():
-            _, _, region, main = self.open[-1] if self.open else ("", 0, 0, False)
-            self.lines.append((line, self.tags, self.linked, region, main))
+            _, out, region, main = self.open[-1] if self.open else ("", 0, 0, False)
+            (self.spare if out else self.lines).append((line, self.tags, self.linked, region, main))
         self.text, self.tags, self.linked = [], 0, 0
 
+    def push(self, tag: str, out: int, region: int, main: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        for fence, kinds in zip(self.fences, FENCES, strict=True):
+            if tag in kinds:
+                fence.append(len(self.open))
+        self.open.append((tag, out, region, main))
+
     def pop(self, tag: str) -> None:
-        while self.open:
-            name = self.open.pop()[0]
-            self.links -= name == "a"
-            if name == tag:
-                break
-
-    def has(self, tag: str, fence: set[str]) -> bool:
-        for name, *_ in reversed(self.open):
-            if name == tag:
-                return True
-            if name in fence:
-                return False
-        return False
+        """Close the innermost element of a tag that is open, and all inside it."""
+        end = self.places[tag][-1]
+        while len(self.open) > end:
+            self.places[self.open.pop()[0]].pop()
+        for fence in self.fences:
+            while fence[-1] >= end:
+                fence.pop()
+
+    def has(self, tag: str, fence: int) -> bool:
+        """Whether an element of a tag is open inside the innermost one that ends the search."""
+        return bool(places := self.places.get(tag)) and places[-1] >= self.fences[fence][-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.end_line()
-            if tag in CLOSES_P and self.has("p", REGION | NEVER):
+            if tag in CLOSES_P and self.has("p", 0):
                 self.pop("p")
             for other in SIBLINGS.get(tag, ()):
-                if self.has(other, {"ul", "ol", "dl", "menu", "table"} | NEVER):
+                if self.has(other, 1):
                     self.pop(other)
         self.tags += 1
         if tag in VOID:
@@ -116,8 +133,7 @@ class Lines(HTMLParser):
         if tag in REGION and not main:  # an article is one region, whatever is inside
             self.regions += 1
             region = self.regions
-        self.links += tag == "a"
-        self.open.append((tag, out, region, main or tag in ("article", "main")))
+        self.push(tag, out, region, main or tag in ("article", "main"))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,39 +144,57 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
         self.tags += 1
-        if tag not in VOID and self.has(tag, set()):
+        if self.places.get(tag):
             self.pop(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][1]:
+        if self.open and self.open[-1][1] > SOFT:
             return
         self.text.append(data)
-        if self.links:
+        if self.places.get("a"):
             self.linked += len(data)
 
     def finish(self) -> list[tuple[str, int, int, int, bool]]:
+        """All lines; the spare ones only if there are no others."""
         self.close()
         self.end_line()
-        return self.lines
+        return self.lines or self.spare
+
+
+def smoothed(ratios: np.ndarray) -> np.ndarray:
+    """Ratios after a Gaussian filter; there is nothing before the first line and after the last."""
+    kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
+    return np.convolve(np.pad(ratios, RADIUS), kernel / kernel.sum(), "valid")
+
+
+def clusters(lines: list[tuple[str, int, int, int, bool]], use: list[bool]) -> set[int]:
+    """Regions that hold a line whose smoothed text-to-tag ratio is over the threshold; of lines to use only."""
+    ratio = np.array([max(len(t) - linked, 0) / max(tags, 1) * ok for (t, tags, linked, _, _), ok in zip(lines, use, strict=True)])
+    smooth = smoothed(ratio)
+    over = (smooth > SHARE * smooth.mean()) & (ratio > 0)
+    return {lines[i][3] for i in np.flatnonzero(over if over.any() else np.array(use))}
 
 
 def content(lines: list[tuple[str, int, int, int, bool]]) -> list[str]:
-    """Lines of the content regions: those that hold a line whose smoothed text-to-tag ratio is over the threshold.
+    """Lines of the content regions, whole.
 
-    A line's ratio is its characters outside links over its tags, weighed up in an article or main element. Where a page
-    has such elements, no region outside them can be over the threshold, and each is one region with all that it holds.
+    A line's ratio is its characters outside links over its tags. Where a page has articles or a main element, only their
+    lines count, and each is one region with all that it holds; unless what other regions have is so much more that the
+    articles are teasers.
     """
     if not lines:
         return []
-    article = any(main for *_, main in lines)
-    ratio = np.array([max(len(t) - linked, 0) / max(tags, 1) * (main or not article) for t, tags, linked, _, main in lines])
-    kernel = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
-    smooth = np.convolve(np.pad(ratio, RADIUS), kernel / kernel.sum(), "valid")
-    over = (smooth > SHARE * smooth.mean()) & (ratio > 0)
-    if not over.any():
-        over = np.array([main or not article for *_, main in lines])
-    regions = {lines[i][3] for i in np.flatnonzero(over)}
-    return [t for t, _, _, region, main in lines if region in regions and (main or not article)]
+    inside = [main for *_, main in lines]
+    if any(inside):
+        others = [not main for main in inside]
+        regions = clusters(lines, others) if any(others) else set()
+        outside = sum(len(t) for t, _, _, region, main in lines if region in regions and not main)
+        if outside <= TEASER * sum(len(t) for t, *_, main in lines if main):
+            regions = clusters(lines, inside)
+            return [t for t, _, _, region, main in lines if region in regions and main]
+        return [t for t, _, _, region, main in lines if region in regions or main]
+    regions = clusters(lines, [True] * len(lines))
+    return [t for t, _, _, region, _ in lines if region in regions]
 
 
 def main_text(html: str | None) -> str:
@@ -174,8 +208,10 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Elements of navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and comments
     never give lines. A form, or a div or section that is marked by name, doesn't hide an article below it unless its name
-    is one of navigation, sidebars, footers, adverts or comments; a main element is only hidden by comments, or by tag. Of the other lines, the regions around clusters of high text-to-tag ratio are the main text, whole.
-    A null or empty page gives an empty text; text without any markup is one line and stays. Unclosed and stray tags
+    is one of navigation, sidebars, footers, adverts or comments; a main element is only hidden by comments, or by tag. What
+    a form or another such name hides comes back where the page has nothing else. Of the other lines, the regions around
+    clusters of high text-to-tag ratio are the main text, whole. Markup that is nested or unclosed however deep takes time
+    in proportion. A null or empty page gives an empty text; text without any markup is one line and stays. Unclosed and stray tags
     close as browsers would for paragraphs, list items and cells. Repeated rows stay as they are.
     """
 

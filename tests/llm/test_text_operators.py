@@ -141,6 +141,57 @@ def test_main_in_a_marked_wrapper():
     assert htmltext.main_text(f"<div class='layout sidebar-left'><div class=sidebar>Aside.</div><main>{ARTICLE}<form>Name</form></main></div>") == "The text of the article is long enough."
 
 
+@pytest.mark.parametrize("name", ["search-results", "post-widget-area", "modal", "newsletter"])
+def test_text_in_named_elements_only(name):
+    """What is left out for such a name comes back where the page has nothing else; adverts, comments and scripts don't."""
+    text = "A text that is long enough to be the main one of this page."
+    assert htmltext.main_text(f"<body><div class={name}><p>{text}</p></div><script>x()</script></body>") == text
+
+
+def test_teasers():
+    body = "<p>" + "A paragraph of the body that says a lot. " * 10 + "</p>"
+    page = f"<article><p>Teaser.</p></article><div>{body * 4}</div>"
+    assert htmltext.main_text(page).startswith("Teaser. A paragraph") and htmltext.main_text(page).count("says a lot") == 40
+
+
+@pytest.mark.parametrize("html", ["<b>" * 100_000 + "text" + "</i>" * 100_000, "<b>" * 50_000 + "<p>text" * 50_000, "<div>" * 100_000 + "text", "<li>x<i>" * 50_000, "<a>" * 50_000 + "x" * 9 + "</p>" * 50_000])
+def test_unclosed_markup_takes_time_in_proportion(html):
+    import time
+
+    began = time.process_time()
+    assert htmltext.main_text(html)
+    assert time.process_time() - began < 20
+
+
+def plain_regions(lines):
+    """Ratio, Gaussian filter and threshold as loops."""
+    ratio = [max(len(t) - linked, 0) / max(tags, 1) for t, tags, linked, _, _ in lines]
+    weight = {d: np.exp(-(d**2) / (2 * htmltext.SIGMA**2)) for d in range(-htmltext.RADIUS, htmltext.RADIUS + 1)}
+    smooth = [sum(w * ratio[i + d] for d, w in weight.items() if 0 <= i + d < len(ratio)) / sum(weight.values()) for i in range(len(ratio))]
+    mean = sum(smooth) / len(smooth)
+    over = [i for i in range(len(ratio)) if smooth[i] > htmltext.SHARE * mean and ratio[i] > 0]
+    return {lines[i][3] for i in over or range(len(lines))}
+
+
+def test_clusters_are_the_plain_ones():
+    rng = random.Random(2)
+    for _ in range(300):
+        lines = [("x" * rng.choice([1, 5, 40, 300]), rng.randint(0, 6), rng.choice([0, 0, 5, 40]), rng.randint(0, 5), False) for _ in range(rng.randint(1, 25))]
+        want = plain_regions(lines)
+        assert htmltext.clusters(lines, [True] * len(lines)) == want
+        assert htmltext.content(lines) == [t for t, _, _, region, _ in lines if region in want]
+
+
+def test_registered_extraction(spark):
+    """The query's rows are those of the parser over each page alone."""
+    from chirplake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op3_html_text(spark, sf).collect()}
+    assert got == {p.page_id: (p.url, x := htmltext.main_text(p.html), len(x)) for p in pages}
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, None)], "page_id long, html string, row string")
     got = htmltext.extract(df).select("row.page_id", "row.row", "text").collect()
