@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,17 +10,29 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chirplake.llm.shared import Forest, by_cell, components, hot_cells, runs, saved
 
 COSINE = 0.93
-BITS, ROUNDS = 64, 30
-#: Vectors that the rotation is learned on, the first in order of a hash; codes and tables hold every vector.
-FIT_SAMPLE = 10_000
+ROUNDS = 30
+#: Rows that a cell of a table has on average, at most; the least bits of a table; the share of pairs at COSINE that may share
+#: no table if directions were random.
+CELL_ROWS, TABLE_BITS, MISS = 4096, 8, 0.03
+#: Vectors that a rotation is learned on, the first in order of a hash of the vector, and lengths of vectors that have one;
+#: codes and tables hold every vector.
+FIT_SAMPLE, FIT_LENGTHS = 10_000, 8
 SLICE = 512
 
 
-def learn(vectors: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def shape(rows: int) -> tuple[int, int]:
+    """(tables, bits of each) for so many vectors of a label: bits grow with the rows, and tables with the bits."""
+    bits = max(TABLE_BITS, math.ceil(math.log2(max(rows, 1) / CELL_ROWS)))
+    alike = (1 - math.acos(COSINE) / math.pi) ** bits
+    return max(1, round(math.log(MISS) / math.log(1 - alike))), bits
+
+
+def learn(vectors: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(centre, projection) of unit vectors: principal directions, turned until their signs lose least.
 
     Vectors of fewer dimensions than ``bits`` get random directions for the rest.
@@ -38,8 +51,10 @@ def learn(vectors: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> tuple[
     return centre, np.hstack([main @ turn, rng.standard_normal((x.shape[1], bits - dims))])
 
 
-def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return np.packbits((vectors - model[0]) @ model[1] >= 0, axis=1, bitorder="little")
+def codes(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray], tables: int) -> np.ndarray:
+    """A number for each table: the signs of its share of the directions."""
+    signs = ((vectors - model[0]) @ model[1] >= 0).reshape(len(vectors), tables, -1)
+    return signs @ (1 << np.arange(signs.shape[2], dtype=np.int64))
 
 
 def unit(batch: pa.Array, dims: int) -> np.ndarray:
@@ -52,16 +67,17 @@ def search(rows: pd.DataFrame) -> pd.DataFrame:
 
     A pair that shares several tables counts in the first of them only.
     """
-    rows = rows.sort_values(["cell", "lo", "hi"], kind="stable")
-    cell, lo, hi, part, copies, table = (rows[c].to_numpy() for c in ("cell", "lo", "hi", "part", "copies", "table"))
+    rows = rows.sort_values(["cell", "lo", "hi", "label", "dims"], kind="stable")
+    cell, lo, hi, part, copies, table, label, dims = (rows[c].to_numpy() for c in ("cell", "lo", "hi", "part", "copies", "table", "label", "dims"))
     nodes, at = np.unique(rows["node"].to_numpy(), return_inverse=True)
-    code = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+    code = np.frombuffer(b"".join(rows["code"]), np.int64).reshape(len(rows), -1)
     forest, linked = Forest(len(nodes)), np.zeros(len(nodes), np.int64)
     vectors = rows["vector"].to_numpy()
-    for start, end in zip(*runs(cell, lo, hi), strict=True):
+    for start, end in zip(*runs(cell, lo, hi, label, dims), strict=True):  # a cell is a hash
         if end - start < 2:
             continue
-        x = np.frombuffer(b"".join(vectors[start:end]), np.float64).reshape(end - start, -1)
+        kind = np.float32 if len(vectors[start]) == 4 * dims[start] else np.float64
+        x = np.frombuffer(b"".join(vectors[start:end]), kind).reshape(end - start, -1).astype(np.float64)
         norm, t, whole = np.linalg.norm(x, axis=1), table[start], lo[start] == hi[start]
         for i in range(start, end, SLICE):
             j = min(i + SLICE, end)
@@ -92,10 +108,10 @@ def near_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
     """(row, n_links, component_id): rows of ``table`` as structs without the vector, with links and component.
 
     Vectors of one label and length link at a cosine of COSINE or more, in double precision. Equal vectors of a label are
-    one class, which meets the others once; its members link with each other. A class's code has one byte in each of
-    eight Hamming tables; classes that share a byte in one are compared by their original vectors. Two vectors at a
-    cosine of 0.93 or more miss all eight tables for fewer than one pair in twenty if directions were random, and for
-    far fewer with learned ones (the tests measure it). A task returns counts and spanning links, not pairs.
+    one class, which meets the others once; its members link with each other. A class's code has one number in each of
+    several Hamming tables (:func:`shape`); classes that share one are compared by their original vectors. Two vectors at
+    a cosine of 0.93 or more miss all tables for about MISS of the pairs if directions were random, and for far fewer
+    with learned ones (the tests measure it). A task returns counts and spanning links, not pairs.
 
     Rows whose label is null, or whose vector is null, empty, zero or holds null or non-finite components, link with
     nothing: 0 links, their own id as component. Rows with a null id take part; the least id reached is their
@@ -107,32 +123,35 @@ def near_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
     rows = table.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), doubles.alias("vector"), F.col(label).cast("long").alias("label"), F.col(vec_id).alias("id"))
     rows = rows.withColumn("vector", F.when(usable() & F.col("label").isNotNull(), F.col("vector")))
     classes = rows.where("vector IS NOT NULL").groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "itq-classes")
+    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("vector")), "itq-classes")
+    largest = classes.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
+    n_tables, bits = shape(largest)
     models = {}
-    for (dims,) in classes.select(F.size("vector")).distinct().collect():
-        chosen = classes.where(F.size("vector") == dims).orderBy(F.xxhash64("node")).limit(sample).select("vector").toArrow()
-        models[dims] = learn(unit(chosen.column("vector").combine_chunks(), dims))
+    for (dims,) in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(FIT_LENGTHS).select("dims").collect():
+        chosen = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vector"), "label").limit(sample).select("vector").toArrow()
+        models[dims] = learn(unit(chosen.column("vector").combine_chunks(), dims), n_tables * bits)
+    narrow = isinstance(table.schema[vector].dataType.elementType, T.FloatType)  # such vectors travel as they came
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.diff(batch.column("vector").offsets.to_numpy())
-            for dims in np.unique(sizes):
+            sizes = batch.column("dims").to_numpy()
+            for dims in np.unique(sizes).tolist():
                 part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
-                n, ids = part.num_rows, part.column("label").to_numpy()
+                n = part.num_rows
                 x = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
-                code = codes(x / np.linalg.norm(x, axis=1, keepdims=True), models[dims])
-                tables = np.arange(code.shape[1])
-                cell = ((ids[:, None] * 65_536 + dims) * len(tables) + tables) * 256 + code
-                every = np.repeat(np.arange(n), len(tables))
-                binary = lambda a: pa.array([r.tobytes() for r in a], pa.binary()).take(pa.array(every))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.ravel()), part.column("node").take(pa.array(every)), part.column("copies").take(pa.array(every)), pa.array(np.tile(tables, n).astype(np.int32)), binary(code), binary(x)],
-                    names=["cell", "node", "copies", "table", "code", "vector"],
-                )
-
-    tables = classes.mapInArrow(encode, "cell long, node long, copies long, table int, code binary, vector binary")
-    tasks = max(256, classes.count() * 8 // 4_000)
-    found = saved(by_cell(tables, hot_cells(tables), search, "a long, b long, n long", tasks), "itq-found")
+                if dims not in models:  # a rare length: directions at random
+                    models[dims] = np.zeros(dims), np.random.default_rng(dims).standard_normal((dims, n_tables * bits))
+                code = codes(x / np.linalg.norm(x, axis=1, keepdims=True), models[dims], n_tables)
+                every = pa.array(np.repeat(np.arange(n), n_tables))
+                binary = lambda a: pa.array([r.tobytes() for r in a], pa.binary()).take(every)
+                columns = {c: part.column(c).take(every) for c in ("label", "dims", "node", "copies")}
+                columns |= {"table": pa.array(np.tile(np.arange(n_tables, dtype=np.int32), n)), "at": pa.array(code.ravel()), "code": binary(code), "vector": binary(x.astype(np.float32) if narrow else x)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    tables = classes.mapInArrow(encode, "label long, dims int, node long, copies long, table int, at long, code binary, vector binary")
+    tables = tables.withColumn("cell", F.xxhash64("label", "dims", "table", "at")).drop("at")
+    tasks = max(256, classes.count() * n_tables // 4_000)
+    found = saved(by_cell(tables, hot_cells(tables.select("cell")), search, "a long, b long, n long", tasks), "itq-found")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

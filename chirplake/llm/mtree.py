@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from chirplake.llm.shared import saved
 
-#: Rows of a tree, entries of a page, queries of a block.
-TREE, PAGE, QUERIES = 8192, 128, 1024
+#: Rows of a tree and queries of a block, at most; trees and blocks of a small table; entries of a page.
+TREE, QUERIES, SPREAD, PAGE = 32_768, 16_384, 8, 128
 TOP, EVERY = 5, 50
 
 
@@ -84,7 +84,7 @@ class MTree:
         q = np.append(query.astype(np.float64), 0.0)
         whole, flat = query.astype(np.int64), q[:-1]
         reach = float(flat @ flat) + float(self.most)
-        slack = 1e-9 * (1.0 + reach) ** 0.5
+        slack = 1e-7 * (1.0 + reach) ** 0.5  # above the rounding of the added component at any norm
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
         limit = np.inf
         d = float(np.sqrt(((q - self.routing[0]) ** 2).sum()))
@@ -125,19 +125,26 @@ def top_products(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
 
     A component x counts as floor(256 x). All vectors go into M-trees of about TREE rows each, which are written as a
     table; each block of queries meets each tree once, takes its ``top`` best there, and the best of those are the
-    answer. Trees and blocks have a size of their own at any size of the table.
+    answer. Trees and blocks have a size of their own at any size of the table, and what travels is a tree and a block for
+    each meeting: it grows with rows times queries, over TREE and over QUERIES.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id. The
-    others meet those of their own length only. Rows of the query's id are its own row; rows with the same id and
-    vector count once. Fewer than ``top`` others: all of them. Empty in, empty out.
+    others meet those of their own length only. Rows of the query's id are its own; repeated rows of other ids are
+    candidates as often as they come, and repeated queries are one. Fewer than ``top`` others: all of them. Empty in,
+    empty out. A square norm of 2 to the power 62 or more is an error, as scores wouldn't be exact.
     """
     finite = lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))
     ints = F.transform(F.col(vector), lambda x: F.floor(256 * x.cast("double")))
     good = F.col(vec_id).isNotNull() & F.coalesce(F.forall(vector, finite), F.lit(False)) & (F.size(vector) > 0)
-    x = table.where(good).select(F.col(vec_id).cast("long").alias("id"), ints.alias("ints")).distinct()
+    x = table.where(good).select(F.col(vec_id).cast("long").alias("id"), ints.alias("ints"))
     x = saved(x.withColumn("dims", F.size("ints")), "mtree-rows")
-    queries = x.where(F.pmod("id", F.lit(every)) == 0)
-    n_trees, n_blocks = max(1, -(-x.count() // TREE)), max(1, -(-queries.count() // QUERIES))
+    square = F.aggregate("ints", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    rows, most = x.agg(F.count(F.lit(1)), F.max(square)).first()
+    if most and most >= 2.0**62:
+        raise ValueError("vectors are too long for exact scores")
+    queries = x.where(F.pmod("id", F.lit(every)) == 0).distinct()
+    several = lambda n, most, least: max(1, -(-n // most), min(SPREAD, n // max(1, least)))
+    n_trees, n_blocks = several(rows, TREE, TREE // SPREAD), several(queries.count(), QUERIES, QUERIES // SPREAD // SPREAD)
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dims": [key[0]], "tree": [key[1]], "pages": [MTree.build(*stack(rows)).to_bytes()]})
@@ -155,7 +162,7 @@ def top_products(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
                     out += [(i, v.tobytes(), other, score) for score, other in tree.search(i, v, top)]
         return pd.DataFrame(out, columns=["query_id", "own", "vec_id", "score"])
 
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", "ints", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", "ints", F.monotonically_increasing_id() if salt == 1 else F.lit(salt)), F.lit(n)).cast("int")
     trees = saved(x.groupBy("dims", deal(n_trees, 1).alias("tree")).applyInPandas(build, "dims int, tree int, pages binary"), "mtree-pages")
     blocks = saved(queries.groupBy("dims", deal(n_blocks, 2).alias("block")).applyInPandas(pack, "dims int, block int, ids binary, vectors binary"), "mtree-queries")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -55,6 +55,11 @@ def test_top_products_hard_rows(spark):
     rows = [(0, good, 1), (0, good, 1), (1, None, 1), (2, [], 1), (3, [1.0, None], 1), (4, [NAN, 1.0], 1), (5, [INF, 1.0], 1), (6, [0.0, 0.0], 1), (7, [1.0], 1), (None, good, 1), (8, good, None)]
     got = [(r.query_id, r.vec_id, r["rank"]) for r in mtree.top_products(table(spark, rows)).orderBy("rank").collect()]
     assert got == [(0, 8, 1), (0, 6, 2)]
+    again = [(50, good, 1), (50, good, 1), (1, good, 1), (1, good, 1), (2, [0.5, 0.5], 1)]  # rows of one id are rows
+    got = [(r.query_id, r.vec_id, r["rank"]) for r in mtree.top_products(table(spark, again)).orderBy("rank").collect()]
+    assert got == [(50, 1, 1), (50, 1, 2), (50, 2, 3)]
+    with pytest.raises(ValueError):
+        mtree.top_products(table(spark, [(50, [1e8, 1e8], 1)]))
     assert mtree.top_products(table(spark, rows).limit(0)).count() == 0
     assert mtree.top_products(table(spark, [(50, None, 1)])).count() == 0
 
@@ -76,11 +81,18 @@ def groups(links):
         own = new
 
 
-@pytest.mark.parametrize("dims,chunk", [(64, 2048), (64, 20), (6, 2048)])
-def test_near_vectors(spark, monkeypatch, dims, chunk):
-    import functools
+def test_cells_grow_with_the_rows():
+    shapes = [itq.shape(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert shapes[0] == (8, 8) and all(a < b for a, b in zip(shapes[1:], shapes[2:], strict=False))
+    assert all(n / 2**bits <= itq.CELL_ROWS for n, (_, bits) in zip((10**6, 10**8, 10**10), shapes[1:], strict=True))
 
-    monkeypatch.setattr(itq, "by_cell", functools.partial(itq.by_cell, chunk=chunk))
+
+@pytest.mark.parametrize("dims,chunk,cell_rows", [(64, 2048, 4096), (64, 20, 4096), (6, 2048, 1), (64, 2048, 0.01)])
+def test_near_vectors(spark, monkeypatch, dims, chunk, cell_rows):
+    from chirplake.llm import shared
+
+    monkeypatch.setattr(itq, "hot_cells", lambda cells: shared.hot_cells(cells, chunk))
+    monkeypatch.setattr(itq, "CELL_ROWS", cell_rows)
     x = clustered(900, dims, 3)
     x[100:130] = x[50]
     labels = np.arange(900) % 3
