@@ -34,6 +34,62 @@ BSD_GRANT = (
     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
     "distribution."
 )
+ISC_TEXT = (
+    ISC_GRANT + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+    "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
+    "THIS SOFTWARE."
+)
+BSD_THIRD = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission."
+)
+BSD_DISCLAIMER = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+    "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+    "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+    "THE POSSIBILITY OF SUCH DAMAGE."
+)
+ZLIB_TEXT = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for "
+    "any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+    "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The "
+    "origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+    "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered "
+    "source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice "
+    "may not be removed or altered from any source distribution."
+)
+UNLICENSE_TEXT = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+    "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+    "non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
+    "dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+    "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law."
+)
+BSL_TEXT = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+    "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the "
+    "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do "
+    "so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license "
+    "grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and "
+    "all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable "
+    "object code generated by a source language processor."
+)
+APACHE_REST = (
+    " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed "
+    "under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+GPL_REST = (
+    " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have "
+    "received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
 APACHE_NOTICE = (
     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
     "the License. You may obtain a copy of the License at"
@@ -51,19 +107,27 @@ MPL_NOTICE = (
 TEMPLATES = (
     ("Apache-2.0", "apache", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "apache", APACHE_NOTICE),
+    ("Apache-2.0", "apache", APACHE_NOTICE + APACHE_REST),
     ("BSD", "", BSD_GRANT),
+    ("BSD-2-Clause", "", BSD_GRANT + BSD_DISCLAIMER),
+    ("BSD-3-Clause", "endorse", BSD_GRANT + BSD_THIRD + BSD_DISCLAIMER),
     ("BSD", "bsd", "Released under the BSD License"),
+    ("BSL-1.0", "", BSL_TEXT),
     ("CC-BY-4.0", "cc by 4", "Licensed under CC BY 4.0"),
     ("CC-BY-NC-4.0", "cc nc 4", "Licensed under CC BY NC 4.0"),
     ("CC-BY-SA-4.0", "cc sa 4", "Licensed under CC BY SA 4.0"),
     ("GPL-2.0", "gnu 2", "This work is licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "gnu 3", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "gnu 3", GPL_NOTICE),
+    ("GPL-3.0", "gnu 3", GPL_NOTICE + GPL_REST),
     ("ISC", "", ISC_GRANT),
+    ("ISC", "", ISC_TEXT),
     ("LGPL-3.0", "gnu lesser 3", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "mit", "Released under the MIT License"),
     ("MIT", "", MIT_GRANT),
     ("MPL-2.0", "mozilla", MPL_NOTICE),
+    ("Unlicense", "", UNLICENSE_TEXT),
+    ("Zlib", "", ZLIB_TEXT),
 )
 #: Share of a template's words that must align.
 COVERAGE = 0.8

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -35,14 +36,18 @@ _leet = re.compile(r"(?<=\w)[0134578@$!](?=\w)|(?<!\w)[0134578@$!](?=[^\W\d])|(?
 _other = re.compile("[^\\W_]+")
 _glyphs = str.maketrans(HOMOGLYPHS)
 _special = re.compile("[" + "".join(HOMOGLYPHS) + "]")
+_marks = re.compile("[\u0300-\u036f]")
 _invisible = re.compile("[­​-‏⁠﻿]")
 
 
 def fold(text: str) -> str:
-    """Words of a text in lower case, apart by one space, with homoglyphs and digits in words read as letters."""
+    """Words of a text in lower case, apart by one space, with homoglyphs and digits in words read as letters.
+
+    Full-width, mathematical and accented letters are their plain ones (NFKD without marks).
+    """
     text = text.lower()
     if not text.isascii():
-        text = _invisible.sub("", text)
+        text = _invisible.sub("", _marks.sub("", unicodedata.normalize("NFKD", text).lower()))
         if _special.search(text):
             text = text.translate(_glyphs)
     text = _leet.sub(lambda m: DIGITS[m[0]], text)
@@ -51,7 +56,8 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weighted words (``"word "``) and stems (``"stem"``), exceptions (longer words; no phrases are learned), and the calibration.
+    """Weighted words (``"word "``) and stems (``"stem"``), exceptions (longer words, and phrases around either), and the
+    calibration.
 
     ``rate`` is the weight that a text's matches add up to, per hundred words; the score is logistic in log(1 + rate).
     """
@@ -178,6 +184,19 @@ def without_copies(sample: DataFrame) -> DataFrame:
     return sample.join(copies, "id", "left_anti")
 
 
+def phrases(text: str | None, lexicon: Lexicon) -> set[str]:
+    """Phrases of two and three words of a folded text around each word that the lexicon weighs."""
+    words = fold(text or "").split()
+    stems = {len(t): set() for t in lexicon.weights}
+    for t in lexicon.weights:
+        stems[len(t)].add(t)
+    out: set[str] = set()
+    for i, w in enumerate(words):
+        if any(f"{w} "[:n] in known for n, known in stems.items()):
+            out.update(" ".join(words[a:b]) for a, b in ((i - 1, i + 1), (i, i + 2), (i - 2, i + 1), (i - 1, i + 2), (i, i + 3)) if a >= 0 and b <= len(words))
+    return out
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -185,7 +204,8 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int = FIT_CLEAN) -> Lexicon:
     """A lexicon from at most ``toxic`` + ``clean`` labelled documents that aren't held out.
 
-    Document counts of words and stems are made on the executors; what reaches the driver is the terms that clear the
+    Document counts of words and stems, and then of the phrases around those that the lexicon has, are made on the executors.
+    Longer words and phrases that clean documents have as well are its exceptions. What reaches the driver is the terms that clear the
     bar of :func:`select`, at most in proportion to the bounded sample, and two numbers for each row of the sample.
     Rows without a label or an id, or with labels that contradict each other, aren't learned from.
     """
@@ -196,31 +216,38 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").repartition(48, "id")
     sample = saved(without_copies(saved(sample, "toxicity-labelled")).repartition(48, "id"), "toxicity-sample")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                counts: dict[str, list[int]] = {}
-                for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    for term in terms(text):
-                        counts.setdefault(term, [0, 0])[label] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())],
-                    names=["term", "x", "y"],
-                )
+    def counted(found: Callable[[str | None], set[str]]) -> DataFrame:
+        """(term, toxic documents, clean documents) of what is found in each text of the sample."""
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 200):
+                    part = batch.slice(i, 200)
+                    counts: dict[str, list[int]] = {}
+                    for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                        for term in found(text):
+                            counts.setdefault(term, [0, 0])[label] += 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())],
+                        names=["term", "x", "y"],
+                    )
+
+        parts = sample.select("text", "toxic").mapInArrow(spread, "term string, x long, y long")
+        return parts.groupBy("term").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = sample.select("text", "toxic").mapInArrow(spread, "term string, x long, y long").groupBy("term").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    counts = counted(terms)
     found = counts.where("x >= 3 and x >= y").collect()
     lexicon = select([(r["term"], r["x"], r["y"]) for r in found], n.get(1, 0), n.get(0, 0))
+    share = n.get(1, 0) / max(sum(n.values()), 1)
+    benign = (F.col("y") >= 3) & (F.col("x") * (1 - share) < 2 * F.col("y") * share)  # no likelier than others to be in toxic documents
     stems = [s for s in lexicon.weights if not s.endswith(" ")]
     if stems:
-        # words that begin like a stem but are no likelier than others to be in toxic documents
-        like = counts.where(F.col("term").endswith(" ") & (F.col("y") >= 3) & F.substring("term", 1, min(STEMS)).isin(sorted({s[: min(STEMS)] for s in stems})))
-        more = [(r["term"], r["x"], r["y"]) for r in like.collect()]
-        weights = lexicon.weights
-        share = n.get(1, 0) / max(sum(n.values()), 1)
-        lexicon.exceptions = {t.strip() for t, x, y in more if any(t.startswith(s) for s in stems) and t not in weights and x < 2 * y * share / (1 - share)}
+        like = counts.where(F.col("term").endswith(" ") & benign & F.substring("term", 1, min(STEMS)).isin(sorted({s[: min(STEMS)] for s in stems})))
+        words = [r["term"] for r in like.select("term").collect()]
+        lexicon.exceptions = {t.strip() for t in words if any(t.startswith(s) for s in stems) and t not in lexicon.weights}
+    if lexicon.weights:
+        lexicon.exceptions |= {r["term"] for r in counted(lambda text: phrases(text, lexicon)).where(benign).select("term").collect()}
     automaton = lexicon.automaton()
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -406,6 +406,35 @@ def test_patience_alignment():
     assert len(licenses.patience(list("abcdef"), list("abXdef"))) == 5
 
 
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_patience_against_the_longest_common_sequence():
+    """Never more than that, and as many where no word comes twice."""
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        assert len(licenses.patience(a, b)) <= longest_common(a, b)
+        a, b = (rng.sample("abcdefghijkl", rng.randint(0, 12)) for _ in range(2))
+        assert len(licenses.patience(a, b)) == longest_common(a, b)
+
+
+def test_scan_against_every_place():
+    """Texts with an edited template: found where the alignment at some place covers enough, and nowhere else."""
+    rng, known = random.Random(4), licenses.Templates()
+    for k in range(0, len(known.words), 2):
+        for share in (0.05, 0.5):
+            words = [w if rng.random() > share else "zz" for w in known.words[k]]
+            text = ["before"] * 7 + words + ["after"] * 9
+            best = max(len(licenses.patience(text, t)) / len(t) for t, need in zip(known.words, known.needed, strict=True) if need <= set(text))
+            assert bool(known.scan(" ".join(text))) == (best >= licenses.COVERAGE)
+
+
 def test_license_scan(spark):
     known = licenses.Templates()
     for name, _, text in licenses.TEMPLATES:
@@ -440,6 +469,59 @@ def labelled(spark, n=1200, seed=0):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def plain_rate(text, lexicon):
+    """All places, all terms: the longest term at each place counts, unless it begins inside an exception."""
+    folded = f" {toxicity.fold(text)} "
+    if not folded.strip():
+        return 0.0
+    terms = {" " + t: w for t, w in lexicon.weights.items()} | {f" {e} ": 0.0 for e in lexicon.exceptions}
+    total, clear = 0.0, 0
+    for at in range(len(folded)):
+        found = [t for t in terms if folded.startswith(t, at)]
+        if not found:
+            continue
+        longest = max(found, key=len)
+        if not terms[longest]:
+            clear = max(clear, at + len(longest) - 1)
+        elif at >= clear:
+            total += terms[longest]
+    return 100 * total / (len(folded.split()) + 10)
+
+
+def test_matches_are_the_plain_ones():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({"bad ": 2.0, "worse": 1.5, "wor ": 0.5}, {"not bad", "worsening", "bad hair day", "bad luck"})
+    found = lexicon.automaton()
+    words = ["bad", "b4d", "ｂａｄ", "bád", "not", "worse", "worsen", "worsening", "hair", "day", "luck", "fine", "wor"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        assert toxicity.rate(text, found) == pytest.approx(plain_rate(text, lexicon))
+
+
+def test_folding_of_letters():
+    assert toxicity.fold("Ｂａｄ 𝐛𝐚𝐝 𝓫𝓪𝓭 bäd b̶a̶d bаd") == " ".join(["bad"] * 6)
+
+
+def test_exception_phrases_are_learned(spark):
+    """A word that toxic texts have, but clean ones in a phrase of their own: the phrase is an exception."""
+    rng = random.Random(5)
+    filler = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(400):
+        text = rng.choices(filler, k=30)
+        toxic = i % 4 == 0
+        if toxic:
+            text[rng.randrange(30)] = "vile"
+        elif i % 16 == 1:
+            text[10:12] = ["vile", "vortex"]
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "vile " in lexicon.weights and "vile vortex" in lexicon.exceptions
+    found = lexicon.automaton()
+    assert toxicity.rate("w1 vile vortex w2", found) == 0 < toxicity.rate("w1 vile w2", found)
+
+
 def test_toxicity(spark):
     docs, labels = labelled(spark)
     lexicon = toxicity.learn(docs, labels)
