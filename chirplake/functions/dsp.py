@@ -66,6 +66,15 @@ def decode(content: bytes, offset: float = 0.0, duration: float | None = None, s
     return (resample(x, rate, sr), sr) if sr and sr != rate else (x, rate)
 
 
+def masked(mask: tuple[float, float] | None, timeexp: float | None) -> tuple[float, float | None]:
+    """Offset and duration in the file of a window in real time; a file with a time expansion is read that much earlier."""
+    if mask is None:
+        return 0.0, None
+    if mask[0] < 0 or mask[1] <= mask[0]:
+        raise ValueError("a mask starts at 0 or later and ends after its start")
+    return mask[0] / (timeexp or 1.0), (mask[1] - mask[0]) / (timeexp or 1.0)
+
+
 def resample(x: np.ndarray, rate: int, sr: int) -> np.ndarray:
     """Band-limited resampling of each channel through its spectrum."""
     n = int(round(x.shape[-1] * sr / rate))

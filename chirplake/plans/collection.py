@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ class Collection:
     # storage
 
     def dump(self, path: str, overwrite: bool = False) -> None:
-        """A copy of the tables and the description."""
-        writers.save_tables(self.tables, path, overwrite)
+        """A copy of the tables, the parsers that made them and the description."""
+        writers.save_tables({**self.tables, "parsers": self.get_parsers()}, path, overwrite)
         writers.save_json(self.spark, f"{path}/info.json", {"name": self.name, "type": self.get_type(), "metadata": self.metadata})
 
     def to_disk(self, path: str, overwrite: bool = False) -> Collection:
@@ -105,9 +106,16 @@ class Collection:
         return self._set({**self.tables, "parsed": ingest.update_field(self.tables["parsed"], field, value, query, orid)})
 
     def drop_media(self, query: dict | None = None, where: str | None = None, orid: int | None = None, cascade: bool = True) -> DataFrame:
-        """Remove the media that a predicate selects; gives them back."""
+        """Remove the media that a predicate selects, and their files where those are the collection's own; gives them back.
+
+        A bare file name is in the collection's media folder. Files elsewhere stay.
+        """
         tables, gone = ingest.remove(self.tables, query, where, orid, cascade)
+        gone = ingest.stored(gone)
         self._set(tables)
+        if self.path:
+            own = gone.where("instr(path, '/') = 0").select(resolve_path(F.col("path"), f"{self.path}/media").alias("path"))
+            writers.delete_files(own)
         return gone
 
     def merge(self, other: Collection) -> Collection:
@@ -115,6 +123,15 @@ class Collection:
 
     # queries
 
+    def select(self, statement: str) -> DataFrame:
+        """``SELECT`` and any SQL after it; ``{parsed}``, ``{original}``, ``{annotations}``, ``{datastores}`` are the tables."""
+        return self.spark.sql("SELECT " + statement, **self.tables)
+
+    def get_parsers(self) -> DataFrame:
+        """(function, kwargs) of the parsers that recordings went through, and the number of recordings."""
+        steps = self.tables["parsed"].select(F.explode("parse_seq").alias("p"))
+        return steps.groupBy("p.function", "p.kwargs").agg(F.count(F.lit(1)).alias("count"))
+
     def _parsed(self, query: dict | None = None, where: str | None = None, orid: int | None = None) -> DataFrame:
         df = find(self.tables["parsed"], query, where, orid)
         return df.withColumn("path", resolve_path(F.col("path"), f"{self.path}/media")) if self.path else df
@@ -134,27 +151,28 @@ class Collection:
         query = {"id": noteid} if noteid is not None else query
         return joins.annotated(self.tables["annotations"], self._parsed(), query, media_fields, subgroup)
 
-    def get_signals(self, query: dict | None = None, sr: int | None = None, channel: int | None = None) -> DataFrame:
-        """(orid, md5, signal) of one channel, or the mean of all."""
-        from chirplake.functions.dsp import decode, pick_channel
+    def get_signals(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, mask: tuple[float, float] | None = None) -> DataFrame:
+        """(orid, md5, signal) of one channel, or the mean of all; ``mask`` is a window in seconds of real time."""
+        from chirplake.functions.dsp import decode, masked, pick_channel
 
         @F.pandas_udf("array<double>")
-        def signal(content):  # noqa: ANN001, ANN202
-            return content.map(lambda c: pick_channel(decode(c, sr=sr)[0], channel))
+        def signal(content: pd.Series, timeexp: pd.Series) -> pd.Series:
+            return pd.Series([pick_channel(decode(c, *masked(mask, t), sr)[0], channel) for c, t in zip(content, timeexp, strict=True)], dtype=object)
 
-        return self._with_content(query).select("orid", "md5", signal("content").alias("signal"))
+        return self._with_content(query).select("orid", "md5", signal("content", "media_info.timeexp").alias("signal"))
 
-    def get_specs(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, n_fft: int = 1024, hop: int = 512) -> DataFrame:
-        """(orid, md5, freqs, spec): centre frequencies, and magnitudes by frequency and frame."""
+    def get_specs(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, n_fft: int = 1024, hop: int = 512, mask: tuple[float, float] | None = None) -> DataFrame:
+        """(orid, md5, freqs, spec): centre frequencies, and magnitudes by frequency and frame; of a window with ``mask``."""
         from chirplake.functions.arrays import frequencies
-        from chirplake.functions.dsp import decode, pick_channel, spectrogram
+        from chirplake.functions.dsp import decode, masked, pick_channel, spectrogram
 
         @F.pandas_udf("array<array<double>>")
-        def spec(content):  # noqa: ANN001, ANN202
-            return content.map(lambda c: list(spectrogram(pick_channel(decode(c, sr=sr)[0], channel), n_fft, hop)))
+        def spec(content: pd.Series, timeexp: pd.Series) -> pd.Series:
+            signals = (pick_channel(decode(c, *masked(mask, t), sr)[0], channel) for c, t in zip(content, timeexp, strict=True))
+            return pd.Series([list(spectrogram(x, n_fft, hop)) for x in signals], dtype=object)
 
         rate = F.lit(sr) if sr else F.col("media_info.samplerate")
-        return self._with_content(query).select("orid", "md5", frequencies(rate, n_fft).alias("freqs"), spec("content").alias("spec"))
+        return self._with_content(query).select("orid", "md5", frequencies(rate, n_fft).alias("freqs"), spec("content", "media_info.timeexp").alias("spec"))
 
     def get_zcr(self, query: dict | None = None, channel: int | None = None, frame_length: int = 2048, hop: int = 512) -> DataFrame:
         """(orid, md5, zcr): share of sign changes in each frame."""

@@ -120,8 +120,13 @@ class Soundscape:
         if not fragment.limit(1).count():
             raise ValueError("the fragment has no recordings")
         self.nodes: dict[str, Callable[[], DataFrame]] = {}
+        self.splitter = splitter or native_splits
         self.set_node("fragment", lambda: fragment)
-        self.set_node("splits", lambda f: (splitter or native_splits)(f, self.config), "fragment")
+        self._connect()
+
+    def _connect(self) -> None:
+        """The nodes that follow from the configuration."""
+        self.set_node("splits", lambda f: self.splitter(f, self.config), "fragment")
         base = "splits"
         if self.config.cronoParams:
             self.set_node("calendarized", lambda s: calendarize(s, self.config.cronoParams), "splits")
@@ -131,6 +136,12 @@ class Soundscape:
         p = self.config.samplingParams
         self.set_node("sample", lambda s: stratified_sample(s, keys, p.size, p.replace, "chunkId"), base)
 
+    def set_config(self, changes: dict[str, dict]) -> Soundscape:
+        """Known keys over the configuration as it is; nodes that were added stay, and kept ones are read no more."""
+        self.config = self.config.merged(changes)
+        self._connect()
+        return self
+
     def set_node(self, name: str, function: Callable[..., DataFrame], *inputs: str) -> None:
         """Add a node: a function of other nodes."""
         self.nodes[name] = lambda: function(*[self.get_node(i) for i in inputs])
@@ -176,19 +187,24 @@ class Soundscape:
         if self.path:
             writers.delete(self._spark(), f"{self.path}/{self.name}")
 
-    def matrix(self, group: dict | None = None, stat: str = "mean", names: list[str] | None = None, time_limits: tuple[str, str] | None = None) -> DataFrame:
-        """(timeCell, level, value, norm): what a plot of the soundscape shows."""
+    def matrix(self, group: dict | None = None, stat: str = "mean", names: list[str] | None = None, time_limits: tuple[str, str] | None = None, freq_limits: tuple[float, float] | None = None) -> DataFrame:
+        """(timeCell, level, value, norm): what a plot of the soundscape shows; ``freq_limits`` must span two levels."""
         c = self.config.cronoParams
+        if freq_limits:
+            names = self._levels(freq_limits)
+            if len(names) < 2:
+                raise ValueError(f"no range of levels in {freq_limits}")
         df = self._limited(self.get_splits(group), time_limits, None)
         return aggregates.crono_matrix(df, names or self.config.energyParams.columns(), 0, c.modulo - 1, stat=stat)
 
+    def _levels(self, freq_limits: tuple[float, float]) -> list[str]:
+        energy = self.config.energyParams
+        low, high = level_range(freq_limits, *energy.fLimits, energy.fBins)
+        return energy.columns()[low : high + 1]
+
     def by_percentile(self, percentiles: tuple[float, float], group: dict | None = None, cells: list[int] | None = None, time_limits: tuple[str, str] | None = None, freq_limits: tuple[float, float] | None = None, names: list[str] | None = None, top: int = 10) -> DataFrame:
         """The rows whose energies lie most often between two percentiles, at most ``top``, with their score."""
-        energy = self.config.energyParams
-        names = names or energy.columns()
-        if freq_limits:
-            low, high = level_range(freq_limits, *energy.fLimits, energy.fBins)
-            names = energy.columns()[low : high + 1]
+        names = self._levels(freq_limits) if freq_limits else names or self.config.energyParams.columns()
         df = self._limited(self.get_splits(group), time_limits, cells)
         return aggregates.top_scores(aggregates.percentile_scores(df, names, percentiles), top, ["orid", "chunkId", "channel"])
 

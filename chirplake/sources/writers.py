@@ -76,6 +76,23 @@ def copy_media(media: DataFrame, folder: str) -> DataFrame:
     return media.select("orid", "md5", "path").mapInPandas(run, "orid long, md5 string, path string, original_path string")
 
 
+def delete_files(files: DataFrame) -> int:
+    """Delete the files of a column ``path`` on the executors, and count those that were there."""
+    from pyarrow import fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = 0
+            for path in batch.path:
+                store, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                if store.get_file_info(place).type == fs.FileType.File:
+                    store.delete_file(place)
+                    n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    return files.select("path").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_chunks(media: DataFrame, folder: str, sr: int | None = None) -> DataFrame:
     """Write (orid, md5, content, tlimits, number) chunks as WAV to ``folder``/<md5>; (orid, number, tlimits, path)."""
     from pyarrow import fs

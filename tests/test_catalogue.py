@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chirplake.functions import dsp
 from chirplake.operators import ingest
 from chirplake.plans.collection import Collection, TimedCollection
+from chirplake.plans.dataset import Dataset
 from chirplake.plans.soundscape import Soundscape, audio_splits, mixed_model_formula
 from chirplake.sources import readers, writers
 from chirplake.streaming import ingest as streams
@@ -110,6 +111,53 @@ def test_disk(spark, col, tmp_path):
     assert files.count() == 5
 
 
+def test_own_media_files_go(spark, col, tmp_path):
+    own = Collection(spark, "own")
+    own.tables = col.tables
+    own.to_disk(str(tmp_path / "own"))
+    own.materialize(str(tmp_path / "own" / "media"))
+    assert len(list((tmp_path / "own" / "media").glob("*.wav"))) == 3
+    gone = own.drop_media({"metadata.site.id": 1})
+    assert gone.count() == 1 and own.get_size() == 2
+    assert sorted(f.stem for f in (tmp_path / "own" / "media").glob("*.wav")) == sorted(r.md5 for r in own.get_media().collect())
+    before = len(list((tmp_path / "own" / "media").glob("*.wav")))
+    col_files = {r.path for r in col.get_media().collect()}
+    assert before == 2 and len(col_files) == 3  # the originals are elsewhere
+
+
+def test_select_and_parsers(spark, col, tmp_path):
+    assert col.select("count(*) AS n, max(p.orid) AS top FROM {parsed} p JOIN {original} o ON p.orid = o.id").first() == (3, 3)
+    (parser,) = col.get_parsers().collect()
+    assert (parser["function"], json.loads(parser["kwargs"]), parser["count"]) == ("mark", {"value": 3}, 3)
+    col.dump(str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy" / "parsers.parquet")).count() == 1
+
+
+def test_dataset(spark, col, tmp_path):
+    config = {"globalParams": {"collectionFilter": {"metadata.site.id": {"$lt": 2}}, "groupingFields": ["site.id"]}, "splittingParams": {"folds": 2}}
+    d = Dataset(col, "d", str(tmp_path), config)
+    rows = d.get_media().collect()
+    assert sorted((r.orid, r["site.id"]) for r in rows) == [(r.orid, str(r.orid - 1)) for r in sorted(rows, key=lambda r: r.orid)] and len(rows) == 2
+    assert {r.split for r in rows} <= {"train", "test", "validation"} and {r.fold for r in rows} <= {0, 1}
+    assert sum(d.get_media(split=s).count() for s in ("train", "test", "validation")) == sum(d.get_media(fold=f).count() for f in (0, 1)) == 2
+    assert Dataset(col, "d", str(tmp_path)).config == d.config
+    with pytest.raises(ValueError):
+        Dataset(Collection(spark, "other"), "d", str(tmp_path))
+    for wrong in ({"globalParams": {"collectionFilter": {"metadata.site.id": 99}}}, {"splittingParams": {"splits": {"a": 99}}}, {"splittingParams": {"none": 1}}):
+        with pytest.raises(ValueError):
+            d.set_config(wrong)
+
+
+def test_masks(col):
+    one = {"metadata.site.id": 1}
+    whole, part = (col.get_signals(one, channel=1, mask=m).first().signal for m in (None, (2.0, 3.5)))
+    assert len(part) == 66150 and part == whole[88200 : 88200 + 66150]
+    assert dsp.masked((2.0, 4.0), 10.0) == (0.2, 0.2) and dsp.masked(None, 10.0) == (0.0, None)
+    assert len(col.get_specs(one, mask=(0.0, 1.0)).first().spec[0]) == len(dsp.spectrogram(np.zeros(44100))[0])
+    with pytest.raises(ValueError):
+        dsp.masked((3.0, 2.0), 1.0)
+
+
 def test_signals_and_specs(col):
     rows = {r.orid: r for r in col.get_specs({"media_info.duration": {"$lt": 50}}).collect()}
     (row,) = rows.values()
@@ -145,6 +193,14 @@ def test_audio_soundscape(col, tmp_path):
             assert energies.index(max(energies)) in ((0, 1) if r.channel == 0 else (3, 4))
     assert s.get_counts().first()["count"] == 6
     assert s.matrix().count() == 240 and s.by_percentile((0, 100), top=3).count() == 3
+    assert {r.level for r in s.matrix(freq_limits=(1000, 4000)).select("level").distinct().collect()} == {"e_1", "e_2", "e_3", "e_4"}
+    with pytest.raises(ValueError):
+        s.matrix(freq_limits=(1000, 1100))
+    before = s.config.fingerprint()
+    s.set_node("doubled", lambda f: f.select("orid").union(f.select("orid")), "fragment")
+    s.set_config({"energyParams": {"tStep": 30}, "cronoParams": {"modulo": 12}})
+    assert s.config.fingerprint() != before and s.get_node("doubled").count() == 6 and s.matrix().count() == 120
+    assert s.get_splits().count() > 6
     with pytest.raises(ValueError):
         Soundscape("s", fragment, {"energyParams": {"nothing": 1}})
     with pytest.raises(ValueError):
