@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirplake.llm.shared import saved
+from chirplake.llm.shared import forget, saved
 
 # Characters that are read as another.
 HOMOGLYPHS = {
@@ -32,7 +32,8 @@ THRESHOLD = 0.3
 #: Log-likelihood that a term has to gain over chance.
 GAIN = 9.2
 
-_leet = re.compile(r"(?<=\w)[0134578@$!](?=\w)|(?<!\w)[0134578@$!](?=[^\W\d])|(?<=[^\W\d])[0134578@$](?!\w)")
+#: Inside a word, before a letter that it begins, or after a letter that it ends; the class comes first, as it is rare in texts.
+_leet = re.compile(r"[0134578@$!](?:(?<=\w.)(?=\w)|(?<!\w.)(?=[^\W\d])|(?<=[^\W\d][^!])(?!\w))")
 _other = re.compile("[^\\W_]+")
 _glyphs = str.maketrans(HOMOGLYPHS)
 _special = re.compile("[" + "".join(HOMOGLYPHS) + "]")
@@ -80,7 +81,10 @@ class Lexicon:
 
 def rate(text: str | None, found: ahocorasick.Automaton) -> float:
     """Weight of the longest match at each place, per hundred words; a match inside an exception counts nothing."""
-    folded = fold(text or "")
+    return folded_rate(fold(text or ""), found)
+
+
+def folded_rate(folded: str, found: ahocorasick.Automaton) -> float:
     if not folded or not len(found):
         return 0.0
     best: dict[int, tuple[int, float]] = {}
@@ -150,17 +154,17 @@ def calibrate(lexicon: Lexicon, rates: np.ndarray, labels: np.ndarray) -> Lexico
     return lexicon
 
 
-def terms(text: str | None) -> set[str]:
+def terms(folded: str) -> set[str]:
     out: set[str] = set()
-    for word in set(fold(text or "").split()):
+    for word in set(folded.split()):
         out.add(word + " ")
         out.update(word[:k] for k in STEMS if k <= len(word))
     return out
 
 
-def sketch(text: str | None) -> list[int]:
+def sketch(folded: str) -> list[int]:
     """Minima of SKETCHES hashes over a text's shingles of five words; near copies share nearly all of them."""
-    words = fold(text or "").split()
+    words = folded.split()
     if not words:
         return []
     shingles = {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
@@ -168,25 +172,31 @@ def sketch(text: str | None) -> list[int]:
     return [int((hashes * np.uint64(2 * k + 3) ^ (hashes >> np.uint64(29 + k))).min().view(np.int64)) for k in range(SKETCHES)]
 
 
-def without_copies(sample: DataFrame) -> DataFrame:
-    """A bounded sample (id, text, toxic) without later copies: else the rare words of one text that was copied many times
-    would look like words of toxic texts in general. A row goes if any of its minima is an earlier row's."""
+def folded_sample(sample: DataFrame) -> DataFrame:
+    """A sample (id, text, toxic) with its texts folded, once for all that is learned from them, and their minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "minima"])
+            texts = [fold(t or "") for t in batch.column("text").to_pylist()]
+            minima = pa.array([sketch(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(texts, pa.string()), minima], names=["id", "toxic", "text", "minima"])
 
-    kind = sample.schema["id"].dataType.simpleString()
-    minima = sample.select("id", "text").mapInArrow(run, f"id {kind}, minima array<long>").select("id", F.posexplode("minima").alias("k", "m"))
+    kinds = ", ".join(f"{c} {sample.schema[c].dataType.simpleString()}" for c in ("id", "toxic"))
+    return sample.select("id", "toxic", "text").mapInArrow(run, f"{kinds}, text string, minima array<long>")
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """A folded sample without later copies: else the rare words of one text that was copied many times would look like
+    words of toxic texts in general. A row goes if any of its minima is an earlier row's."""
+    minima = sample.select("id", F.posexplode("minima").alias("k", "m"))
     first = minima.groupBy("k", "m").agg(F.min("id").alias("first"))
     copies = minima.join(first, ["k", "m"]).where("id > first").select("id").distinct()
-    return sample.join(copies, "id", "left_anti")
+    return sample.drop("minima").join(copies, "id", "left_anti")
 
 
-def phrases(text: str | None, lexicon: Lexicon) -> set[str]:
+def phrases(folded: str, lexicon: Lexicon) -> set[str]:
     """Phrases of two and three words of a folded text around each word that the lexicon weighs."""
-    words = fold(text or "").split()
+    words = folded.split()
     stems = {len(t): set() for t in lexicon.weights}
     for t in lexicon.weights:
         stems[len(t)].add(t)
@@ -214,9 +224,10 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int
     chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), "toxic"))  # toxic + clean rows at most
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(chosen, "id").repartition(48, "id")
-    sample = saved(without_copies(saved(sample, "toxicity-labelled")).repartition(48, "id"), "toxicity-sample")
+    labelled = saved(folded_sample(sample), "toxicity-labelled")
+    sample = saved(without_copies(labelled).repartition(48, "id"), "toxicity-sample")
 
-    def counted(found: Callable[[str | None], set[str]]) -> DataFrame:
+    def counted(found: Callable[[str], set[str]]) -> DataFrame:
         """(term, toxic documents, clean documents) of what is found in each text of the sample."""
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int
         return parts.groupBy("term").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = counted(terms)
+    counts = saved(counted(terms).where("x >= 3 OR y >= 3"), "toxicity-terms")
     found = counts.where("x >= 3 and x >= y").collect()
     lexicon = select([(r["term"], r["x"], r["y"]) for r in found], n.get(1, 0), n.get(0, 0))
     share = n.get(1, 0) / max(sum(n.values()), 1)
@@ -252,9 +263,10 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = FIT_TOXIC, clean: int
 
     def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([rate(t, automaton) for t in batch.column("text").to_pylist()], pa.float64())], names=["toxic", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([folded_rate(t, automaton) for t in batch.column("text").to_pylist()], pa.float64())], names=["toxic", "rate"])
 
     seen = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(rates, "toxic int, rate double").toArrow()
+    forget(labelled, sample, counts)
     return calibrate(lexicon, seen.column("rate").to_numpy(), seen.column("toxic").to_numpy().astype(float))
 
 
