@@ -9,6 +9,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -375,12 +376,13 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            upto = np.cumsum([0, *(len(t or "") for t in texts)])
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
             start = 0
             while start < len(texts):
                 end = max(start + 1, int(np.searchsorted(upto, upto[start] + BATCH_CHARS, side="right")) - 1)
-                part, rows = texts[start:end], batch.column("row").slice(start, end - start)
+                part, rows = texts.slice(start, end - start).to_pylist(), batch.column("row").slice(start, end - start)
                 ids = pieces.encode(part)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32)
