@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.llm import htmltext, itq, licenses, linededup, mixing, mtree, simhash, suffixpieces, tokenrecords, toxicity
+from chirplake.llm import htmltext, itq, licenses, linededup, merkle, mixing, mtree, quality, simhash, suffixpieces, tokenrecords, toxicity, whitening
 from chirplake.llm.shared import saved
 
 
@@ -66,9 +66,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("row.doc_id", "text", "removed")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    even = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0) & (F.instr("text", "\n") > 0)
+    tampered = F.when(even, merkle.leaf(*own[:-1], F.replace("text", F.lit("\n"), F.lit(""))))
+    proved = merkle.manifest(docs, merkle.leaf(*own), {"doc_id": F.col("doc_id"), "tampered": tampered})
+    checked = merkle.verify(proved, F.coalesce("row.tampered", "leaf"))
+    return checked.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitened.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.quality(docs, quality.learn(docs, table(spark, sf_dir, "labels"))).select("row.doc_id", "score")
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mix, op2_mtree_topk, op3_html_text, op4_simhash_dedup, op5_token_records, op6_sentencepiece, op7_itq_dedup,
-    op8_license_scan, op9_toxicity, op10_line_dedup,
+    op8_license_scan, op9_toxicity, op10_line_dedup, op11_merkle_manifest, op12_embedding_whitening, op13_quality_score,
 )}
 
 ORACLE_SQL = {
@@ -137,4 +158,51 @@ ORACLE_SQL = {
             FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
         SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text, coalesce(removed, 0) AS removed
         FROM documents d LEFT JOIN left_over o ON d.doc_id = o.doc_id""",
+    "op11_merkle_manifest": """
+        WITH RECURSIVE c AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+        d AS (
+            SELECT doc_id, source,
+                   list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text], lambda f: coalesce(strlen(f) || ':' || f, '-')) AS own,
+                   CASE WHEN xor(4294967295, list_reduce(
+                       list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ord(s)::BIGINT)),
+                       lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]))) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other
+            FROM documents, c),
+        leaf AS (
+            SELECT doc_id, source, sha256(array_to_string(own, '')) AS leaf,
+                   sha256(array_to_string(own[:4], '') || coalesce(strlen(other) || ':' || other, '-')) AS tampered,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+            FROM d),
+        low AS (
+            SELECT 0 AS level, source, idx, n, leaf AS hash FROM leaf
+            UNION ALL
+            SELECT level + 1, source, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM low WHERE n > 1
+            GROUP BY level, source, idx // 3, n),
+        sub AS (SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+        high AS (
+            SELECT 0 AS level, idx, n, subroot AS hash FROM sub
+            UNION ALL
+            SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM high WHERE n > 1
+            GROUP BY level, idx // 3, n),
+        steps AS (
+            SELECT level, source, idx, n, coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM low WHERE n > 1 WINDOW r AS (PARTITION BY level, source, idx // 3 ORDER BY idx)),
+        top_steps AS (
+            SELECT level, idx, n, coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(hash, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM high WHERE n > 1 WINDOW r AS (PARTITION BY level, idx // 3 ORDER BY idx)),
+        climb AS (
+            SELECT doc_id, source, 0 AS level, idx, n, tampered AS folded, '' AS proof FROM leaf
+            UNION ALL
+            SELECT c.doc_id, c.source, c.level + 1, c.idx // 3, (c.n + 2) // 3, sha256(s.l || c.folded || s.r), c.proof || s.l || s.r
+            FROM climb c JOIN steps s ON c.level = s.level AND c.idx = s.idx AND c.source IS NOT DISTINCT FROM s.source),
+        climb_on AS (
+            SELECT c.doc_id, 0 AS level, sub.idx, sub.n, c.folded, c.proof, sub.subroot FROM climb c JOIN sub ON c.n = 1 AND c.source IS NOT DISTINCT FROM sub.source
+            UNION ALL
+            SELECT c.doc_id, c.level + 1, c.idx // 3, (c.n + 2) // 3, sha256(s.l || c.folded || s.r), c.proof || s.l || s.r, c.subroot
+            FROM climb_on c JOIN top_steps s ON c.level = s.level AND c.idx = s.idx),
+        root AS (SELECT hash AS root FROM high WHERE n = 1)
+        SELECT c.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM climb_on c JOIN leaf USING (doc_id), root WHERE c.n = 1""",
 }
