@@ -34,36 +34,17 @@ def apply(transform: dict | str | None, value: Any, **context: Any) -> Any:
 
 def wav_info(content: bytes) -> dict[str, Any]:
     """Sample rate, channels, sample width and frames of a RIFF file, from its header."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise ValueError("no RIFF header")
-    at, info = 12, {}
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            channels, rate, _, block, bits = struct.unpack("<HIIHH", content[at + 10 : at + 24])
-            info = {"samplerate": rate, "nchannels": channels, "sampwidth": bits // 8, "block": block}
-        elif name == b"data" and info:
-            return {**{k: info[k] for k in ("samplerate", "nchannels", "sampwidth")}, "nframes": size // max(info["block"], 1)}
-        at += 8 + size + (size & 1)
-    raise ValueError("no data chunk")
+    from chirplake.sources.media import HEADER_FIELDS, BytesFile, header
+
+    found = header(BytesFile(content))
+    return {k: getattr(found, k) for k in HEADER_FIELDS}
 
 
 def decode(content: bytes, offset: float = 0.0, duration: float | None = None, sr: int | None = None) -> tuple[np.ndarray, int]:
-    """(channels x samples from -1 to 1, sample rate) of a window of a PCM file, resampled if ``sr`` is given."""
-    with wave.open(io.BytesIO(content)) as f:
-        rate, n, width, channels = f.getframerate(), f.getnframes(), f.getsampwidth(), f.getnchannels()
-        first = min(max(int(round(offset * rate)), 0), n)
-        f.setpos(first)
-        data = f.readframes(n - first if duration is None else max(int(round(duration * rate)), 0))
-    if width == 1:
-        x = np.frombuffer(data, np.uint8).astype(np.float64) / 128 - 1
-    elif width == 3:
-        raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = ((raw[:, 0] << 8 | raw[:, 1] << 16 | raw[:, 2] << 24) >> 8).astype(np.float64) / 2**23
-    else:
-        x = np.frombuffer(data, f"<i{width}").astype(np.float64) / 2.0 ** (8 * width - 1)
-    x = x.reshape(-1, channels).T
-    return (resample(x, rate, sr), sr) if sr and sr != rate else (x, rate)
+    """(channels x samples from -1 to 1, sample rate) of a window of a file in memory, resampled if ``sr`` is given."""
+    from chirplake.sources.media import BytesFile, window
+
+    return window(BytesFile(content), offset, duration, sr)
 
 
 def masked(mask: tuple[float, float] | None, timeexp: float | None) -> tuple[float, float | None]:
@@ -177,33 +158,70 @@ def frequency_bands(freqs: np.ndarray, limits: tuple[float, float], n: int) -> l
     return list(zip(at, at[1:], strict=False))
 
 
-def slice_energy(
-    spec: np.ndarray, duration: float, start: float, size: int, cuts: list[tuple[int, int]], aggr: dict | str = "sum", spec_transform: dict | str | None = None, full_spec: dict | None = None
-) -> tuple[int, float, list[float | None]]:
-    """(frames, weight, a value for each band) of a chunk of a spectrogram.
+def frame_count(n: int, n_fft: int, hop: int) -> int:
+    """Frames of a centred spectrogram of n samples."""
+    padded = n + 2 * (n_fft // 2)
+    return (padded - n_fft) // hop + 1 if n and padded >= n_fft else 0
 
-    A chunk of under half the frames has zeros. A band without bins has none. ``full_spec`` gives the values from the
-    whole slice instead, as a dict with its out_names in order.
-    """
-    frames = spec.shape[1]
+
+def chunk_frames(frames: int, duration: float, start: float, size: int) -> tuple[int, int]:
+    """(first, end) frames of a chunk of ``size`` frames from ``start``; the last frame is never included."""
     first = min(round(frames / duration * start), frames - 1) if duration else 0
-    end = min(first + size, frames - 1)
-    n = max(end - first, 0)
-    names = full_spec["out_names"] if full_spec else None
-    if n < size / 2:
-        return n, n / size, [0.0] * (len(names) if names else len(cuts))
-    part = spec[:, first:end]
+    return first, max(min(first + size, frames - 1), first)
+
+
+def band_values(part: np.ndarray, cuts: list[tuple[int, int]], aggr: dict | str = "sum", spec_transform: dict | str | None = None, full_spec: dict | None = None) -> list[float | None]:
+    """A value for each band of a slice of a spectrogram; none for a band without bins.
+
+    ``full_spec`` gives the values from the whole slice instead, as a dict with its out_names in order.
+    """
     if full_spec:
         got = apply(full_spec, part, fCuts=cuts)
-        return n, n / size, [float(got[k]) for k in names]
+        return [float(got[k]) for k in full_spec["out_names"]]
     part = apply(spec_transform, part, fCuts=cuts)
-    return n, n / size, [float(apply(aggr, part[a:b])) if b > a else None for a, b in cuts]
+    return [float(apply(aggr, part[a:b])) if b > a else None for a, b in cuts]
+
+
+def slice_energy(
+    spec: np.ndarray, duration: float, start: float, size: int, cuts: list[tuple[int, int]], aggr: dict | str = "sum", spec_transform: dict | str | None = None, full_spec: dict | None = None
+) -> tuple[int, float, list[float | None]]:
+    """(frames, weight, a value for each band) of a chunk of a whole spectrogram; one of under half the frames has zeros."""
+    first, end = chunk_frames(spec.shape[1], duration, start, size)
+    n = end - first
+    if n < size / 2:
+        return n, n / size, [0.0] * (len(full_spec["out_names"]) if full_spec else len(cuts))
+    return n, n / size, band_values(spec[:, first:end], cuts, aggr, spec_transform, full_spec)
+
+
+#: Bytes of samples in a piece of a recording, and in a task.
+PIECE_BYTES, TASK_BYTES = 32 << 20, 128 << 20
+
+
+def pieces(recordings: DataFrame, config: Any, tasks: int) -> DataFrame:
+    """``recordings`` (path, filesize, fileDuration and more) with the chunks ``_from`` to ``_until`` of each piece, dealt to tasks by size.
+
+    A long recording is cut at chunk bounds into pieces of about PIECE_BYTES, each read by range; where a transform or a
+    resampling needs the whole signal it is one piece. Pieces are ordered by path and laid end to end, and each stretch of
+    TASK_BYTES of them (less, for ``tasks`` tasks at least) is a task. Rows that move have a path and numbers, no samples.
+    Recordings without a whole chunk have no pieces, so they aren't opened.
+    """
+    from chirplake.operators.aggregates import dealt
+    from chirplake.operators.chunks import chunk_count
+
+    n = chunk_count(F.col("fileDuration"), config.tStep)
+    size = F.coalesce(F.col("filesize").cast("double"), F.lit(float(PIECE_BYTES)))
+    a_chunk = F.greatest(size * F.lit(float(config.tStep)) / F.col("fileDuration"), F.lit(1.0))
+    each = n if config.readSr or config.signal else F.least(F.greatest(F.floor(F.lit(float(PIECE_BYTES)) / a_chunk).cast("int"), F.lit(1)), n)
+    cut = recordings.withColumn("_each", each).where(n > 0).withColumn("_from", F.explode(F.sequence(F.lit(0), n - 1, F.col("_each"))))
+    cut = cut.withColumn("_until", F.least(F.col("_from") + F.col("_each"), n)).withColumn("_weight", (F.col("_until") - F.col("_from")) * a_chunk)
+    return dealt(cut.drop("_each"), "_weight", ["path", "_from"], TASK_BYTES, tasks).drop("_weight")
 
 
 def energies(recordings: DataFrame, config: Any, carry: list[str]) -> DataFrame:
-    """The split rows with energies of recordings (orid, content, timeexp, fileDuration, absStart...), by file.
+    """The split rows with energies of recordings (orid, path or content, timeexp, fileDuration, absStart...), by piece.
 
-    Spectrograms live inside a batch only: a row in has its file's bytes, rows out have one number for each band.
+    Of a path only the samples that a chunk's frames need are read, a chunk at a time; ``_from`` and ``_until`` are the
+    chunks of a piece, without them all are. The values are those of a spectrogram of the whole recording.
     """
     names = config.columns()
     kinds = dict(recordings.dtypes)
@@ -211,45 +229,73 @@ def energies(recordings: DataFrame, config: Any, carry: list[str]) -> DataFrame:
     plain = [c.replace(".", f"_{i}_") for i, c in enumerate(carry)]  # Python functions take no column with a dot in its name
     schema = ", ".join(f"`{p}` {kinds[c]}" for p, c in zip(plain, carry, strict=True)) + ", chunkId string, chunkFileStart double, chunkFileStop double, chunkDuration double, chunkTbins long, chunkWeight double, chunkAbsStart double, chunkAbsStop double, channel long, " + cuts_sql
 
-    def rows(row: Any, carried: tuple) -> Iterator[tuple]:
-        x, rate = decode(row.content, sr=config.readSr)
-        if config.signal:
-            x = np.atleast_2d(apply(config.signal, x))
+    def channels_of(n: int) -> list[int | None]:
+        if config.channels is None:
+            return [None]
+        if config.channels == "__all__":
+            return list(range(n))
+        if len(config.channels) > n:
+            raise ValueError("more channels asked for than there are")
+        return list(config.channels)
+
+    def rows(row: Any, carried: tuple, file: Any) -> Iterator[tuple]:
+        from chirplake.sources.media import header, padded, samples, window
+
+        head = header(file)
         timeexp = 1.0 if pd.isna(row.timeexp) or not row.timeexp else float(row.timeexp)
+        if config.signal or (config.readSr and config.readSr != head.samplerate):
+            x, rate = window(file, sr=config.readSr)
+            x = np.atleast_2d(apply(config.signal, x)) if config.signal else x
+            read, n_channels, length = (lambda a, k: x[:, a : a + k]), len(x), x.shape[1]
+        else:
+            rate, n_channels, length = head.samplerate, head.nchannels, head.nframes
+            read = lambda a, k: samples(file, head, a, k)
         rate, duration = rate * timeexp, float(row.fileDuration)
         steps = max(int(round(duration / config.tStep)), 0)
-        if config.channels is None:
-            wanted: list[int | None] = [None]
-        elif config.channels == "__all__":
-            wanted = list(range(len(x)))
-        elif len(config.channels) <= len(x):
-            wanted = list(config.channels)
-        else:
-            raise ValueError("more channels asked for than there are")
+        first, until = (0, steps) if pd.isna(row.first) else (int(row.first), int(row.until))
         size = int(round((rate * config.tStep - config.n_fft) / config.hop_length) + 1)
         cuts = frequency_bands(frequencies(rate, config.n_fft), tuple(config.fLimits), config.fBins)
+        frames, pad = frame_count(length, config.n_fft, config.hop_length), config.n_fft // 2
         base = None if pd.isna(row.absStart) else row.absStart
-        for channel in wanted:
-            spec = spectrogram(pick_channel(x, channel), config.n_fft, config.hop_length)
-            for k in range(steps):
+        for channel in channels_of(n_channels):
+            one = lambda a, k, channel=channel: pick_channel(read(a, k), channel)
+            for k in range(first, until):
                 start, stop = k * config.tStep, min((k + 1) * config.tStep, duration)
-                n, weight, values = slice_energy(spec, duration, start, size, cuts, config.aggr, config.spec, config.full_spec)
+                low, high = chunk_frames(frames, duration, start, size)
+                n = high - low
+                if n < size / 2:
+                    values: list[float | None] = [0.0] * len(names)
+                else:
+                    needed = padded(one, length, low * config.hop_length - pad, (high - 1) * config.hop_length - pad + config.n_fft, pad)
+                    values = band_values(np.abs(stft(needed, config.n_fft, config.hop_length, center=False)), cuts, config.aggr, config.spec, config.full_spec)
                 lo, hi = (None, None) if base is None else (base + start, base + stop)
                 ends = (float(start), float(stop)) if base is None else (float(lo), float(hi))
-                yield (*carried, f"{row.orid}-{ends[0]}-{ends[1]}", float(start), float(stop), float(stop - start), n, float(weight), lo, hi, 99 if channel is None else channel, *values)
+                yield (*carried, f"{row.orid}-{ends[0]}-{ends[1]}", float(start), float(stop), float(stop - start), n, float(n / size), lo, hi, 99 if channel is None else channel, *values)
 
     columns = [*plain, "chunkId", "chunkFileStart", "chunkFileStop", "chunkDuration", "chunkTbins", "chunkWeight", "chunkAbsStart", "chunkAbsStop", "channel", *names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from chirplake.sources.media import BytesFile, RangedFile
+
+        opened: tuple[str, Any] = ("", None)
         for batch in batches:
             at = [batch.columns.get_loc(p) for p in plain]
-            own = ["orid", "content", "timeexp", "fileDuration", "absStart"]
-            for row, carried in zip(batch.reindex(columns=own).itertuples(index=False), batch.iloc[:, at].itertuples(index=False, name=None), strict=True):
-                if out := list(rows(row, carried)):
+            own = batch.reindex(columns=["orid", "_path", "content", "timeexp", "fileDuration", "absStart", "_from", "_until"])
+            own = own.set_axis(["orid", "path", "content", "timeexp", "fileDuration", "absStart", "first", "until"], axis=1)
+            for row, carried in zip(own.itertuples(index=False), batch.iloc[:, at].itertuples(index=False, name=None), strict=True):
+                if isinstance(row.content, bytes):
+                    file = BytesFile(row.content)
+                elif row.path == opened[0]:  # pieces of a recording lie next to each other
+                    file = opened[1]
+                else:
+                    file = RangedFile(row.path)
+                    opened = (row.path, file)
+                if out := list(rows(row, carried, file)):
                     yield pd.DataFrame(out, columns=columns)
 
-    rest = [c for c in ("content", "timeexp") if c in recordings.columns]
-    named = recordings.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, carry, strict=True)], *rest)
+    rest = [c for c in ("content", "timeexp", "_from", "_until") if c in recordings.columns]
+    where = [F.col("path").alias("_path")] if "path" in recordings.columns else []
+    named = recordings.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, carry, strict=True)], *rest, *where)
     return named.mapInPandas(run, schema).toDF(*carry, *columns[len(plain) :])
 
 

@@ -72,6 +72,26 @@ def crono_matrix(df: DataFrame, values: list[str], low: int, high: int, cell: st
     return long.crossJoin(F.broadcast(ends)).select(cell, "level", F.when(F.col("value") != MISSING, F.col("value")).alias("value"), F.when(F.col("value") != MISSING, scaled).alias("norm"))
 
 
+def dealt(df: DataFrame, weight: str, order: list[str], most: int, tasks: int = 1) -> DataFrame:
+    """``df`` in partitions of about equal weight, at most about ``most`` each, in an order; at least ``tasks`` of them.
+
+    Rows are laid end to end: weights are summed up inside the parts of a range sort, and what the parts before hold is
+    added. The partition of a row is where its middle lies, so a partition has more than its share by one row at most.
+    """
+    from chirplake.operators.ingest import stored
+
+    parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sums = parts.groupBy("_part").agg(F.sum(weight).alias("w"))
+    total = sums.agg(F.sum("w")).first()[0] or 0
+    n = max(int(-(-total // most)), tasks)
+    before = sums.select("_part", (F.sum("w").over(Window.orderBy("_part")) - F.col("w")).alias("_before"))  # a row for each part
+    inside = F.sum(weight).over(Window.partitionBy("_part").orderBy("_at"))
+    place = F.col("_before") + inside - F.col(weight) / 2
+    task = F.least(F.greatest(F.floor(place / F.lit(max(float(total) / n, 1e-300))), F.lit(0)), F.lit(n - 1)).cast("int")
+    placed = parts.join(F.broadcast(before), "_part").withColumn("_task", task)
+    return placed.repartitionById(n, F.col("_task")).sortWithinPartitions(*order).select(*df.columns)
+
+
 #: Rank error of a sketch is the rows over this; the exact values are looked for within twice that.
 ACCURACY = 100_000
 

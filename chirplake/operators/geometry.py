@@ -124,7 +124,7 @@ def profile(mask: np.ndarray, axis: str) -> np.ndarray:
 def annotation_matrices(
     recordings: DataFrame, window: tuple[float | None, float | None] = (None, None), truncate: bool = False, channel: int | None = None, n_fft: int = 1024, hop: int = 512, masks: str = "window"
 ) -> DataFrame:
-    """(orid, id, start, stop, low, high, spec, mask): for each annotation of recordings with content, media_info and data,
+    """(orid, id, start, stop, low, high, spec, mask): for each annotation of recordings with content or path, media_info and data,
     its bins of time and frequency, the spectrogram there, and what is drawn of it.
 
     ``masks`` is "window" (a mask of the window), "time" or "frequency" (reduced to one axis, as one row), or "whole" (a
@@ -132,6 +132,7 @@ def annotation_matrices(
     frequencies they span all of them. One recording is in memory at a time; one without annotations gives no rows.
     """
     from chirplake.functions.dsp import decode, frequencies, pick_channel, spectrogram
+    from chirplake.sources.media import path_window
 
     nested = "data" in recordings.schema["data"].dataType.elementType.fieldNames()
 
@@ -139,7 +140,7 @@ def annotation_matrices(
         return other if x is None or pd.isna(x) else float(x)
 
     def rows(row: Any) -> Iterator[tuple]:
-        x, rate = decode(row.content)
+        x, rate = decode(row.source) if isinstance(row.source, bytes) else path_window(row.source)
         timeexp = number(row.media_info["timeexp"], 1.0)
         spec = spectrogram(pick_channel(x, channel), n_fft, hop)
         duration, top = x.shape[1] / rate / timeexp, float(frequencies(int(rate * timeexp), n_fft)[-1])
@@ -162,4 +163,5 @@ def annotation_matrices(
                 if out := list(rows(row)):
                     yield pd.DataFrame(out, columns=["orid", "id", "start", "stop", "low", "high", "spec", "mask"])
 
-    return recordings.select("orid", "media_info", "data", "content").mapInPandas(run, "orid long, id long, start int, stop int, low int, high int, spec array<array<double>>, mask array<array<int>>")
+    source = F.col("content" if "content" in recordings.columns else "path").alias("source")
+    return recordings.select("orid", "media_info", "data", source).mapInPandas(run, "orid long, id long, start int, stop int, low int, high int, spec array<array<double>>, mask array<array<int>>")

@@ -153,67 +153,67 @@ class Collection:
 
     def get_signals(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, mask: tuple[float, float] | None = None) -> DataFrame:
         """(orid, md5, signal) of one channel, or the mean of all; ``mask`` is a window in seconds of real time."""
-        from chirplake.functions.dsp import decode, masked, pick_channel
+        from chirplake.functions.dsp import masked, pick_channel
+        from chirplake.sources.media import path_window
 
         @F.pandas_udf("array<double>")
-        def signal(content: pd.Series, timeexp: pd.Series) -> pd.Series:
-            return pd.Series([pick_channel(decode(c, *masked(mask, t), sr)[0], channel) for c, t in zip(content, timeexp, strict=True)], dtype=object)
+        def signal(path: pd.Series, timeexp: pd.Series) -> pd.Series:
+            return pd.Series([pick_channel(path_window(p, *masked(mask, t), sr)[0], channel) for p, t in zip(path, timeexp, strict=True)], dtype=object)
 
-        return self._with_content(query).select("orid", "md5", signal("content", "media_info.timeexp").alias("signal"))
+        return self._parsed(query).select("orid", "md5", signal("path", "media_info.timeexp").alias("signal"))
 
     def get_specs(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, n_fft: int = 1024, hop: int = 512, mask: tuple[float, float] | None = None) -> DataFrame:
         """(orid, md5, freqs, spec): centre frequencies, and magnitudes by frequency and frame; of a window with ``mask``."""
         from chirplake.functions.arrays import frequencies
-        from chirplake.functions.dsp import decode, masked, pick_channel, spectrogram
+        from chirplake.functions.dsp import masked, pick_channel, spectrogram
+        from chirplake.sources.media import path_window
 
         @F.pandas_udf("array<array<double>>")
-        def spec(content: pd.Series, timeexp: pd.Series) -> pd.Series:
-            signals = (pick_channel(decode(c, *masked(mask, t), sr)[0], channel) for c, t in zip(content, timeexp, strict=True))
+        def spec(path: pd.Series, timeexp: pd.Series) -> pd.Series:
+            signals = (pick_channel(path_window(p, *masked(mask, t), sr)[0], channel) for p, t in zip(path, timeexp, strict=True))
             return pd.Series([list(spectrogram(x, n_fft, hop)) for x in signals], dtype=object)
 
         rate = F.lit(sr) if sr else F.col("media_info.samplerate")
-        return self._with_content(query).select("orid", "md5", frequencies(rate, n_fft).alias("freqs"), spec("content", "media_info.timeexp").alias("spec"))
+        return self._parsed(query).select("orid", "md5", frequencies(rate, n_fft).alias("freqs"), spec("path", "media_info.timeexp").alias("spec"))
 
     def get_zcr(self, query: dict | None = None, channel: int | None = None, frame_length: int = 2048, hop: int = 512) -> DataFrame:
         """(orid, md5, zcr): share of sign changes in each frame."""
-        from chirplake.functions.dsp import decode, pick_channel, zcr
+        from chirplake.functions.dsp import pick_channel, zcr
+        from chirplake.sources.media import path_window
 
         @F.pandas_udf("array<double>")
-        def rates(content):  # noqa: ANN001, ANN202
-            return content.map(lambda c: zcr(pick_channel(decode(c)[0], channel), frame_length, hop))
+        def rates(path):  # noqa: ANN001, ANN202
+            return path.map(lambda p: zcr(pick_channel(path_window(p)[0], channel), frame_length, hop))
 
-        return self._with_content(query).select("orid", "md5", rates("content").alias("zcr"))
+        return self._parsed(query).select("orid", "md5", rates("path").alias("zcr"))
 
     def get_mfcc(self, query: dict | None = None, sr: int | None = None, channel: int | None = None, n_mfcc: int = 20, n_fft: int = 2048, hop: int = 512) -> DataFrame:
         """(orid, md5, mfcc): cepstral coefficients by coefficient and frame."""
-        from chirplake.functions.dsp import decode, mfcc, pick_channel
+        from chirplake.functions.dsp import mfcc, pick_channel
+        from chirplake.sources.media import path_window
 
         @F.pandas_udf("array<array<double>>")
-        def coefficients(content):  # noqa: ANN001, ANN202
-            def one(c: bytes) -> list:
-                x, rate = decode(c, sr=sr)
+        def coefficients(path):  # noqa: ANN001, ANN202
+            def one(p: str) -> list:
+                x, rate = path_window(p, sr=sr)
                 return list(mfcc(pick_channel(x, channel), rate, None, n_mfcc, n_fft, hop))
 
-            return content.map(one)
+            return path.map(one)
 
-        return self._with_content(query).select("orid", "md5", coefficients("content").alias("mfcc"))
+        return self._parsed(query).select("orid", "md5", coefficients("path").alias("mfcc"))
 
     def get_annotation_matrices(self, query: dict | None = None, window: tuple[float | None, float | None] = (None, None), truncate: bool = False, channel: int | None = None, n_fft: int = 1024, hop: int = 512, masks: str = "window") -> DataFrame:
         """Spectrogram windows and masks of the annotations that a query selects."""
         from chirplake.operators.geometry import annotation_matrices
 
         media = self.get_annotated_media(query, media_fields=("path",))
-        return annotation_matrices(readers.with_content(media), window, truncate, channel, n_fft, hop, masks)
+        return annotation_matrices(media, window, truncate, channel, n_fft, hop, masks)
 
     def write_chunks(self, folder: str, sr: int | None = None, chop: float | None = None, threshold: float = 1.0, query: dict | None = None) -> DataFrame:
         """Export recordings, resampled and cut, as WAV files; a row for each file."""
-        media = export_limits(self._with_content(query).select("orid", "md5", "content", (F.col("media_info.duration") * F.col("media_info.timeexp")).alias("duration")), chop, threshold)
+        media = export_limits(self._parsed(query).select("orid", "md5", "path", (F.col("media_info.duration") * F.col("media_info.timeexp")).alias("duration")), chop, threshold)
         return writers.write_chunks(media, folder, sr)
 
-    def _with_content(self, query: dict | None) -> DataFrame:
-        """Recordings with their bytes, read on the executors."""
-        return readers.with_content(self._parsed(query))
-
     def get_size(self, query: dict | None = None) -> int:
         return aggregates.count(self.tables["parsed"], query).first()[0]
 

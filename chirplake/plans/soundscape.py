@@ -223,11 +223,20 @@ def native_splits(fragment: DataFrame, config: Config) -> DataFrame:
 
 
 def audio_splits(fragment: DataFrame, config: Config) -> DataFrame:
-    """Splits with energies of recordings that have their bytes in ``content``."""
-    from chirplake.functions.dsp import energies
+    """Splits with energies of recordings: of their files, by ``path`` or ``media_info.path``, or of their bytes in ``content``.
 
-    carry = [c for c in fragment.columns if c not in ("content", "media_info", "timeexp")]
-    return energies(fragment.repartition(config.globalParams.npartitions), config.energyParams, carry)
+    Files are dealt to tasks by size and read by range, long ones in pieces; at least ``npartitions`` tasks. Bytes that are
+    there already stay where they are.
+    """
+    from chirplake.functions.dsp import energies, pieces
+
+    carry = [c for c in fragment.columns if c not in ("content", "media_info", "timeexp", "filesize")]
+    if "content" not in fragment.columns:
+        info = {"path": "string", "timeexp": "double", "filesize": "long"}
+        have = fragment.schema["media_info"].dataType.fieldNames() if "media_info" in fragment.columns else []
+        missing = {c: F.col(f"media_info.{c}") if c in have else F.lit(None).cast(kind) for c, kind in info.items() if c not in fragment.columns}
+        fragment = pieces(fragment.withColumns(missing).drop("media_info"), config.energyParams, config.globalParams.npartitions)
+    return energies(fragment, config.energyParams, carry)
 
 
 def calendarize(splits: DataFrame, crono: CronoParams) -> DataFrame:

@@ -14,11 +14,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chirplake.sources.media import HEADER_FIELDS, media_files
+
 SECRETS = {"password", "passwd", "pwd", "token", "secret"}
 #: Places (start, end) of fields in the first 200 bytes of a recorder's file; the second set is for shifted headers.
 HEADER = {"time": (68, 87), "voltage": (166, 169), "device_id": (107, 123), "gain": (140, 141)}
 SHIFTED = {"time": (68, 87), "voltage": (168, 171), "device_id": (109, 125), "gain": (142, 143)}
 ZONES = ((89, 92), (84, 94))
+HEAD_BYTES = 200
 
 
 def hash_dict(d: dict) -> str:
@@ -87,12 +90,12 @@ def mongodb(spark: SparkSession, conf: dict) -> DataFrame:
 
 
 def audiomoth(spark: SparkSession, conf: dict) -> DataFrame:
-    """Recorder files of a folder (not below it): device, time, zone, gain and voltage from the first 200 bytes.
+    """Recorder files of a folder (not below it): device, time, zone, gain and voltage from the first 200 bytes, and no more is read.
 
     Where a number can't be read at its usual place, the shifted places hold.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV}").option("recursiveFileLookup", "false").load(conf["path"])
-    head = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
+    files = media_files(spark, conf["path"], ["path", "head"], recursiveFileLookup="false", headBytes=HEAD_BYTES)
+    head = F.decode("head", "ISO-8859-1")
     at = lambda place: F.substring(head, place[0] + 1, place[1] - place[0])
 
     def fields(places: dict) -> Column:
@@ -122,11 +125,8 @@ def pull(spark: SparkSession, kind: str, conf: dict[str, Any]) -> DataFrame:
 
 
 def wav_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files with media_info but timeexp: path, filesize, header fields, md5; one row a file, the bytes dropped."""
-    from chirplake.functions.dsp import header_info
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,WAV}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("filesize"), F.md5("content").alias("md5"), header_info("content").alias("h")).select("path", "filesize", "md5", "h.*")
+    """Files with media_info but timeexp: path, filesize, header fields, md5; one row a file, hashed a block at a time."""
+    return media_files(spark, path, ["path", "filesize", "md5", *HEADER_FIELDS])
 
 
 def with_content(media: DataFrame) -> DataFrame:

@@ -94,10 +94,14 @@ def delete_files(files: DataFrame) -> int:
 
 
 def write_chunks(media: DataFrame, folder: str, sr: int | None = None) -> DataFrame:
-    """Write (orid, md5, content, tlimits, number) chunks as WAV to ``folder``/<md5>; (orid, number, tlimits, path)."""
+    """Write (orid, md5, path, tlimits, number) chunks as WAV to ``folder``/<md5>; (orid, number, tlimits, path).
+
+    A chunk's frames are read by range, so a row has no bytes, and a recording of many chunks isn't read once for each.
+    """
     from pyarrow import fs
 
-    from chirplake.functions.dsp import decode, encode
+    from chirplake.functions.dsp import encode
+    from chirplake.sources.media import path_window
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
@@ -105,7 +109,7 @@ def write_chunks(media: DataFrame, folder: str, sr: int | None = None) -> DataFr
             out = []
             for row in batch.itertuples(index=False):
                 start, stop = row.tlimits
-                x, rate = decode(row.content, start, stop - start, sr)
+                x, rate = path_window(row.path, start, stop - start, sr)
                 place = f"{root}/{row.md5}/{row.number}.wav"
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 with store.open_output_stream(place) as f:
@@ -113,4 +117,4 @@ def write_chunks(media: DataFrame, folder: str, sr: int | None = None) -> DataFr
                 out.append((row.orid, row.number, list(row.tlimits), place))
             yield pd.DataFrame(out, columns=["orid", "number", "tlimits", "path"])
 
-    return media.select("orid", "md5", "content", "tlimits", "number").mapInPandas(run, "orid long, number int, tlimits array<double>, path string")
+    return media.select("orid", "md5", "path", "tlimits", "number").mapInPandas(run, "orid long, number int, tlimits array<double>, path string")
