@@ -33,6 +33,45 @@ def json_path(parts: Iterable[str]) -> str:
     return "$" + "".join(p if p.startswith("[") else f"['{p}']" if "'" not in p else f'["{p}"]' for p in parts)
 
 
+#: The operator that holds where another doesn't.
+OPPOSITE = {"$eq": "$ne", "$ne": "$eq", "$gt": "$lte", "$lte": "$gt", "$lt": "$gte", "$gte": "$lt"}
+
+
+def _parts(path: str) -> tuple[Column, str, Column]:
+    """(variant, path below it, kind) of a dotted path that starts at a JSON column."""
+    first, *rest = split_path(path)
+    variant, place = F.try_parse_json(F.col(f"`{first}`")), json_path(rest)
+    return variant, place, F.schema_of_variant(F.try_variant_get(variant, place, "variant"))
+
+
+def json_number(path: str) -> Column:
+    """What a path of a JSON column holds if it is a number or a boolean, else null."""
+    variant, place, kind = _parts(path)
+    number = F.coalesce(F.try_variant_get(variant, place, "double"), F.try_variant_get(variant, place, "boolean").cast("double"))
+    return F.when(kind.rlike(NUMBERS) | (kind == "BOOLEAN"), number)
+
+
+def json_text(path: str) -> Column:
+    """What a path of a JSON column holds if it is a text, an object or an array, as text; else null."""
+    variant, place, kind = _parts(path)
+    other = ~(kind.rlike(NUMBERS) | (kind == "BOOLEAN") | (kind == "VOID"))
+    return F.when(other, F.when(kind == "STRING", F.try_variant_get(variant, place, "string")).otherwise(F.to_json(F.try_variant_get(variant, place, "variant"))))
+
+
+def shredded_compare(number: Column, text: Column, op: str, value: Any) -> Column:
+    """:func:`json_compare` on the typed columns of a path, as comparisons that a scan takes over.
+
+    Holds for the same rows; where it doesn't, it may be null instead of false, so it isn't to be negated.
+    """
+    if value is None:
+        return number.isNull() & text.isNull() if op == "$eq" else number.isNotNull() | text.isNotNull()
+    if isinstance(value, (bool, int, float)):
+        same, other, above = COMPARE[op](number, F.lit(float(value))), text, ABOVE[op]
+    else:
+        same, other, above = COMPARE[op](text, F.lit(str(value))), number, BELOW[op]
+    return same | other.isNotNull() if above else same
+
+
 def json_compare(variant: Column, parts: list[str], op: str, value: Any) -> Column:
     """A comparison with what a path of a JSON column holds.
 
@@ -74,56 +113,64 @@ def plain_compare(column: Column, kind: T.DataType, op: str, value: Any) -> Colu
 class Compiler:
     """Compiles queries for a schema.
 
-    ``json_columns`` hold JSON text; ``promoted`` maps dotted paths to columns that already hold their values, so that a
-    filter on them reaches the scan.
+    ``json_columns`` hold JSON text; ``promoted`` maps dotted paths to columns that already hold their values, and
+    ``shredded`` maps them to the columns of their numbers and of their texts, so that a filter on them reaches the scan.
+    Negations are carried down to the comparisons.
     """
 
-    def __init__(self, schema: T.StructType, json_columns: Iterable[str] = JSON_COLUMNS, promoted: dict[str, str] | None = None):
-        self.schema, self.json_columns, self.promoted = schema, set(json_columns), promoted or {}
+    def __init__(self, schema: T.StructType, json_columns: Iterable[str] = JSON_COLUMNS, promoted: dict[str, str] | None = None, shredded: dict[str, tuple[str, str]] | None = None):
+        self.schema, self.json_columns, self.promoted, self.shredded = schema, set(json_columns), promoted or {}, shredded or {}
+
+    def compile(self, query: dict | None, holds: bool = True) -> Column | None:
+        """The column of a query, or none for no filter. Several keys, or several operators, must all hold.
 
-    def compile(self, query: dict | None) -> Column | None:
-        """The column of a query, or none for no filter. Several keys, or several operators, must all hold."""
+        With ``holds`` false, that of rows for which the query is false; neither is for rows for which it is null.
+        """
         if not query:
             return None
         if not isinstance(query, dict):
             raise ValueError("a query is a dict")
-        return reduce(and_, [self._item(k, v) for k, v in query.items()])
+        return reduce(and_ if holds else or_, [self._item(k, v, holds) for k, v in query.items()])
 
-    def _item(self, key: str, value: Any) -> Column:
+    def _item(self, key: str, value: Any, holds: bool) -> Column:
         if key in ("$and", "$or"):
             if not isinstance(value, (list, tuple)) or not value:
                 raise ValueError(f"{key} takes a list of queries")
-            parts = [self.compile(q) for q in value]
-            return reduce(and_ if key == "$and" else or_, [F.lit(True) if p is None else p for p in parts])
+            parts = [self.compile(q, holds) for q in value]
+            return reduce(and_ if (key == "$and") == holds else or_, [F.lit(holds) if p is None else p for p in parts])
         if key == "$not":
-            inner = self.compile(value)
-            return F.lit(False) if inner is None else ~inner
+            inner = self.compile(value, not holds)
+            return F.lit(not holds) if inner is None else inner
         if key.startswith("$"):
             raise ValueError(f"{key} isn't supported")
-        return self._field(key, value)
+        return self._field(key, value, holds)
 
-    def _field(self, key: str, condition: Any) -> Column:
+    def _field(self, key: str, condition: Any, holds: bool) -> Column:
         if not isinstance(condition, dict):
-            return self._compare(key, "$eq", condition)
+            return self._compare(key, "$eq", condition, holds)
         if not condition:
             raise ValueError(f"the condition on {key} is empty")
-        return reduce(and_, [self._operator(key, op, v) for op, v in condition.items()])
+        return reduce(and_ if holds else or_, [self._operator(key, op, v, holds) for op, v in condition.items()])
 
-    def _operator(self, key: str, op: str, value: Any) -> Column:
+    def _operator(self, key: str, op: str, value: Any, holds: bool) -> Column:
         if op == "$in":
             if not isinstance(value, (list, tuple)):
                 raise ValueError("$in takes a list")
-            return reduce(or_, [self._compare(key, "$eq", v) for v in value]) if value else F.lit(False)
+            return reduce(or_ if holds else and_, [self._compare(key, "$eq", v, holds) for v in value]) if value else F.lit(not holds)
         if op == "$size":
             column, kind = self._resolve(key)
             if not isinstance(kind, T.ArrayType):
                 raise ValueError(f"{key} isn't an array")
-            return F.size(column) == F.lit(int(value))
+            same = F.size(column) == F.lit(int(value))
+            return same if holds else ~same
         if op not in COMPARE:
             raise ValueError(f"{op} isn't supported")
-        return self._compare(key, op, value)
+        return self._compare(key, op, value, holds)
 
-    def _compare(self, key: str, op: str, value: Any) -> Column:
+    def _compare(self, key: str, op: str, value: Any, holds: bool) -> Column:
+        op = op if holds else OPPOSITE[op]
+        if key in self.shredded:
+            return shredded_compare(*[F.col(c) for c in self.shredded[key]], op, value)
         if key in self.promoted:
             name = self.promoted[key]
             return plain_compare(F.col(f"`{name}`"), self.schema[name].dataType, op, value)

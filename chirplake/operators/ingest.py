@@ -90,26 +90,15 @@ def with_time(metadata: Column, duration: Column, time_field: str = "datetime",
     return F.when(fields["absStart"].isNotNull(), merged).otherwise(metadata)
 
 
-def insert(
-    tables: dict[str, DataFrame],
-    records: DataFrame,
-    media: DataFrame,
-    parse_seq: list[dict[str, Any]] | None = None,
-    timed: dict[str, str] | None = None,
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables after the insert, rejected records with a reason).
+def screen(records: DataFrame, media: DataFrame, known: Callable[[DataFrame], DataFrame], parse_seq: list[dict[str, Any]] | None = None) -> DataFrame:
+    """Records after the parsers, with the header of their file and the reason why they can't be taken; null where they can.
 
-    ``records`` are (datastore, source, metadata); ``media`` has a row of header fields for each path. Metadata must have
-    a path and a timeexp after the parsers. A record whose path has no readable header, or whose md5 is there already or
-    came before in this insert, is rejected; nothing of it stays.
+    Metadata must have a path and a timeexp, the file a readable header, and an md5 must be new: not ``known``, nor that of
+    a record before it. Records of one md5 are ranked inside each map task first, and only the first of each is ranked with
+    those of other tasks, so an md5 that half of the records have makes no hot task. ``known`` gives those of a table of
+    md5s, one row each, that are stored.
     """
-    parse_seq = parse_seq or []
-    known = tables["datastores"]
-    top = {name: tables[name].agg(F.max(key)).first()[0] or 0 for name, key in (("datastores", "id"), ("original", "id"))}
-    new_stores = records.select("datastore.*").distinct().join(known.select("hash"), "hash", "left_anti")
-    stores = known.unionByName(dense_ids(new_stores.select("hash", "type", "conf", "metadata"), "id", ["hash"], top["datastores"]))
-
-    parsed = records.select("datastore", "source", F.col("metadata").alias("raw"), run_parsers(F.col("metadata"), parse_seq).alias("metadata"))
+    parsed = records.select("datastore", "source", F.col("metadata").alias("raw"), run_parsers(F.col("metadata"), parse_seq or []).alias("metadata"))
     parsed = parsed.withColumn("path", json_value("metadata", "path")).withColumn("timeexp", json_value("metadata", "timeexp", "double"))
     m = media.select(F.col("path").alias("_path"), F.col("md5").alias("_md5"), "filesize", "samplerate", "sampwidth", "nchannels", "nframes")
     parsed = parsed.join(m, F.col("path") == F.col("_path"), "left").withColumn("md5", F.coalesce(json_value("metadata", "md5"), "_md5"))
@@ -117,14 +106,57 @@ def insert(
         F.when(F.col("path").isNull(), "no path").when(F.col("timeexp").isNull(), "no timeexp").when(F.col("samplerate").isNull(), "file can't be read").when(F.col("md5").isNull(), "no md5")
     )
     order = F.struct("datastore.hash", "source.fkey", "raw")
-    spread = F.when(F.col("reason").isNotNull(), F.xxhash64("raw"))  # what is rejected anyway needs no common place
-    ranked = parsed.withColumn("reason", reason).withColumn("_rank", F.row_number().over(Window.partitionBy("md5", spread).orderBy(order)))
-    there = tables["parsed"].select("md5").withColumn("there", F.lit(True))
-    ranked = ranked.join(there, "md5", "left")
-    reason = F.coalesce("reason", F.when(F.col("there") | (F.col("_rank") > 1), "md5 is there already"))
-    ranked = ranked.withColumn("reason", reason)
-    rejects = ranked.where("reason IS NOT NULL").select(F.col("raw").alias("record"), "reason")
-    good = dense_ids(ranked.where("reason IS NULL").drop("reason", "there", "_rank"), "orid", ["datastore.hash", "source.fkey", "raw", "md5"], top["original"])
+    aside = F.when(F.col("reason").isNotNull(), F.xxhash64("raw"))  # what is rejected anyway needs no common place
+    ranked = parsed.withColumn("reason", reason).withColumn("_task", F.spark_partition_id())
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("md5", "_task", aside).orderBy(order)))
+    apart = F.when(aside.isNotNull() | (F.col("_rank") > 1), F.xxhash64("_task", "raw"))
+    ranked = ranked.withColumn("_all", F.row_number().over(Window.partitionBy("md5", apart).orderBy(order)))
+    first = F.col("reason").isNull() & (F.col("_rank") == 1) & (F.col("_all") == 1)
+    ranked = ranked.withColumn("_key", F.when(first, F.col("md5")))  # the others meet nothing
+    there = known(ranked.where("_key IS NOT NULL").select("md5")).select(F.col("md5").alias("_key"), F.lit(True).alias("there"))
+    ranked = ranked.join(there, "_key", "left")
+    reason = F.coalesce("reason", F.when(F.col("there") | ~first, "md5 is there already"))
+    return ranked.withColumn("reason", reason).drop("there", "_rank", "_all", "_task", "_key")
+
+
+def rejected(screened: DataFrame) -> DataFrame:
+    """(record, reason) of what an insert leaves out."""
+    return screened.where("reason IS NOT NULL").select(F.col("raw").alias("record"), "reason")
+
+
+def known_in(tables: dict[str, DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Which md5s a catalogue has, by a semi join."""
+    return lambda wanted: wanted.join(tables["parsed"].select("md5"), "md5", "left_semi")
+
+
+def largest(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """The largest ids of a catalogue."""
+    return {name: tables[name].agg(F.max("id")).first()[0] or 0 for name in ("datastores", "original", "annotations")}
+
+
+def inserted(
+    tables: dict[str, DataFrame],
+    records: DataFrame,
+    media: DataFrame,
+    parse_seq: list[dict[str, Any]] | None = None,
+    timed: dict[str, str] | None = None,
+    known: Callable[[DataFrame], DataFrame] | None = None,
+    tops: dict[str, int] | None = None,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(rows that an insert adds to each table, rejected records with a reason); see :func:`screen`.
+
+    ``records`` are (datastore, source, metadata); ``media`` has a row of header fields for each path. Nothing of a
+    rejected record stays. What was screened is stored, so it is worked out once.
+    """
+    parse_seq = parse_seq or []
+    tops = tops or largest(tables)
+    have = tables["datastores"]
+    new_stores = records.select("datastore.*").distinct().join(have.select("hash"), "hash", "left_anti")
+    new_stores = dense_ids(new_stores.select("hash", "type", "conf", "metadata"), "id", ["hash"], tops["datastores"])
+    stores = have.unionByName(new_stores)
+
+    screened = stored(screen(records, media, known or known_in(tables), parse_seq))
+    good = dense_ids(screened.where("reason IS NULL").drop("reason"), "orid", ["datastore.hash", "source.fkey", "raw", "md5"], tops["original"])
     good = good.join(stores.select(F.col("id").alias("source_id"), F.col("hash").alias("_hash")), F.col("datastore.hash") == F.col("_hash"))
 
     duration = F.col("nframes") / F.col("samplerate") / F.col("timeexp")
@@ -135,12 +167,22 @@ def insert(
     metadata = with_time(F.col("metadata"), duration, **timed) if timed is not None else F.col("metadata")
     new_parsed = good.select("orid", "md5", "path", F.col("path").alias("original_path"), parser_rows(parse_seq).alias("parse_seq"), info.alias("media_info"), metadata.alias("metadata"))
     new_original = good.select(F.col("orid").alias("id"), F.to_json(F.struct("source.fkey", "source_id")).alias("source"), F.col("raw").alias("metadata"))
-    after = {**tables, "datastores": stores, "original": tables["original"].unionByName(new_original), "parsed": tables["parsed"].unionByName(new_parsed)}
-    return after, rejects
+    return {"datastores": new_stores.select(*have.columns), "original": new_original, "parsed": new_parsed}, rejected(screened)
 
 
-def annotate(tables: dict[str, DataFrame], notes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables with the annotations, rejected ones with a reason).
+def added(tables: dict[str, DataFrame], rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A catalogue with more rows."""
+    return {n: df.unionByName(rows[n].select(*df.columns)) if n in rows else df for n, df in tables.items()}
+
+
+def insert(tables: dict[str, DataFrame], records: DataFrame, media: DataFrame, parse_seq: list[dict[str, Any]] | None = None, timed: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables after an insert, rejected records with a reason); see :func:`inserted`."""
+    rows, rejects = inserted(tables, records, media, parse_seq, timed)
+    return added(tables, rows), rejects
+
+
+def annotated(notes: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
+    """(annotations with ids after ``top``, rejected ones with a reason).
 
     A known type is needed, and its times, label, groups and metadata; a geometry needs both frequencies and its text.
     """
@@ -156,9 +198,14 @@ def annotate(tables: dict[str, DataFrame], notes: DataFrame) -> tuple[dict[str,
     )
     rows = rows.withColumn("reason", reason)
     rejects = rows.where("reason IS NOT NULL").select(F.to_json(F.struct(*[f.name for f in kinds if f.name != "id"])).alias("record"), "reason")
-    top = tables["annotations"].agg(F.max("id")).first()[0] or 0
     good = dense_ids(rows.where("reason IS NULL").drop("reason"), "id", ["orid", "start_time", "end_time", "notetype", "label", F.xxhash64("groups", "metadata", "verts", "wkt")], top)
-    return {**tables, "annotations": tables["annotations"].unionByName(good.select(*kinds.fieldNames()))}, rejects
+    return good.select(*kinds.fieldNames()), rejects
+
+
+def annotate(tables: dict[str, DataFrame], notes: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables with the annotations, rejected ones with a reason); see :func:`annotated`."""
+    good, rejects = annotated(notes, tables["annotations"].agg(F.max("id")).first()[0] or 0)
+    return added(tables, {"annotations": good}), rejects
 
 
 def update_field(df: DataFrame, field: str, value: Any, query: dict | None = None, orid: int | None = None, id_column: str = "orid", **options: Any) -> DataFrame:
@@ -205,18 +252,23 @@ def remove(tables: dict[str, DataFrame], query: dict | None = None, where: str |
     if not query and where is None and orid is None:
         raise ValueError("removing needs a predicate")
     gone = find(tables["parsed"], query, where, orid)
-    ids = gone.select("orid")
-    after = {**tables, "parsed": tables["parsed"].join(ids, "orid", "left_anti")}
-    after["original"] = tables["original"].join(ids.withColumnRenamed("orid", "id"), "id", "left_anti").select(*tables["original"].columns)
-    if cascade:
-        after["annotations"] = tables["annotations"].join(ids, "orid", "left_anti").select(*tables["annotations"].columns)
-    after["parsed"] = after["parsed"].select(*tables["parsed"].columns)
-    return after, gone
+    return without(tables, gone.select("orid"), cascade), gone
+
+
+def without(tables: dict[str, DataFrame], ids: DataFrame, cascade: bool = True) -> dict[str, DataFrame]:
+    """A catalogue without the media of some ids, and their annotations."""
+    keys = {"parsed": "orid", "original": "id"} | ({"annotations": "orid"} if cascade else {})
+    return tables | {n: tables[n].join(ids.select(F.col("orid").alias(k)), k, "left_anti").select(*tables[n].columns) for n, k in keys.items()}
 
 
 def merge(first: dict[str, DataFrame], second: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Two catalogues as one: ids of the second follow the first's, media whose md5 the first has are left out."""
-    shift = {n: first[n].agg(F.max(k)).first()[0] or 0 for n, k in (("datastores", "id"), ("original", "id"), ("annotations", "id"))}
+    """Two catalogues as one; see :func:`merged`."""
+    return added(first, merged(first, second))
+
+
+def merged(first: dict[str, DataFrame], second: dict[str, DataFrame], tops: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """The rows that a second catalogue adds: its ids follow the first's, media whose md5 the first has are left out."""
+    shift = tops or largest(first)
     stores = second["datastores"].join(first["datastores"].select("hash"), "hash", "left_anti")
     fresh = second["parsed"].join(first["parsed"].select("md5"), "md5", "left_anti")
     ids = fresh.select("orid")
@@ -226,10 +278,9 @@ def merge(first: dict[str, DataFrame], second: dict[str, DataFrame]) -> dict[str
     original = original.withColumn("fkey", json_value("source", "fkey")).withColumn("_old", json_value("source", "source_id", "bigint"))
     original = original.join(renamed, "_old", "left").withColumn("source", F.to_json(F.struct("fkey", "source_id"))).select("id", "source", "metadata")
     notes = second["annotations"].join(ids, "orid", "left_semi")
-    moved = {
+    return {
         "datastores": stores.withColumn("id", F.col("id") + shift["datastores"]),
         "original": original.withColumn("id", F.col("id") + shift["original"]),
         "parsed": fresh.withColumn("orid", F.col("orid") + shift["original"]),
         "annotations": notes.withColumn("id", F.col("id") + shift["annotations"]).withColumn("orid", F.col("orid") + shift["original"]),
     }
-    return {n: first[n].unionByName(moved[n].select(*first[n].columns)) for n in first}

@@ -1,8 +1,8 @@
-"""A collection: the four catalogue tables behind one object. Every change gives new tables; nothing is in place."""
+"""A collection: the four catalogue tables behind one object, in the session or in a store."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,30 +15,37 @@ from chirplake.operators.chunks import export_limits
 from chirplake.operators.filters import find
 from chirplake.schema import REJECTS, TABLES
 from chirplake.sources import readers, writers
+from chirplake.sources.store import Store
 
 
 class Collection:
     """A catalogue of recordings and annotations.
 
-    Without a path it lives in the session; with one, its tables are Parquet below it. ``rejects`` has what the last
-    insert or annotation left out, with reasons.
+    Without a path it lives in the session, and every change gives new tables. With one it is a :class:`Store` below it: a
+    change is a snapshot of its own, which the next session opens, and writes only the buckets it touches. ``rejects``
+    has what the last insert or annotation left out, with reasons.
     """
 
     timed: dict[str, str] | None = None
 
-    def __init__(self, spark: SparkSession, name: str, path: str | None = None, metadata: dict | None = None, overwrite: bool = False):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None, metadata: dict | None = None, overwrite: bool = False, buckets: int = 64):
         self.spark, self.name, self.path, self.metadata = spark, name, path, metadata or {}
         self.rejects = spark.createDataFrame([], REJECTS)
+        self.store: Store | None = None
         if path and writers.exists(spark, f"{path}/info.json") and not overwrite:
             info = writers.load_json(spark, f"{path}/info.json")
             if info["name"] != name or info["type"] != self.get_type():
                 raise ValueError(f"{path} holds the {info['type']} collection {info['name']}")
             self.metadata = info["metadata"]
-            self.tables = writers.load_tables(spark, path, TABLES)
+            if Store.exists(spark, path):
+                self.store = Store(spark, path)
+                self.tables = self.store.tables()
+            else:  # a dump: plain tables, changed in the session only
+                self.tables = writers.load_tables(spark, path, TABLES)
             return
         self.tables = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
         if path:
-            self.to_disk(path, overwrite)
+            self.to_disk(path, overwrite, buckets)
 
     def get_type(self) -> str:
         return "simpleCollection"
@@ -48,25 +55,56 @@ class Collection:
     def dump(self, path: str, overwrite: bool = False) -> None:
         """A copy of the tables, the parsers that made them and the description."""
         writers.save_tables({**self.tables, "parsers": self.get_parsers()}, path, overwrite)
+        self._describe(path)
+
+    def to_disk(self, path: str, overwrite: bool = False, buckets: int = 64) -> Collection:
+        """Make a store below a path and work on that; about as many ``buckets`` as leave each some 100 MB."""
+        if writers.exists(self.spark, f"{path}/info.json"):
+            if not overwrite:
+                raise ValueError(f"{path} holds a collection")
+            writers.delete(self.spark, f"{path}/snapshots")  # a store without snapshots is empty
+        store = Store(self.spark, path, buckets)
+        store.append(self.tables)
+        self._describe(path)
+        self.path, self.store, self.tables = path, store, store.tables()
+        return self
+
+    def _describe(self, path: str) -> None:
         writers.save_json(self.spark, f"{path}/info.json", {"name": self.name, "type": self.get_type(), "metadata": self.metadata})
 
-    def to_disk(self, path: str, overwrite: bool = False) -> Collection:
-        """Write the tables and work on what was written."""
-        self.dump(path, overwrite)
-        self.path, self.tables = path, writers.load_tables(self.spark, path, TABLES)
+    def refresh(self) -> Collection:
+        """See what other sessions have committed."""
+        if self.store:
+            self.tables = self.store.refresh().tables()
         return self
 
+    def shred(self, paths: list[str] | None = None) -> list[str]:
+        """Keep JSON paths of the metadata in typed columns, the commonest ones if none are given: filters on them reach the scan."""
+        if self.store is None:
+            raise ValueError("only a stored collection keeps typed columns")
+        chosen = self.store.shred(paths)
+        self.tables = self.store.tables()
+        return chosen
+
+    def vacuum(self) -> int:
+        """Delete what earlier snapshots of a stored collection had; gives the number of versions deleted."""
+        return self.store.vacuum() if self.store else 0
+
     def drop(self) -> None:
         if self.path:
             writers.delete(self.spark, self.path)
 
     def materialize(self, media_dir: str) -> Collection:
         """Copy the media files to a folder by md5, and point the catalogue at the copies."""
-        placed = writers.copy_media(self.tables["parsed"], media_dir).select("orid", F.col("path").alias("_new"))
-        p = self.tables["parsed"].join(placed, "orid")
-        info = F.col("media_info").withField("path", F.col("_new"))
-        moved = p.withColumn("original_path", F.col("path")).withColumn("path", F.element_at(F.split("_new", "/"), -1)).withColumn("media_info", info)
-        return self._set({**self.tables, "parsed": moved.select(*self.tables["parsed"].columns)})
+        placed = ingest.stored(writers.copy_media(self.tables["parsed"], media_dir).select("orid", F.col("path").alias("_new")))
+
+        def moved(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+            p = tables["parsed"].join(placed, "orid")
+            info = F.col("media_info").withField("path", F.col("_new"))
+            p = p.withColumn("original_path", F.col("path")).withColumn("path", F.element_at(F.split("_new", "/"), -1)).withColumn("media_info", info)
+            return {**tables, "parsed": p.select(*tables["parsed"].columns)}
+
+        return self._change(moved)
 
     def doggy_bag(self, path: str, overwrite: bool = False) -> None:
         """An export bundle: media copies and metadata.csv; its columns are the metadata keys of the first recording."""
@@ -78,48 +116,79 @@ class Collection:
 
     # changes
 
-    def _set(self, tables: dict[str, DataFrame], rejects: DataFrame | None = None) -> Collection:
-        """Take over changed tables, with their lineage cut where the cluster has a checkpoint folder."""
-        cut = self.spark.sparkContext.getCheckpointDir() is not None
-        settled = lambda df: df.checkpoint() if cut else df
-        self.tables = {n: df if df is self.tables.get(n) else settled(df) for n, df in tables.items()}
+    def _settled(self, df: DataFrame) -> DataFrame:
+        """``df`` with its lineage cut, so that plans don't grow with the number of changes."""
+        return ingest.stored(df)
+
+    def _add(self, rows: dict[str, DataFrame], rejects: DataFrame | None = None) -> Collection:
+        """Add rows to the tables; to those of a store in one snapshot."""
         if rejects is not None:
-            self.rejects = settled(rejects)
+            self.rejects = self._settled(rejects)
+        if self.store:
+            self.store.append({n: df.select(*TABLES[n].fieldNames()) for n, df in rows.items()})
+            self.tables = self.store.tables()
+        else:
+            after = ingest.added(self.tables, rows)
+            self.tables = {n: df if n not in rows else self._settled(df) for n, df in after.items()}
+        return self
+
+    def _change(self, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], query: dict | None = None, where: str | None = None, orid: int | None = None, names: tuple[str, ...] = ("parsed",)) -> Collection:
+        """Apply a change of tables to the recordings that a predicate selects and what is in their buckets; other buckets stay."""
+        if not self.store:
+            after = change(self.tables)
+            self.tables = {n: df if df is self.tables.get(n) else self._settled(df) for n, df in after.items()}
+            return self
+        everything = query is None and where is None and orid is None
+        buckets = range(self.store.snapshot["buckets"]) if everything else self.store.buckets_of("parsed", self._found(query, where, orid))
+        if len(buckets):
+            after = change({**self.tables, **{n: self.store.table(n, buckets) for n in ("original", "parsed", "annotations")}})
+            self.store.replace({n: after[n] for n in names}, buckets)
+            self.tables = self.store.tables()
         return self
 
+    def _tops(self) -> dict[str, int]:
+        return self.store.snapshot["tops"] if self.store else ingest.largest(self.tables)
+
     def insert_media(self, records: DataFrame | list[dict], media: DataFrame, parse_seq: list[dict] | None = None) -> Collection:
         """Add records (a list of metadata dicts, or the rows of a reader); ``media`` has the files' headers by path."""
         if isinstance(records, list):
             records = readers.direct(self.spark, {"data": records})
-        return self._set(*ingest.insert(self.tables, records, media, parse_seq, self.timed))
+        known = self.store.known if self.store else ingest.known_in(self.tables)
+        return self._add(*ingest.inserted(self.tables, records, media, parse_seq, self.timed, known, self._tops()))
 
     def pull_datastore(self, kind: str, conf: dict, media: DataFrame, parse_seq: list[dict] | None = None) -> Collection:
         return self.insert_media(readers.pull(self.spark, kind, conf), media, parse_seq)
 
     def annotate(self, notes: DataFrame) -> Collection:
-        return self._set(*ingest.annotate(self.tables, notes))
+        good, rejects = ingest.annotated(notes, self._tops()["annotations"])
+        return self._add({"annotations": good}, rejects)
 
     def transform_metadata(self, parse_seq: list[dict], operation: str = "append", query: dict | None = None) -> Collection:
-        return self._set(ingest.transform_metadata(self.tables, parse_seq, operation, query, self.timed))
+        return self._change(lambda t: ingest.transform_metadata(t, parse_seq, operation, query, self.timed), query)
 
     def update_field(self, field: str, value: Any, query: dict | None = None, orid: int | None = None) -> Collection:
-        return self._set({**self.tables, "parsed": ingest.update_field(self.tables["parsed"], field, value, query, orid)})
+        return self._change(lambda t: {**t, "parsed": ingest.update_field(t["parsed"], field, value, query, orid)}, query, orid=orid)
 
     def drop_media(self, query: dict | None = None, where: str | None = None, orid: int | None = None, cascade: bool = True) -> DataFrame:
         """Remove the media that a predicate selects, and their files where those are the collection's own; gives them back.
 
         A bare file name is in the collection's media folder. Files elsewhere stay.
         """
-        tables, gone = ingest.remove(self.tables, query, where, orid, cascade)
-        gone = ingest.stored(gone)
-        self._set(tables)
+        if not query and where is None and orid is None:
+            raise ValueError("removing needs a predicate")
+        gone = self._settled(find(self.tables["parsed"], query, where, orid))
+        names = ("original", "parsed", "annotations") if cascade else ("original", "parsed")
+        self._change(lambda t: ingest.without(t, gone.select("orid"), cascade), query, where, orid, names)
+        if self.store:
+            self.store.forget_md5s(gone)
+            self.tables = self.store.tables()
         if self.path:
             own = gone.where("instr(path, '/') = 0").select(resolve_path(F.col("path"), f"{self.path}/media").alias("path"))
             writers.delete_files(own)
         return gone
 
     def merge(self, other: Collection) -> Collection:
-        return self._set(ingest.merge(self.tables, other.tables))
+        return self._add(ingest.merged(self.tables, other.tables, self._tops()))
 
     # queries
 
@@ -132,8 +201,15 @@ class Collection:
         steps = self.tables["parsed"].select(F.explode("parse_seq").alias("p"))
         return steps.groupBy("p.function", "p.kwargs").agg(F.count(F.lit(1)).alias("count"))
 
+    def _found(self, query: dict | None = None, where: str | None = None, orid: int | None = None) -> DataFrame:
+        """Recordings that a predicate selects; by the typed columns of a store, where it has those of a path."""
+        if not self.store or not self.store.snapshot["shred"]:
+            return find(self.tables["parsed"], query, where, orid)
+        wide = find(self.store.table("parsed", wide=True), query, where, orid, shredded=self.store.shredded())
+        return wide.select(*TABLES["parsed"].fieldNames())
+
     def _parsed(self, query: dict | None = None, where: str | None = None, orid: int | None = None) -> DataFrame:
-        df = find(self.tables["parsed"], query, where, orid)
+        df = self._found(query, where, orid)
         return df.withColumn("path", resolve_path(F.col("path"), f"{self.path}/media")) if self.path else df
 
     def get_media(self, query: dict | None = None, where: str | None = None, orid: int | None = None) -> DataFrame:
@@ -215,7 +291,7 @@ class Collection:
         return writers.write_chunks(media, folder, sr)
 
     def get_size(self, query: dict | None = None) -> int:
-        return aggregates.count(self.tables["parsed"], query).first()[0]
+        return self._found(query).count()
 
     def levels(self, field: str, query: dict | None = None) -> DataFrame:
         """Distinct values of a metadata path."""
@@ -231,12 +307,12 @@ class Collection:
 class TimedCollection(Collection):
     """A collection whose metadata carries absolute time."""
 
-    def __init__(self, spark: SparkSession, name: str, path: str | None = None, metadata: dict | None = None, overwrite: bool = False, time_field: str = "datetime", zone_field: str = "timezone", fmt: str = "%d-%m-%Y %H:%M:%S"):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None, metadata: dict | None = None, overwrite: bool = False, time_field: str = "datetime", zone_field: str = "timezone", fmt: str = "%d-%m-%Y %H:%M:%S", buckets: int = 64):
         self.timed = {"time_field": time_field, "zone_field": zone_field, "fmt": fmt}
-        super().__init__(spark, name, path, metadata, overwrite)
+        super().__init__(spark, name, path, metadata, overwrite, buckets)
 
     def get_type(self) -> str:
         return "timedCollection"
 
     def build_time(self) -> Collection:
-        return self._set(ingest.build_time(self.tables, self.timed))
+        return self._change(lambda t: ingest.build_time(t, self.timed))

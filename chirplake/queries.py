@@ -180,8 +180,8 @@ def first_wins_dedupe(documents):
     return aggregates.first_wins(documents.select("doc_id", F.md5("text").alias("md5")), "md5", "doc_id")
 
 
-def inserted(documents: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Documents as recordings of a store for each language: some without a timeexp, some whose file can't be read."""
+def recorded(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as (records, media) of a store for each language: some without a timeexp, some whose file can't be read."""
     path = F.concat_ws("/", "source", "doc_id")
     store = F.struct(F.md5("lang").alias("hash"), F.lit("direct").alias("type"), F.lit("{}").alias("conf"), F.lit("{}").alias("metadata"))
     metadata = F.to_json(F.struct(path.alias("path"), F.when(F.col("doc_id") % 7 != 0, 1.0).alias("timeexp"), "doc_id"))
@@ -190,7 +190,7 @@ def inserted(documents: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
         path.alias("path"), F.md5("text").alias("md5"), F.col("n_chars").alias("filesize"), F.lit(8000).alias("samplerate"), F.lit(2).alias("sampwidth"),
         F.lit(1).alias("nchannels"), F.col("n_chars").alias("nframes"),
     )
-    return ingest.insert(empty_tables(documents), records, media)
+    return records, media
 
 
 def empty_tables(df: DataFrame) -> dict[str, DataFrame]:
@@ -204,13 +204,14 @@ INSERTED = """(SELECT doc_id, md5(text) AS md5, n_chars, CASE WHEN doc_id % 7 =
 @query(f"SELECT doc_id, reason FROM {INSERTED} WHERE reason IS NOT NULL")
 def insert_rejects(documents):
     """Records that an insert leaves out, with the reason."""
-    return inserted(documents)[1].select(filters.json_value("record", "doc_id", "bigint").alias("doc_id"), "reason")
+    screened = ingest.screen(*recorded(documents), ingest.known_in(empty_tables(documents)))
+    return ingest.rejected(screened).select(filters.json_value("record", "doc_id", "bigint").alias("doc_id"), "reason")
 
 
 @query(f"SELECT doc_id, md5, row_number() OVER (ORDER BY md5(lang), doc_id) AS orid, n_chars / 8000.0::DOUBLE AS duration FROM {INSERTED} WHERE reason IS NULL")
 def insert_parsed(documents):
     """Ids and media info of what an insert takes."""
-    parsed = inserted(documents)[0]["parsed"]
+    parsed = ingest.insert(empty_tables(documents), *recorded(documents))[0]["parsed"]
     return parsed.select(filters.json_value("metadata", "doc_id", "bigint").alias("doc_id"), "md5", "orid", F.col("media_info.duration").alias("duration"))
 
 
