@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,6 +37,12 @@ FIRM = {
     "sponsored",
 }
 COMMENTS = {"comment", "comments", "disqus", "replies", "respond"}
+#: Inside an article a name counts only if it has marks and words such as these alone: ``share-buttons`` does, ``market-share`` doesn't.
+FILLERS = {
+    "area", "article", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "footer", "form", "icon", "icons", "inline", "inner",
+    "item", "items", "left", "link", "links", "list", "main", "more", "outer", "page", "panel", "post", "posts", "right", "row", "section", "signup", "site", "slot", "stories",
+    "story", "thread", "tools", "top", "unit", "wrap", "wrapper",
+}
 #: Names with one of these words say how a page is laid out, not what the element is.
 MODIFIERS = {"has", "have", "hide", "hides", "no", "not", "show", "shows", "with", "without"}
 CLOSES_P = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li", "summary", "figcaption"}
@@ -53,13 +60,25 @@ SHARE = 0.5
 #: An article is a teaser if the regions outside articles have more than this times its text.
 TEASER = 3
 SPACE = re.compile(r"\s+")
+WORDY = re.compile(r"[^\W_]")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def names(attrs: list[tuple[str, str | None]]) -> set[str]:
-    """Words in class, id and role, without those of names that have a modifier (``with-sidebar``, ``no-sidebar``)."""
+#: Name, attributes and end of a start tag; none of them goes back on what it took, so each character is read once.
+NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />\x00]*+")
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?+""")
+TAIL = re.compile(r"([\s/]*+)>")
+
+
+def names(attrs: list[tuple[str, str | None]]) -> list[set[str]]:
+    """Words of each name in class, id and role, without names that have a modifier (``with-sidebar``, ``no-sidebar``)."""
     split = [{w.lower() for w in PARTS.findall(name)} for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()]
-    return {w for words in split if not words & MODIFIERS for w in words}
+    return [words for words in split if not words & MODIFIERS]
+
+
+def marks(attrs: list[tuple[str, str | None]], whole: bool) -> set[str]:
+    """Marks in the names of an element; with ``whole``, in those that are nothing but marks and fillers."""
+    return {w for words in names(attrs) if not whole or words <= MARKS | FILLERS for w in words & MARKS}
 
 
 class Lines(HTMLParser):
@@ -77,13 +96,79 @@ class Lines(HTMLParser):
         self.places: dict[str, list[int]] = {}
         self.fences: tuple[list[int], list[int]] = ([-1], [-1])
         self.text: list[str] = []
-        self.tags = self.linked = self.regions = 0
+        self.tags = self.linked = self.regions = self.at = 0
+        self.plain = self.loose = self.open_comment = False
+        self.last_end: tuple[str, int] = ("", -1)
+
+    # tags that don't end, in time in proportion to the page
+
+    def no_end(self, i: int) -> bool:
+        """Whether no tag ends after a place."""
+        if self.last_end[0] is not self.rawdata:
+            self.last_end = (self.rawdata, self.rawdata.rfind(">"))
+        return i > self.last_end[1]
+
+    def rest(self, i: int) -> int:
+        """All that follows is text, as no tag ends any more."""
+        self.handle_data(unescape(self.rawdata[i:]))
+        return len(self.rawdata)
+
+    def attributes(self, at: int, end: int) -> tuple[list[tuple[str, str | None]], int]:
+        found = []
+        while m := ATTRIBUTE.match(self.rawdata, at, end):
+            value = next((v for v in m.group(2, 3, 4) if v is not None), None)
+            found.append((m[1].lower(), unescape(value) if value else value))
+            at = m.end()
+        return found, at
+
+    def parse_starttag(self, i: int) -> int:
+        """A tag ends at the first ``>`` outside quotes. Once a page ends inside one, quotes don't count any more."""
+        if self.no_end(i):
+            return self.rest(i)
+        raw, self.at = self.rawdata, i
+        name = NAME.match(raw, i + 1)
+        attrs, at = self.attributes(name.end(), len(raw)) if not self.loose else ([], i)
+        if not (tail := TAIL.match(raw, at)):
+            self.loose = True
+            end = raw.find(">", i)
+            attrs, at = self.attributes(name.end(), end)
+            tail = TAIL.match(raw, at)
+        tag = self.lasttag = name[0].lower()
+        if tail[1].endswith("/"):
+            self.handle_startendtag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+            if tag in self.CDATA_CONTENT_ELEMENTS:
+                self.set_cdata_mode(tag)
+        return tail.end()
+
+    def parse_endtag(self, i: int) -> int:
+        return self.rest(i) if self.no_end(i) else super().parse_endtag(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self.rest(i) if self.no_end(i) else super().parse_pi(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """A comment; one that isn't closed ends at the next ``>``."""
+        if self.no_end(i):
+            return self.rest(i)
+        end = -1 if self.open_comment else super().parse_comment(i, report)
+        self.open_comment = end < 0
+        return end if end >= 0 else self.rawdata.find(">", i) + 1
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.no_end(i):
+            return self.rest(i)
+        return self.parse_comment(i) if self.rawdata.startswith("<!--", i) else self.rawdata.find(">", i) + 1
+
+    # lines
 
     def end_line(self) -> None:
         if line := SPACE.sub(" ", "".join(self.text)).strip():
             _, out, region, main = self.open[-1] if self.open else ("", 0, 0, False)
-            (self.spare if out else self.lines).append((line, self.tags, self.linked, region, main))
-        self.text, self.tags, self.linked = [], 0, 0
+            linked = self.linked if self.plain or not self.linked else len(line)  # blanks and bars between links are no text
+            (self.spare if out else self.lines).append((line, self.tags, linked, region, main))
+        self.text, self.tags, self.linked, self.plain = [], 0, 0, False
 
     def push(self, tag: str, out: int, region: int, main: bool) -> None:
         self.places.setdefault(tag, []).append(len(self.open))
@@ -105,9 +190,16 @@ class Lines(HTMLParser):
         """Whether an element of a tag is open inside the innermost one that ends the search."""
         return bool(places := self.places.get(tag)) and places[-1] >= self.fences[fence][-1]
 
+    def unclosed(self, tag: str) -> bool:
+        """Whether an element of a tag is open that no end tag after here closes."""
+        return bool(self.places.get(tag)) and not re.compile(f"</{tag}\\b", re.I).search(self.rawdata, self.at)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.end_line()
+            if tag in ("article", "main") and self.unclosed("nav"):  # its author meant it to end before
+                while self.places.get("nav"):
+                    self.pop("nav")
             if tag in CLOSES_P and self.has("p", 0):
                 self.pop("p")
             for other in SIBLINGS.get(tag, ()):
@@ -122,10 +214,12 @@ class Lines(HTMLParser):
         elif tag in NEVER or (tag == "header" and not main):
             out = GONE
         elif tag in ("article", "main"):
-            if not main and out <= (NAMED if tag == "main" else SOFT):
+            if marks(attrs, True) & COMMENTS:
+                out = GONE
+            elif not main and out <= (NAMED if tag == "main" else SOFT):
                 out = 0
         elif out < GONE and tag not in ("html", "body"):
-            if (named := names(attrs)) & MARKS:
+            if named := marks(attrs, main):
                 firm = GONE if main or named & COMMENTS or tag not in ("div", "section") else NAMED if named & FIRM else SOFT
                 out = max(out, firm)
             if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
@@ -153,12 +247,16 @@ class Lines(HTMLParser):
         self.text.append(data)
         if self.places.get("a"):
             self.linked += len(data)
+        elif not self.plain:
+            self.plain = bool(WORDY.search(data))
 
     def finish(self) -> list[tuple[str, int, int, int, bool]]:
-        """All lines; the spare ones only if there are no others."""
+        """All lines; the spare ones instead if they have so much more text that the others are what is around them."""
         self.close()
         self.end_line()
-        return self.lines or self.spare
+        text = lambda lines: sum(max(len(t) - linked, 0) for t, _, linked, _, _ in lines)
+        inside = any(main for *_, main in self.lines)
+        return self.spare if self.spare and not inside and text(self.spare) > TEASER * text(self.lines) else self.lines
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -209,9 +307,12 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     Elements of navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and comments
     never give lines. A form, or a div or section that is marked by name, doesn't hide an article below it unless its name
     is one of navigation, sidebars, footers, adverts or comments; a main element is only hidden by comments, or by tag. What
-    a form or another such name hides comes back where the page has nothing else. Of the other lines, the regions around
-    clusters of high text-to-tag ratio are the main text, whole. Markup that is nested or unclosed however deep takes time
-    in proportion. A null or empty page gives an empty text; text without any markup is one line and stays. Unclosed and stray tags
+    a form or another such name hides is the text where the rest of the page has less than a third of it and no article.
+    Inside an article a name has to be a mark as a whole; an article that is a comment by name is one. A ``nav`` that is
+    never closed ends where an article begins. Of the other lines, the regions around clusters of high text-to-tag ratio
+    are the main text, whole; words of links don't count, and blanks and bars between them neither. Markup that is nested
+    or unclosed however deep, and tags, quotes and comments that don't end, take time in proportion. A null or empty page
+    gives an empty text; text without any markup is one line and stays. Unclosed and stray tags
     close as browsers would for paragraphs, list items and cells. Repeated rows stay as they are.
     """
 

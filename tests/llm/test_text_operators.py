@@ -163,6 +163,67 @@ def test_unclosed_markup_takes_time_in_proportion(html):
     assert time.process_time() - began < 20
 
 
+UNENDED = ["<a ", '<a b="x ', "<p a='", "<!-- ", "</p ", "<!x ", "<?x ", "<![x ", "<a b='\">' ", '<a b=">" ']
+
+
+@pytest.mark.parametrize("end", ["", ">", "'>", '">', "x>tail"])
+@pytest.mark.parametrize("piece", UNENDED)
+def test_tags_without_an_end_take_time_in_proportion(piece, end):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text("<p>before</p>" + piece * 100_000 + end)
+    assert time.process_time() - began < 5
+
+
+def test_text_after_a_tag_without_an_end():
+    assert htmltext.main_text("<p>before</p><p>a <b") == "before a <b"
+    assert htmltext.main_text('<p>one</p><a href="x>two</a><p>three</p><p>four</p>').endswith("four")
+    assert htmltext.main_text("<p>one</p><!-- open <p>two</p>") == "one two"
+    assert htmltext.main_text("<p>one</p><![x[ <p>two</p><![CDATA[three]]>") == "one two"
+    assert htmltext.main_text("<article><div class='a' data-x=\"it's > that\" hidden=no>gone</div><p title = y>kept</p></article>") == "kept"
+
+
+LONG = "The paragraph of this page that is its main text, with enough words to be one. " * 4
+
+
+@pytest.mark.parametrize("wrapper", ["<form>%s</form>", "<div class=widget-test>%s</div>", "<div class='search page'><section>%s</section></div>"])
+@pytest.mark.parametrize("other", ["<div>Copyright Foo</div>", "<p>foot</p>", ""])
+def test_hidden_text_against_a_line_elsewhere(wrapper, other):
+    assert htmltext.main_text(f"<body>{wrapper % f'<div id=content><p>{LONG}</p></div>'}{other}</body>") == LONG.strip()
+    assert LONG.strip() in htmltext.main_text(f"<body>{wrapper % '<p>short</p>'}<div><p>{LONG}</p></div></body>")
+    assert "short" not in htmltext.main_text(f"<body>{wrapper % '<p>short</p>'}<div><p>{LONG}</p></div></body>")
+
+
+@pytest.mark.parametrize("name", ["market-share", "social-policy", "related-work", "notice-of-motion", "searchTheory"])
+def test_names_inside_an_article_count_as_a_whole(name):
+    for tag in ("div", "section"):
+        for attr in ("class", "id"):
+            assert htmltext.main_text(f"<article><p>{LONG}</p><{tag} {attr}={name}><p>More.</p></{tag}></article>") == LONG + "More."
+
+
+@pytest.mark.parametrize("name", ["share", "share-buttons", "related-posts", "social", "ad-slot", "newsletter-signup", "commentList"])
+def test_marked_names_inside_an_article(name):
+    assert htmltext.main_text(f"<article><p>{LONG}</p><div class={name}><p>More.</p></div></article>") == LONG.strip()
+
+
+def test_comments_that_are_articles():
+    page = f"<main><article><p>{LONG}</p></article><article class=comment><p>reader says</p></article><article id=comment-12>x</article></main>"
+    assert htmltext.main_text(page).startswith(LONG.strip()) and "reader" not in htmltext.main_text(page)
+
+
+def test_unclosed_navigation():
+    assert htmltext.main_text(f"<body><nav><a href=a>home</a><ul><li>menu<article><p>{LONG}</p></article></body>") == LONG.strip()
+    assert htmltext.main_text(f"<body><nav><a href=a>home</a><article><p>{LONG}</p></article></nav></body>") == ""
+
+
+@pytest.mark.parametrize("between", [" ", " | ", " &middot; ", "\n"])
+def test_links_without_a_name(between):
+    menu = between.join(f"<a href={i}>link {i}</a>" for i in range(50))
+    assert htmltext.main_text(f"<body><div>{menu}</div><div><p>{LONG}</p><p>{LONG}</p></div><div>{menu}</div></body>") == (LONG * 2).strip()
+    assert htmltext.main_text(f"<body><div><p>{LONG}</p><p>See <a href=x>this</a> and <a href=y>that</a>.</p></div></body>") == LONG + "See this and that."
+
+
 def plain_regions(lines):
     """Ratio, Gaussian filter and threshold as loops."""
     ratio = [max(len(t) - linked, 0) / max(tags, 1) for t, tags, linked, _, _ in lines]
