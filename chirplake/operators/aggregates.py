@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,56 +98,73 @@ def dealt(df: DataFrame, weight: str, order: list[str], most: int, tasks: int =
 ACCURACY = 100_000
 
 
-def exact_percentiles(df: DataFrame, values: list[str], percentiles: tuple[float, ...]) -> list[list[float]]:
-    """The percentiles of each of the values, between ranks by proportion, as numbers on the driver.
+def percentile_table(df: DataFrame, values: list[str], percentiles: tuple[float, ...], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(by, level, percentile, value): exact percentiles, between ranks by proportion, of each of the values in each group.
 
-    A sketch brackets each percentile; the distinct values inside a bracket are counted map-side, and the two at its ranks
-    are read off. So no buffer holds all values of a column. Nulls don't count.
+    ``level`` and ``percentile`` are places in the lists given. All values and groups go through two passes together, and
+    nothing is run before the result is: sketches that are merged map-side bracket each percentile, then what lies below a
+    bracket is counted and the distinct values inside it, a share of 4 / ACCURACY of a group's rows, are ranked. So no
+    buffer holds all values of a group. Nulls don't count; where all of a group's values are null, there is no row.
     """
-    doubles = [F.col(quoted(v)).cast("double") for v in values]
+    names = [f"_k{i}" for i in range(len(by))]
+    doubles = F.array(*[F.col(quoted(v)).cast("double") for v in values])
+    long = df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(by, names, strict=True)], F.posexplode(doubles).alias("level", "v")).where("v IS NOT NULL")
     slack = 2.0 / ACCURACY
     around = [min(max(p / 100.0 + s, 0.0), 1.0) for p in percentiles for s in (-slack, slack)]
-    first = df.agg(*[x for v in doubles for x in (F.count(v), F.percentile_approx(v, around, ACCURACY))]).first()
-    wanted, below = [], []
-    for i, v in enumerate(doubles):
-        n, ends = first[2 * i], first[2 * i + 1]
-        for j, p in enumerate(percentiles):
-            if n:
-                low, high = ends[2 * j], ends[2 * j + 1]
-                wanted.append((i, j, p / 100.0 * (n - 1), low, high))
-                below.append(F.sum((v < low).cast("long")))
+    sketched = long.groupBy(*names, "level").agg(F.count("v").alias("n"), F.percentile_approx("v", around, ACCURACY).alias("ends"))
+    at = lambda j: (F.lit(percentiles[j] / 100.0) * (F.col("n") - 1)).alias("at")
+    end = lambda j, name: F.get("ends", F.lit(j)).alias(name)
+    brackets = F.array(*[F.struct(F.lit(j).alias("percentile"), at(j), end(2 * j, "low"), end(2 * j + 1, "high")) for j in range(len(percentiles))])
+    found = sketched.select(*[F.col(k).alias(f"_b{k}") for k in names], F.col("level").alias("_level"), brackets.alias("brackets"))
+    found = found if by else F.broadcast(found)  # a row for each value, if there are no groups
+    met = long.join(found, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in names], F.col("level") == F.col("_level")))
+    seen = met.select(*names, "level", "v", F.explode("brackets").alias("b")).where("v <= b.high")
+    inside = F.when(F.col("v") >= F.col("b.low"), F.col("v"))  # what is below is one row for each task
+    counted = seen.groupBy(*names, "level", "b.percentile", "b.at", inside.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*names, "level", "percentile").orderBy(F.asc_nulls_first("v"))))
+    step = lambda k: F.min(F.when(F.col("upto") > F.floor("at") + k, F.col("v")))
+    got = upto.groupBy(*names, "level", "percentile", "at").agg(step(0).alias("low"), step(1).alias("high"))
+    part = F.col("at") - F.floor("at")
+    value = F.when(part > 0, (F.floor("at") + 1 - F.col("at")) * F.col("low") + part * F.col("high")).otherwise(F.col("low"))
+    return got.select(*[F.col(k).alias(c) for c, k in zip(by, names, strict=True)], "level", "percentile", value.alias("value"))
+
+
+def exact_percentiles(df: DataFrame, values: list[str], percentiles: tuple[float, ...]) -> list[list[float]]:
+    """The percentiles of each of the values as numbers on the driver; see :func:`percentile_table`."""
     out: list[list[float]] = [[None] * len(percentiles) for _ in values]
-    if not wanted:
-        return out
-    before = df.agg(*below).first()
-    near = F.array(*[F.when(doubles[i].between(low, high), F.struct(F.lit(k).alias("k"), doubles[i].alias("v"))) for k, (i, _, _, low, high) in enumerate(wanted)])
-    counted = df.select(F.explode(F.array_compact(near)).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("k").orderBy("v")))  # a share of 4 / ACCURACY of the rows
-    ranks = F.element_at(F.create_map(*[F.lit(x) for k, (_, _, at, _, _) in enumerate(wanted) for x in (k, int(at) - before[k])]), F.col("k"))
-    for step, name in ((0, "low"), (1, "high")):
-        there = F.min(F.when(F.col("upto") > ranks + step, F.col("v"))).alias(name)
-        found = {r["k"]: r[name] for r in upto.groupBy("k").agg(there).collect()}
-        for k, (i, j, at, _, _) in enumerate(wanted):
-            value, part = found.get(k), at - int(at)
-            if step == 0:
-                out[i][j] = value
-            elif part > 0:
-                out[i][j] = (int(at) + 1 - at) * out[i][j] + part * value
+    for r in percentile_table(df, values, percentiles).collect():
+        out[r["level"]][r["percentile"]] = r["value"]
     return out
 
 
-def percentile_scores(df: DataFrame, values: list[str], percentiles: tuple[float, float]) -> DataFrame:
-    """``df`` with score: how many of the values lie between their percentiles over all rows, both included."""
-    score = F.lit(0)
-    for v, (low, high) in zip(values, exact_percentiles(df, values, percentiles), strict=True):
-        inside = F.col(quoted(v)).cast("double").between(F.lit(low).cast("double"), F.lit(high).cast("double"))
-        score = score + F.when(F.col(quoted(v)).isNull(), None).otherwise(inside.cast("int"))
-    return df.withColumn("score", score)
+def percentile_scores(df: DataFrame, values: list[str], percentiles: tuple[float, float], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with score: how many of the values lie between their percentiles in the row's group, both included.
 
-
-def top_scores(scored: DataFrame, n: int, ties: list[str]) -> DataFrame:
-    """The n rows of the highest score, ties by the columns given."""
-    return scored.orderBy(F.desc("score"), *ties).limit(n)
+    Null if any value is null. Nothing is run before the result is.
+    """
+    table = percentile_table(df, values, percentiles, [*by])
+    names = [f"_k{i}" for i in range(len(by))]
+    table = table.toDF(*names, "level", "percentile", "value")
+    ends = table.groupBy(*names, "level").agg(*[F.max(F.when(F.col("percentile") == j, F.col("value"))).alias(c) for j, c in ((0, "low"), (1, "high"))])
+    limits = ends.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("low", "high")))).alias("_limits"))
+    doubles = F.array(*[F.col(quoted(v)).cast("double") for v in values])
+    limit = lambda i: F.element_at("_limits", i)
+    inside = F.transform(doubles, lambda v, i: v.between(limit(i)["low"], limit(i)["high"]).cast("int"))
+    on = reduce(and_, [F.col(quoted(c)).eqNullSafe(F.col(k)) for c, k in zip(by, names, strict=True)], F.lit(True))
+    joined = df.join(limits if by else F.broadcast(limits), on, "left")  # one row, if there are no groups
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], F.aggregate(inside, F.lit(0), lambda a, x: a + x).alias("score"))
+
+
+def top_scores(scored: DataFrame, n: int, ties: list[str], by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The n rows of the highest score, of each group if there are any, ties by the columns given.
+
+    Spark keeps n rows of a group in each task before it brings them together.
+    """
+    order = [F.desc("score"), *ties]
+    if not by:
+        return scored.orderBy(*order).limit(n)
+    ranked = scored.withColumn("_rank", F.row_number().over(Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*order)))
+    return ranked.where(F.col("_rank") <= n).drop("_rank")
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -202,11 +202,14 @@ class Soundscape:
         low, high = level_range(freq_limits, *energy.fLimits, energy.fBins)
         return energy.columns()[low : high + 1]
 
-    def by_percentile(self, percentiles: tuple[float, float], group: dict | None = None, cells: list[int] | None = None, time_limits: tuple[str, str] | None = None, freq_limits: tuple[float, float] | None = None, names: list[str] | None = None, top: int = 10) -> DataFrame:
-        """The rows whose energies lie most often between two percentiles, at most ``top``, with their score."""
+    def by_percentile(self, percentiles: tuple[float, float], group: dict | None = None, cells: list[int] | None = None, time_limits: tuple[str, str] | None = None, freq_limits: tuple[float, float] | None = None, names: list[str] | None = None, top: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+        """The rows whose energies lie most often between two percentiles, at most ``top``, with their score.
+
+        With ``by`` the percentiles are those of a row's own group, and each group has its ``top``.
+        """
         names = self._levels(freq_limits) if freq_limits else names or self.config.energyParams.columns()
         df = self._limited(self.get_splits(group), time_limits, cells)
-        return aggregates.top_scores(aggregates.percentile_scores(df, names, percentiles), top, ["orid", "chunkId", "channel"])
+        return aggregates.top_scores(aggregates.percentile_scores(df, names, percentiles, by), top, ["orid", "chunkId", "channel"], by)
 
     def _limited(self, df: DataFrame, time_limits: tuple[str, str] | None, cells: list[int] | None) -> DataFrame:
         c = self.config.cronoParams

@@ -50,6 +50,38 @@ def test_percentiles_bracketed(spark, monkeypatch):
     assert aggregates.percentile_scores(df, ["a.b", "c"], (20, 60)).where("score IS NULL").count() == 1
 
 
+def test_percentiles_by_group(spark, monkeypatch):
+    """Each group's own, also where a group is null, tiny, all null or most of the rows; nothing runs before the result does."""
+    monkeypatch.setattr(aggregates, "ACCURACY", 50)
+    rng = np.random.default_rng(4)
+    sizes = {"big": 2500, "b": 300, "one": 1, None: 40}
+    rows = [(f"{g}{i}", g, float(v), float(rng.integers(0, 4))) for g, n in sizes.items() for i, v in enumerate(rng.normal(size=n))]
+    rows += [(f"n{i}", "none", None, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, `g.x` string, a double, `b.c` double")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("lazy"))
+    spark.sparkContext.setJobGroup("lazy", "")
+    scored = aggregates.percentile_scores(df, ["a", "b.c"], (10, 62.5), ["g.x"])
+    table = aggregates.percentile_table(df, ["a", "b.c"], (10, 62.5), ["g.x"])
+    assert jobs() == 0
+    got = {(r["g.x"], r["level"], r["percentile"]): r["value"] for r in table.collect()}
+    assert len(got) == 4 * 4 + 2
+    want = {}
+    for g in sizes:
+        own = np.array([r[2:] for r in rows if r[1] == g])
+        want[g] = np.percentile(own, [10, 62.5], axis=0)
+        for level in (0, 1):
+            for j in (0, 1):
+                assert got[g, level, j] == pytest.approx(want[g][j, level], abs=1e-12)
+    for r in scored.collect():
+        if r["g.x"] == "none":
+            assert r.score is None
+        else:
+            lim = want[r["g.x"]]
+            assert r.score == int(lim[0, 0] <= r.a <= lim[1, 0]) + int(lim[0, 1] <= r["b.c"] <= lim[1, 1])
+    top = aggregates.top_scores(scored, 3, ["k"], ["g.x"]).collect()
+    assert sorted((str(r["g.x"]) for r in top)) == sorted(["big"] * 3 + ["b"] * 3 + ["one"] + ["None"] * 3 + ["none"] * 3)
+
+
 def test_dotted_fields(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(30)], "orid long, `site.id` long")
     assert {(r[0], r[1]) for r in aggregates.group_counts(df, ["site.id"]).collect()} == {(0, 10), (1, 10), (2, 10)}
