@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -15,6 +16,7 @@ from chirplake.operators.chunks import export_limits
 from chirplake.operators.filters import find
 from chirplake.schema import REJECTS, TABLES
 from chirplake.sources import readers, writers
+from chirplake.sources.statements import read_statements, statements, write_statements
 from chirplake.sources.store import Store
 
 
@@ -32,6 +34,7 @@ class Collection:
         self.spark, self.name, self.path, self.metadata = spark, name, path, metadata or {}
         self.rejects = spark.createDataFrame([], REJECTS)
         self.store: Store | None = None
+        self.inserted: tuple[str, int] | None = None  # the last batch of a stream that this object added
         if path and writers.exists(spark, f"{path}/info.json") and not overwrite:
             info = writers.load_json(spark, f"{path}/info.json")
             if info["name"] != name or info["type"] != self.get_type():
@@ -52,11 +55,31 @@ class Collection:
 
     # storage
 
-    def dump(self, path: str, overwrite: bool = False) -> None:
-        """A copy of the tables, the parsers that made them and the description."""
-        writers.save_tables({**self.tables, "parsers": self.get_parsers()}, path, overwrite)
+    def dump(self, path: str, overwrite: bool = False, form: str = "parquet") -> None:
+        """A copy of the tables and the description: as Parquet, with the parsers that made them, or as ``sql`` statements."""
+        if form == "sql":
+            write_statements(self.tables, path, overwrite)
+        else:
+            writers.save_tables({**self.tables, "parsers": self.get_parsers()}, path, overwrite)
         self._describe(path)
 
+    def as_statements(self) -> DataFrame:
+        """(value) the statements that insert all rows of all tables."""
+        parts = [statements(df, n) for n, df in self.tables.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    def load_statements(self, path: str) -> Collection:
+        """Take over a dump of statements, a folder of ours or one file of all tables, into an empty collection."""
+        if self.tables["parsed"].limit(1).count():
+            raise ValueError("the collection isn't empty")
+        return self._add({n: self._settled(df) for n, df in read_statements(self.spark, path, TABLES).items()})
+
+    def transfer(self, path: str, overwrite: bool = False) -> Collection:
+        """This collection as a stored one at another path."""
+        other = type(self)(self.spark, self.name, metadata=self.metadata)
+        other.timed, other.tables = self.timed, self.tables
+        return other.to_disk(path, overwrite)
+
     def to_disk(self, path: str, overwrite: bool = False, buckets: int = 64) -> Collection:
         """Make a store below a path and work on that; about as many ``buckets`` as leave each some 100 MB."""
         if writers.exists(self.spark, f"{path}/info.json"):
@@ -120,12 +143,12 @@ class Collection:
         """``df`` with its lineage cut, so that plans don't grow with the number of changes."""
         return ingest.stored(df)
 
-    def _add(self, rows: dict[str, DataFrame], rejects: DataFrame | None = None) -> Collection:
+    def _add(self, rows: dict[str, DataFrame], rejects: DataFrame | None = None, batch: tuple[str, int] | None = None) -> Collection:
         """Add rows to the tables; to those of a store in one snapshot."""
         if rejects is not None:
             self.rejects = self._settled(rejects)
         if self.store:
-            self.store.append({n: df.select(*TABLES[n].fieldNames()) for n, df in rows.items()})
+            self.store.append({n: df.select(*TABLES[n].fieldNames()) for n, df in rows.items()}, batch)
             self.tables = self.store.tables()
         else:
             after = ingest.added(self.tables, rows)
@@ -149,12 +172,19 @@ class Collection:
     def _tops(self) -> dict[str, int]:
         return self.store.snapshot["tops"] if self.store else ingest.largest(self.tables)
 
-    def insert_media(self, records: DataFrame | list[dict], media: DataFrame, parse_seq: list[dict] | None = None) -> Collection:
-        """Add records (a list of metadata dicts, or the rows of a reader); ``media`` has the files' headers by path."""
+    def insert_media(self, records: DataFrame | list[dict], media: DataFrame, parse_seq: list[dict] | None = None, batch: tuple[str, int] | None = None) -> Collection:
+        """Add records (a list of metadata dicts, or the rows of a reader); ``media`` has the files' headers by path.
+
+        A ``batch`` of a stream that a stored collection has already is left alone.
+        """
+        if batch and self.store and self.store.refresh().snapshot.get("streams", {}).get(batch[0], -1) >= batch[1]:
+            self.inserted = None
+            return self
         if isinstance(records, list):
             records = readers.direct(self.spark, {"data": records})
         known = self.store.known if self.store else ingest.known_in(self.tables)
-        return self._add(*ingest.inserted(self.tables, records, media, parse_seq, self.timed, known, self._tops()))
+        self.inserted = batch
+        return self._add(*ingest.inserted(self.tables, records, media, parse_seq, self.timed, known, self._tops()), batch)
 
     def pull_datastore(self, kind: str, conf: dict, media: DataFrame, parse_seq: list[dict] | None = None) -> Collection:
         return self.insert_media(readers.pull(self.spark, kind, conf), media, parse_seq)

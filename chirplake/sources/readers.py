@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,16 +77,82 @@ def postgresql(spark: SparkSession, conf: dict) -> DataFrame:
     return _records(df, descriptor("postgresql", conf), F.col(conf["ukey"]), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
 
 
+#: Ids that one lookup asks for.
+LOOKUP = 1000
+
+
+def id_table(spark: SparkSession, ids: Any) -> DataFrame:
+    """(id) distinct ids as text: of a table of one column, of a path of text files of an id a line, or of a list."""
+    if isinstance(ids, str):
+        ids = spark.read.text(ids)
+    elif not isinstance(ids, DataFrame):
+        import pandas as pd
+
+        ids = spark.createDataFrame(pd.DataFrame({"id": [str(i) for i in ids if i is not None]}, dtype="string"), "id string")
+    return ids.select(F.col(ids.columns[0]).cast("string").alias("id")).where("id IS NOT NULL").distinct()
+
+
+def looked_up(ids: DataFrame, fetch: Callable[[list[str]], Iterator[dict[str, Any]]], key: str, batch: int = LOOKUP) -> DataFrame:
+    """(fkey, metadata) of what a source has for a table of ids, asked for in batches where the ids are.
+
+    ``fetch`` gets a list of ids and gives documents; it is called once for each batch, on the executors. So no list of
+    ids is in the plan, and the source is never read as a whole. Ids are dealt out by hash, each to one batch.
+    """
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pandas as pd
+
+        held: list[str] = []
+
+        def answers(some: list[str]) -> Any:
+            found = list(fetch(some))
+            return pd.DataFrame({"fkey": [str(d[key]) for d in found], "metadata": [json.dumps(d, default=str) for d in found]}, dtype="string")
+
+        for part in batches:
+            held += part.id.tolist()
+            while len(held) >= batch:
+                yield answers(held[:batch])
+                held = held[batch:]
+        if held:
+            yield answers(held)
+
+    return ids.repartition("id").mapInPandas(run, "fkey string, metadata string")
+
+
+def mongo_fetch(conf: dict) -> Callable[[list[str]], Iterator[dict[str, Any]]]:
+    """Documents of a collection by their keys, over the driver's client library on each executor."""
+    place, key, fields = f"mongodb://{conf['host']}:{conf.get('port', 27017)}", conf["ukey"], conf.get("fields")
+
+    def fetch(some: list[str]) -> Iterator[dict[str, Any]]:
+        from bson import ObjectId
+        from pymongo import MongoClient
+
+        wanted = [*some, *[ObjectId(s) for s in some if key == "_id" and ObjectId.is_valid(s)], *[int(s) for s in some if s.lstrip("-").isdigit()]]
+        with MongoClient(place) as client:
+            yield from client[conf["dbname"]][conf["collection"]].find({key: {"$in": wanted}}, dict.fromkeys([key, *fields], 1) if fields else None)
+
+    return fetch
+
+
 def mongodb(spark: SparkSession, conf: dict) -> DataFrame:
-    """A collection through the Spark connector; ``filter`` is a query or a list of keys, ``fields`` the columns."""
+    """A collection of documents: what a query selects (``filter``) through the Spark connector, or the documents of ``ids``.
+
+    ``ids`` (or a list as ``filter``) is a list, a table or a path of keys, looked up in batches by ``fetch``, which is
+    :func:`mongo_fetch` if it isn't given. ``fields`` are the columns, ``ukey`` the key.
+    """
     from chirplake.operators.filters import find
 
+    shown = {k: v for k, v in conf.items() if k not in ("fetch", "ids") and not isinstance(v, DataFrame)}
+    ids = conf.get("ids", conf.get("filter") if isinstance(conf.get("filter"), list) else None)
+    if ids is not None:
+        shown.pop("filter", None)
+        found = looked_up(id_table(spark, ids), conf.get("fetch") or mongo_fetch(shown), conf["ukey"], conf.get("batch", LOOKUP))
+        return _records(found, descriptor("mongodb", shown), F.col("fkey"), F.col("metadata"))
     df = spark.read.format("mongodb").option("connection.uri", f"mongodb://{conf['host']}:{conf.get('port', 27017)}").option("database", conf["dbname"]).option("collection", conf["collection"]).load()
-    wanted = conf.get("filter")
-    df = df.where(F.col(conf["ukey"]).cast("string").isin(*map(str, wanted))) if isinstance(wanted, list) else find(df, wanted, json_columns=())
+    df = find(df, conf.get("filter"), json_columns=())
     if conf.get("fields"):
         df = df.select(conf["ukey"], *[f for f in conf["fields"] if f != conf["ukey"]])
-    return _records(df, descriptor("mongodb", conf), F.col(conf["ukey"]), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    return _records(df, descriptor("mongodb", shown), F.col(conf["ukey"]), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
 
 
 def audiomoth(spark: SparkSession, conf: dict) -> DataFrame:
@@ -108,6 +174,11 @@ def audiomoth(spark: SparkSession, conf: dict) -> DataFrame:
     return _records(files.withColumn("h", read), descriptor("audioMoth", conf), F.element_at(F.split("path", "/"), -1), F.to_json("h", {"ignoreNullFields": "false"}))
 
 
+def streamed(df: DataFrame, name: str, metadata: Column) -> DataFrame:
+    """Records of files that a stream brings; the path is the key."""
+    return _records(df, descriptor("stream", {"name": name}), F.col("path"), metadata)
+
+
 READERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
     "direct": direct, "json": json_lines, "csv": csv, "postgresql": postgresql, "mongodb": mongodb, "audioMoth": audiomoth,
 }

@@ -51,7 +51,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.scanned = spark, path.rstrip("/"), []
-        self.snapshot = self._last() or {"number": 0, "buckets": buckets, "tables": {n: [] for n in SCHEMAS}, "tops": dict.fromkeys(TOPS, 0), "shred": []}
+        self.snapshot = self._last() or {"number": 0, "buckets": buckets, "tables": {n: [] for n in SCHEMAS}, "tops": dict.fromkeys(TOPS, 0), "shred": [], "streams": {}}
 
     # files, by Hadoop's interface to any store
 
@@ -154,8 +154,11 @@ class Store:
                 tops[name] = max(tops[name], rows[name].agg(F.max(column)).first()[0] or 0)
         return tops
 
-    def append(self, rows: dict[str, DataFrame]) -> None:
-        """Add rows to tables, in one snapshot; buckets that came to many parts are written anew."""
+    def append(self, rows: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> None:
+        """Add rows to tables, in one snapshot; buckets that came to many parts are written anew.
+
+        ``batch`` is a stream and the number of its batch; it is kept with the rows, so that a batch is there or isn't.
+        """
         rows = dict(rows)
         written = {n: self._write(n, df) for n, df in rows.items()}
         if "parsed" in rows:
@@ -168,7 +171,8 @@ class Store:
             if buckets:
                 tables[name] = [*tables[name], [version, buckets]]
         new = {n: self.spark.read.schema(self.schema(n)).parquet(*[f"{self.path}/data/{n}/{v}/bucket={b}" for b in have]) for n, (v, have) in written.items() if have}
-        self.commit({"tables": tables, "tops": self._raised({n: df for n, df in new.items() if n in TOPS})})
+        streams = {**self.snapshot.get("streams", {}), **({batch[0]: batch[1]} if batch else {})}
+        self.commit({"tables": tables, "tops": self._raised({n: df for n, df in new.items() if n in TOPS}), "streams": streams})
         self.compact()
 
     def replace(self, rows: dict[str, DataFrame], buckets: Iterable[int]) -> None:
