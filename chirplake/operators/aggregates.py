@@ -118,10 +118,14 @@ def percentile_table(df: DataFrame, values: list[str], percentiles: tuple[float,
     found = sketched.select(*[F.col(k).alias(f"_b{k}") for k in names], F.col("level").alias("_level"), brackets.alias("brackets"))
     found = found if by else F.broadcast(found)  # a row for each value, if there are no groups
     met = long.join(found, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in names], F.col("level") == F.col("_level")))
-    seen = met.select(*names, "level", "v", F.explode("brackets").alias("b")).where("v <= b.high")
-    inside = F.when(F.col("v") >= F.col("b.low"), F.col("v"))  # what is below is one row for each task
-    counted = seen.groupBy(*names, "level", "b.percentile", "b.at", inside.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*names, "level", "percentile").orderBy(F.asc_nulls_first("v"))))
+    seen = met.select(*names, "level", "v", F.explode("brackets").alias("b"))
+    side = F.when(F.col("v") < F.col("b.low"), -1).when(F.col("v") > F.col("b.high"), 1).otherwise(0).alias("side")
+    inside = F.when((F.col("v") >= F.col("b.low")) & (F.col("v") <= F.col("b.high")), F.col("v"))
+    # what lies outside a bracket is one row for each task; of it the value next to the bracket may be wanted, as ranks are rounded
+    nearest = F.when(F.col("side") < 0, F.max("v")).otherwise(F.min("v"))
+    counted = seen.select(*names, "level", "v", "b.percentile", "b.at", side, inside.alias("inside")).groupBy(*names, "level", "percentile", "at", "side", "inside")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), nearest.alias("v"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*names, "level", "percentile").orderBy("side", "v")))
     step = lambda k: F.min(F.when(F.col("upto") > F.floor("at") + k, F.col("v")))
     got = upto.groupBy(*names, "level", "percentile", "at").agg(step(0).alias("low"), step(1).alias("high"))
     part = F.col("at") - F.floor("at")

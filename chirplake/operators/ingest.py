@@ -8,7 +8,7 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +24,22 @@ def register_parser(name: str, function: Callable[..., dict]) -> None:
     PARSERS[name] = function
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as it was worked out once, in the checkpoint folder: what is read twice is the same rows in the same partitions.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share; where none is set on a local master (tests), a temporary one.
 
-    Where no folder is set on a local master (tests), a temporary one; on a cluster that is an error.
+    On a cluster a folder of one machine would lose rows, so there it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chirplake-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as it was worked out once, in the checkpoint folder: what is read twice is the same rows in the same partitions."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -16,6 +16,7 @@ from chirplake.functions.timefns import TIME_FORMAT, in_range, start_seconds, ti
 from chirplake.operators import aggregates
 from chirplake.operators.chunks import split_time
 from chirplake.operators.filters import in_group, json_value
+from chirplake.operators.mixed import MixedModel, fit_mixed
 from chirplake.operators.sampling import stratified_sample
 from chirplake.sources import writers
 
@@ -197,6 +198,10 @@ class Soundscape:
         df = self._limited(self.get_splits(group), time_limits, None)
         return aggregates.crono_matrix(df, names or self.config.energyParams.columns(), 0, c.modulo - 1, stat=stat)
 
+    def mixed_model(self, response: str, fixed: list[str], group: str, slope: bool = False, family: str = "gaussian", of: dict | None = None) -> MixedModel:
+        """A mixed model of the splits: ``response`` by fixed effects and a random intercept (and slope) of each ``group``."""
+        return fit_mixed(self.get_splits(of), response, fixed, group, slope, family)
+
     def _levels(self, freq_limits: tuple[float, float]) -> list[str]:
         energy = self.config.energyParams
         low, high = level_range(freq_limits, *energy.fLimits, energy.fBins)
@@ -252,5 +257,5 @@ def calendarize(splits: DataFrame, crono: CronoParams) -> DataFrame:
 
 
 def mixed_model_formula(response: str, fixed: list[str], intercepts: list[str] = (), slopes: list[tuple[str, str]] = ()) -> str:
-    """Formula of a mixed model: ``y ~ f1+f2+(1|g)+(1+f1|h)``; fitting it is left to other tools."""
+    """Formula of a mixed model: ``y ~ f1+f2+(1|g)+(1+f1|h)``; :func:`fit_mixed` fits those of one grouping factor."""
     return f"{response} ~ " + "+".join([*fixed, *[f"(1|{g})" for g in intercepts], *[f"(1+{f}|{g})" for f, g in slopes]])

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirplake.functions import arrays, timefns
-from chirplake.operators import aggregates, chunks, filters, geometry, ingest, joins, sampling
+from chirplake.functions import arrays, dsp, timefns
+from chirplake.operators import aggregates, chunks, filters, geometry, ingest, joins, mixed, sampling
 from chirplake.plans import soundscape
+from chirplake.plans.collection import Collection
 from chirplake.schema import TABLES
+from chirplake.sources import statements
+from chirplake.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -215,6 +221,58 @@ def insert_parsed(documents):
     return parsed.select(filters.json_value("metadata", "doc_id", "bigint").alias("doc_id"), "md5", "orid", F.col("media_info.duration").alias("duration"))
 
 
+def scratch(df: DataFrame, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{ingest.shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""
+    WITH g AS (SELECT *, row_number() OVER (ORDER BY md5(lang), doc_id) AS first FROM {INSERTED} WHERE reason IS NULL)
+    SELECT doc_id, CASE WHEN n_chars > 3000 THEN (SELECT count(*) FROM g) + row_number() OVER (PARTITION BY n_chars > 3000 ORDER BY md5(lang), doc_id) ELSE first END AS orid,
+           CASE WHEN n_chars <= 3000 AND doc_id < 100 THEN 'moved' ELSE concat_ws('/', source, doc_id) END AS path
+    FROM g JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
+def stored_changes(documents):
+    """A stored collection after an insert, a change, a removal, and the same insert again; as another session opens it."""
+    path = scratch(documents, "collection")
+    col = Collection(documents.sparkSession, "documents", path, buckets=8).insert_media(*recorded(documents))
+    col.update_field("path", "moved", {"metadata.doc_id": {"$lt": 100}})
+    col.drop_media({"media_info.filesize": {"$gt": 3000}})
+    col.insert_media(*recorded(documents))
+    parsed = Collection(documents.sparkSession, "documents", path).tables["parsed"]
+    return parsed.select(filters.json_value("metadata", "doc_id", "bigint").alias("doc_id"), "orid", "path")
+
+
+@query("SELECT event_id FROM events WHERE (props::JSON ->> '$.k')::BIGINT > 10 AND NOT ((props::JSON ->> '$.k')::BIGINT BETWEEN 30 AND 60 OR event_type = 'view')")
+def shredded_filter(events):
+    """A filter on a JSON path that a store keeps in typed columns."""
+    store = Store(events.sparkSession, scratch(events, "store"), 8)
+    store.snapshot["shred"] = ["metadata.k"]
+    rows = [F.col("event_id").alias("orid"), F.col("event_type").alias("path"), F.col("props").alias("metadata")]
+    have = {"orid", "path", "metadata"}
+    store.append({"parsed": events.select(*rows, *[F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["parsed"] if f.name not in have])})
+    q = {"metadata.k": {"$gt": 10}, "$not": {"$or": [{"metadata.k": {"$gte": 30, "$lte": 60}}, {"path": "view"}]}}
+    return filters.find(store.table("parsed", wide=True), q, shredded=store.shredded()).select(F.col("orid").alias("event_id"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def statement_dump(conversations):
+    """Rows that were written as SQL statements and read back by byte ranges."""
+    path = scratch(conversations, "dump")
+    statements.write_statements({"conversations": conversations}, path)
+    return statements.read_statements(conversations.sparkSession, path, {"conversations": conversations.schema}, 1 << 20)["conversations"]
+
+
+@query("""
+    WITH o AS (SELECT l_quantity::DOUBLE AS w, sum(l_quantity::DOUBLE) OVER (ORDER BY l_orderkey, l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) - l_quantity::DOUBLE / 2 AS middle, sum(l_quantity::DOUBLE) OVER () AS total FROM lineitem),
+    t AS (SELECT w, least(floor(middle / (total / ceil(total / 50000)))::BIGINT, ceil(total / 50000)::BIGINT - 1) AS task FROM o)
+    SELECT task, count(*) AS n, sum(w) AS weight FROM t GROUP BY task""")
+def dealt_by_weight(lineitem):
+    """Rows of tasks of about equal weight, in order."""
+    weighed = lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("w"))
+    tasks = aggregates.dealt(weighed, "w", ["l_orderkey", "l_linenumber", "w"], 50_000).withColumn("task", F.spark_partition_id().cast("long"))
+    return tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"))
+
+
 @query("""
     SELECT l_orderkey AS orid, l_linenumber::DOUBLE AS start_time, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id
     FROM lineitem WHERE l_returnflag = 'A' OR (l_returnflag = 'R' AND l_linenumber <> 3)""")
@@ -431,6 +489,70 @@ def percentile_band_topn(embeddings):
     return aggregates.top_scores(aggregates.percentile_scores(e, ["e_0", "e_1", "e_2"], (20, 60)), 20, ["vec_id"]).select("vec_id", "score")
 
 
+GROUPED = """(SELECT event_type, user_id % 3 AS part, quantile_cont(value, [0.1, 0.5, 0.995]) AS q FROM events GROUP BY ALL)"""
+
+
+@query(f"SELECT event_type, part::BIGINT AS part, unnest([0, 1, 2])::INT AS percentile, unnest(q) AS value FROM {GROUPED} WHERE q IS NOT NULL")
+def percentile_groups(events):
+    """Exact percentiles of every group in two passes."""
+    rows = events.withColumn("part", F.col("user_id") % 3)
+    return aggregates.percentile_table(rows, ["value"], (10, 50, 99.5), ["event_type", "part"]).select("event_type", F.col("part").cast("long").alias("part"), "percentile", "value")
+
+
+@query("""
+    WITH b AS (SELECT label, quantile_cont(embedding[1]::DOUBLE, [0.2, 0.6]) AS p, quantile_cont(embedding[2]::DOUBLE, [0.2, 0.6]) AS q FROM embeddings GROUP BY label),
+    s AS (SELECT vec_id, e.label, (embedding[1]::DOUBLE BETWEEN p[1] AND p[2])::INT + (embedding[2]::DOUBLE BETWEEN q[1] AND q[2])::INT AS score
+          FROM embeddings e JOIN b ON e.label IS NOT DISTINCT FROM b.label)
+    SELECT vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC NULLS LAST, vec_id) AS r FROM s) WHERE r <= 3""")
+def percentile_top_by_group(embeddings):
+    """The rows of each group whose values lie most often between the group's percentiles."""
+    e = embeddings.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e_{i}") for i in range(2)])
+    scored = aggregates.percentile_scores(e, ["e_0", "e_1"], (20, 60), ["label"])
+    return aggregates.top_scores(scored, 3, ["vec_id"], ["label"]).select("vec_id", "label", "score")
+
+
+#: A sample of a frame of 16 around frame f (hop 8) of 64: mirrored at the ends, or held there.
+MIRRORED = "embedding[CASE WHEN abs(f * 8 + n - 8) >= 64 THEN 126 - abs(f * 8 + n - 8) ELSE abs(f * 8 + n - 8) END + 1]::DOUBLE"
+HELD = "embedding[least(greatest(f * 8 + n - 8, 0), 63) + 1]"
+
+
+@query(f"""
+    SELECT vec_id, f::INT AS frame, k::INT AS bin, round(sqrt(
+        pow(list_sum(list_transform(range(16), lambda n: {MIRRORED} * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * k * n / 16))), 2)
+        + pow(list_sum(list_transform(range(16), lambda n: {MIRRORED} * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * k * n / 16))), 2)), 5) AS magnitude
+    FROM embeddings, range(9) a(f), range(9) b(k)""")
+def spectrogram(embeddings):
+    """Spectrograms of signals, by the function of the getters."""
+
+    @F.pandas_udf("array<array<double>>")
+    def spectra(signals: pd.Series) -> pd.Series:
+        return signals.map(lambda x: list(dsp.spectrogram(np.asarray(x, float), 16, 8)))
+
+    bins = embeddings.select("vec_id", F.posexplode(spectra("embedding")).alias("bin", "row"))
+    return bins.select("vec_id", "bin", F.posexplode("row").alias("frame", "v")).select("vec_id", "frame", "bin", F.round("v", 5).alias("magnitude"))
+
+
+@query(f"""
+    SELECT vec_id, f::INT AS frame, list_sum(list_transform(range(16), lambda n: CASE WHEN f * 8 + n > 0 AND ({HELD} < 0) <> ({HELD.replace('n - 8', 'n - 9')} < 0) THEN 1.0::DOUBLE ELSE 0 END)) / 16 AS zcr
+    FROM embeddings, range(9) a(f)""")
+def zcr_frames(embeddings):
+    """Share of sign changes in each frame, by the function of the getters."""
+
+    @F.pandas_udf("array<double>")
+    def rates(signals: pd.Series) -> pd.Series:
+        return signals.map(lambda x: dsp.zcr(np.asarray(x, float), 16, 8))
+
+    return embeddings.select("vec_id", F.posexplode(rates("embedding")).alias("frame", "zcr"))
+
+
+@query()
+def mixed_model(lineitem):
+    """Fixed effects of a mixed model of prices by quantity, with a random intercept for each supplier."""
+    rows = lineitem.select((F.col("l_extendedprice") / 1000).alias("price"), (F.col("l_quantity") / 10).alias("quantity"), "l_suppkey")
+    model = mixed.fit_mixed(rows, "price", ["quantity"], "l_suppkey")
+    return lineitem.sparkSession.createDataFrame(model.summary(), "name string, estimate double, error double, ratio double")
+
+
 @query("""
     SELECT doc_id, CASE WHEN b < 70 THEN 'train' WHEN b < 90 THEN 'test' ELSE 'validation' END AS split, fold
     FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS b, ('0x' || substr(md5(doc_id::VARCHAR), 9, 8))::BIGINT % 5 AS fold FROM documents)""")

@@ -82,6 +82,16 @@ def test_percentiles_by_group(spark, monkeypatch):
     assert sorted((str(r["g.x"]) for r in top)) == sorted(["big"] * 3 + ["b"] * 3 + ["one"] + ["None"] * 3 + ["none"] * 3)
 
 
+def test_percentiles_of_few_rows(spark):
+    """Groups of one to thirty rows: ranks are rounded another way than the sketch's."""
+    rng = np.random.default_rng(9)
+    rows = [(n, float(v)) for n in range(1, 31) for v in rng.normal(size=n)]
+    at = (0, 1, 10, 30, 33.3, 50, 62.5, 90, 99.5, 100)
+    got = aggregates.percentile_table(spark.createDataFrame(rows, "g int, v double"), ["v"], at, ["g"]).collect()
+    want = {n: np.percentile([v for g, v in rows if g == n], at) for n in range(1, 31)}
+    assert len(got) == 300 and all(r.value == pytest.approx(want[r.g][r.percentile], abs=1e-12) for r in got)
+
+
 def test_dotted_fields(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(30)], "orid long, `site.id` long")
     assert {(r[0], r[1]) for r in aggregates.group_counts(df, ["site.id"]).collect()} == {(0, 10), (1, 10), (2, 10)}
