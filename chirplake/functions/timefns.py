@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TIME_FORMAT = "%d-%m-%Y %H:%M:%S"
@@ -97,6 +97,13 @@ def cell_label(cell: Column, start: Column, unit: float = 3600, pattern: str = "
     return F.date_format(start + F.make_dt_interval(secs=(cell * unit).cast("decimal(18,6)")), pattern)
 
 
+def axis_labels(spark: SparkSession, low: int, high: int, count: int, start: Column, unit: float = 3600, pattern: str = "HH:mm:ss") -> DataFrame:
+    """(timeCell, label) of about ``count`` evenly spaced cells from low to high; ``start`` is the wall time of the lowest."""
+    step = max((high - low + 1) // max(count, 1), 1)
+    cells = spark.range(low, high + 1, step).withColumnRenamed("id", "timeCell")
+    return cells.select("timeCell", cell_label(F.col("timeCell") - F.lit(low), start, unit, pattern).alias("label"))
+
+
 def in_range(seconds: Column, limits: tuple[str, str], zone: str, fmt: str = TIME_FORMAT) -> Column:
     """Whether an instant lies between two local times, both included."""
     return seconds.between(start_seconds(limits[0], zone, fmt), start_seconds(limits[1], zone, fmt))

@@ -319,17 +319,36 @@ def orids_semi(orders, lineitem):
 HOURLY = "(SELECT floor(epoch_us(ts) / 3600000000)::BIGINT - 473352 AS timeCell, round(avg(value), 6) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)"
 
 
-@query(f"SELECT g.i AS timeCell, coalesce(h.value, -1000) AS value FROM generate_series(0, 719) g(i) LEFT JOIN {HOURLY} h ON g.i = h.timeCell")
+HOURS = f"(SELECT unnest(generate_series(min(timeCell), max(timeCell))) AS i FROM {HOURLY})"
+
+
+def hourly(events: DataFrame) -> tuple[DataFrame, int, int]:
+    """(purchases with their hour, the first and the last hour that has any)."""
+    rows = events.where("event_type = 'purchase'").withColumn("timeCell", F.floor(seconds() / 3600) - 473352)
+    ends = rows.agg(F.min("timeCell"), F.max("timeCell")).first()
+    return rows, ends[0] or 0, ends[1] or 0
+
+
+@query(f"SELECT g.i AS timeCell, coalesce(h.value, -1000) AS value FROM {HOURS} g LEFT JOIN {HOURLY} h ON g.i = h.timeCell")
 def densify_cells(events):
-    hourly = events.where("event_type = 'purchase'").withColumn("timeCell", F.floor(seconds() / 3600) - 473352)
-    mean = aggregates.cell_stats(hourly, ["timeCell"], ["value"]).select("timeCell", F.round("value", 6).alias("value"))
-    return aggregates.densify(mean, 0, 719)
+    rows, low, high = hourly(events)
+    mean = aggregates.cell_stats(rows, ["timeCell"], ["value"]).select("timeCell", F.round("value", 6).alias("value"))
+    return aggregates.densify(mean, low, high)
 
 
-@query(f"SELECT g.i AS timeCell FROM generate_series(0, 719) g(i) ANTI JOIN {HOURLY} h ON g.i = h.timeCell")
+@query(f"SELECT g.i AS timeCell FROM {HOURS} g ANTI JOIN {HOURLY} h ON g.i = h.timeCell")
 def missing_cells(events):
-    hourly = events.where("event_type = 'purchase'").withColumn("timeCell", F.floor(seconds() / 3600) - 473352)
-    return aggregates.missing_cells(hourly, 0, 719)
+    return aggregates.missing_cells(*hourly(events))
+
+
+@query(f"""
+    SELECT i AS timeCell, strftime(TIMESTAMP '2024-01-01' + (i - a) * INTERVAL 1 HOUR, '%d %b %H:%M') AS label
+    FROM {HOURS} h, (SELECT min(i) AS a, max(i) AS b FROM {HOURS}) WHERE (i - a) % greatest((b - a + 1) // 12, 1) = 0""")
+def axis_labels(events):
+    """Places and texts of about twelve labels on the axis of hours."""
+    _, low, high = hourly(events)
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    return timefns.axis_labels(events.sparkSession, low, high, 12, start, 3600, "dd MMM HH:mm")
 
 
 @query(f"""
@@ -579,9 +598,10 @@ def plain_names(part):
     return part.select("p_partkey", arrays.plain_name(F.col("p_name")).alias("name"))
 
 
-@query("SELECT vec_id, list_transform(range(0, 5), lambda k: k * 22050 / 8.0) AS freqs FROM embeddings")
-def bin_frequencies(embeddings):
-    return embeddings.select("vec_id", arrays.frequencies(22050, 8).alias("freqs"))
+@query("SELECT doc_id, list_transform(range(0, 5), lambda k: k * (n_chars + 1000) / 8.0) AS freqs FROM documents")
+def bin_frequencies(documents):
+    """Centre frequencies of recordings, each of a sample rate of its own."""
+    return documents.select("doc_id", arrays.frequencies(F.col("n_chars") + 1000, 8).alias("freqs"))
 
 
 @query(f"SELECT count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events")
