@@ -50,8 +50,8 @@ def proof_digest(proof: Column) -> Column:
     return digest(F.array_join(F.transform(proof, lambda e: hexed(e["others"])), ""))
 
 
-def positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos``, their place (from 0) in an order over all of them.
+def positions(rows: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with ``pos``, their place from 0 in an order over all of them; the stored table that they are read from).
 
     Rows are range-sorted and stored with their place in their part; what the parts before hold is added. The window has
     a row a part.
@@ -60,7 +60,7 @@ def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     placed = saved(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "merkle-order")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
-    return placed.join(F.broadcast(before), "_part").withColumn("pos", F.col("before") + F.col("_at")).drop("_part", "_at", "before")
+    return placed.join(F.broadcast(before), "_part").withColumn("pos", F.col("before") + F.col("_at")).drop("_part", "_at", "before"), placed
 
 
 def build(nodes: DataFrame) -> list[DataFrame]:
@@ -91,11 +91,12 @@ def tops(levels: list[DataFrame], nodes: DataFrame) -> DataFrame:
     return out
 
 
-def push(levels: list[DataFrame], nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(row, hash, proof, up) for every leaf: from level to level each child puts its siblings before its parent's proof.
+def push(levels: list[DataFrame], nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((row, hash, proof, up) for every leaf, the stored tables it reads): each child puts its siblings before its parent's proof.
 
     ``roots`` (tree, n, proof, up) has what each tree's top inherits; ``up`` is handed down as it is. A level joins its
-    stored runs with what the level above came to, a row of each for a run, so no key of the join repeats.
+    stored runs with what the level above came to, a row of each for a run, so no key of the join repeats. Levels are
+    deleted as they have been pushed through, but the lowest.
     """
     above = roots.limit(0).select("tree", F.lit(0).cast("long").alias("idx"), "proof", "up")
     stored: list[DataFrame] = []
@@ -108,12 +109,12 @@ def push(levels: list[DataFrame], nodes: DataFrame, roots: DataFrame) -> DataFra
         longer = F.concat(F.array(F.struct(F.col("place"), others.alias("others"))).cast(PROOF), F.col("proof"))
         if k:
             above = saved(child.select("tree", "kid.idx", longer.alias("proof"), "up"), "merkle-push")
-            forget(*stored)
+            forget(*stored, levels[k])
             stored = [above]
         else:
             above = child.select("kid.row", "kid.hash", longer.alias("proof"), "up")
     lone = nodes.where("n = 1").join(roots.where("n = 1").drop("n"), "tree").select("row", "hash", "proof", "up")
-    return lone.unionByName(above) if levels else lone
+    return (lone.unionByName(above) if levels else lone), [*stored, *levels[:1]]
 
 
 def manifest(rows: DataFrame, leaf: Column, carry: dict[str, Column], order: str = "doc_id", group: str = "source") -> DataFrame:
@@ -129,9 +130,12 @@ def manifest(rows: DataFrame, leaf: Column, carry: dict[str, Column], order: str
     leaves = saved(
         rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.unhex(leaf).alias("hash"), row.alias("row")).withColumn("tie", F.monotonically_increasing_id()), "merkle-leaves"
     )
-    placed = positions(leaves, ["g", "o", "hash", "tie"])
+    placed, _ = positions(leaves, ["g", "o", "hash", "tie"])
+    forget(leaves)
     groups = saved(placed.groupBy("g").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")), "merkle-groups")
-    trees = saved(positions(groups, ["first"]).select("g", "first", "n", F.col("pos").alias("tree")), "merkle-trees")
+    ordered, order_table = positions(groups, ["first"])
+    trees = saved(ordered.select("g", "first", "n", F.col("pos").alias("tree")), "merkle-trees")
+    forget(groups, order_table)
     joined = placed.join(few(trees.withColumnRenamed("g", "_g")), F.col("g").eqNullSafe(F.col("_g")))
     nodes = joined.select("tree", "n", (F.col("pos") - F.col("first")).alias("idx"), "hash", "row")
     levels = build(nodes)
@@ -145,9 +149,10 @@ def manifest(rows: DataFrame, leaf: Column, carry: dict[str, Column], order: str
 
     nothing = F.array().cast(PROOF)
     top = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.lit(many).cast("long").alias("n"), nothing.alias("proof"), F.lit(None).cast("binary").alias("up"))
-    known = push(upper_levels, upper, top)
+    known, read = push(upper_levels, upper, top)
     roots = saved(known.select("row.tree", "row.n", "proof", F.col("hash").alias("up")), "merkle-roots")
-    proved = push(levels, nodes, roots)
+    forget(heads, *read)
+    proved, _ = push(levels, nodes, roots)
     return proved.select("row", hexed(F.col("hash")).alias("leaf"), hexed(F.col("up")).alias("subroot"), F.lit(root).cast("string").alias("root"), "proof")
 
 

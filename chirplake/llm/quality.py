@@ -106,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     A hash of the text decides whether a document goes into the dictionaries or calibrates, so copies go the same way.
     Dictionaries are trained on the executors, a class a task, from a bounded sample; two dictionaries and three numbers
-    for each row of the sample reach the driver. Rows without a label, an id or a text, or with labels that contradict
+    for each row of the sample reach the driver. Of an id that repeats the least text counts. Rows without a label, an id or a text, or with labels that contradict
     each other, aren't learned from; where a class is missing every text gets the smoothed share of good labels.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("id"))
@@ -115,7 +115,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = known.where("good = 1").orderBy(*order).limit(most).union(known.where("good = 0").orderBy(*order).limit(most))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
     part = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(2)).alias("part")
-    sample = saved(texts.join(F.broadcast(chosen), "id").select("id", "good", "text", part), "quality-sample")  # 2 * most rows of labels at most
+    labelled = texts.join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.min("text").alias("text"))  # 2 * most rows, also where ids repeat
+    sample = saved(labelled.select("id", "good", "text", part), "quality-sample")
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
