@@ -133,7 +133,7 @@ def score_terms(beta: np.ndarray, cov: np.ndarray, phi: float, sums: np.ndarray,
 
 
 def _total(sums: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all groups of what ``work`` makes of a batch of them; a row a task, and of the size of a model."""
+    """The sum over all groups of what ``work`` makes of a batch of them. A row a task reaches the driver, of the size of a model."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0
@@ -143,21 +143,28 @@ def _total(sums: DataFrame, work: Callable[[np.ndarray, np.ndarray], np.ndarray]
         if not isinstance(total, int):
             yield pd.DataFrame({"v": [total.tolist()]})
 
-    parts = sums.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    return np.array([r.x for r in sorted(parts.collect(), key=lambda r: r.i)])
+    return np.sum([r.v for r in sums.mapInPandas(run, "v array<double>").collect()], axis=0)
 
 
 def variances(sums: DataFrame, beta: np.ndarray, cov: np.ndarray, phi: float, p: int, q: int, dispersed: bool, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """(beta, D, phi, information of beta) of the linear mixed model of the sums, by Fisher scoring; a step is two jobs over groups."""
+    """(beta, D, phi, information of beta) of the linear mixed model of the sums, by Fisher scoring.
+
+    A step is one job over groups: fixed effects and variances have no information in common, so both move at once.
+    """
     pairs = _pairs(q)
+    k = len(pairs) + 1
+    free = k if dispersed else k - 1
+
+    def terms(beta: np.ndarray, cov: np.ndarray, phi: float) -> list[np.ndarray]:
+        def work(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.concatenate([x.ravel() for x in (*normal_terms(cov, phi, s, p, q), *score_terms(beta, cov, phi, s, n, p, q))])
+
+        got = np.split(_total(sums, work), np.cumsum([p * p, p, k]))
+        return [got[0].reshape(p, p), got[1], got[2], got[3].reshape(k, k)]
+
     for _ in range(steps):
-        got = _total(sums, lambda s, _n, cov=cov, phi=phi: np.concatenate([x.ravel() for x in normal_terms(cov, phi, s, p, q)]))
-        information = got[: p * p].reshape(p, p)
-        new = np.linalg.solve(information, got[p * p :])
-        got = _total(sums, lambda s, n, new=new, cov=cov, phi=phi: np.concatenate([x.ravel() for x in score_terms(new, cov, phi, s, n, p, q)]))
-        k = len(pairs) + 1
-        score, info = got[:k], got[k:].reshape(k, k)
-        free = k if dispersed else k - 1
+        information, right, score, info = terms(beta, cov, phi)
+        new = np.linalg.solve(information, right)
         step = np.linalg.solve(info[:free, :free] + 1e-12 * np.diag(np.diag(info[:free, :free])), score[:free])
         next_cov = cov.copy()
         for (i, j), d in zip(pairs, step, strict=False):
@@ -169,9 +176,8 @@ def variances(sums: DataFrame, beta: np.ndarray, cov: np.ndarray, phi: float, p:
         beta, cov, phi = new, next_cov, next_phi
         if change < tolerance:
             break
-    got = _total(sums, lambda s, _n: np.concatenate([x.ravel() for x in normal_terms(cov, phi, s, p, q)]))
-    information = got[: p * p].reshape(p, p)
-    return np.linalg.solve(information, got[p * p :]), cov, phi, information
+    information, right, _, _ = terms(beta, cov, phi)
+    return np.linalg.solve(information, right), cov, phi, information
 
 
 def fit_mixed(df: DataFrame, response: str, fixed: list[str], group: str, slope: bool = False, family: str = "gaussian", passes: int = 25, steps: int = 30, tolerance: float = 1e-8) -> MixedModel:
@@ -205,6 +211,9 @@ def fit_mixed(df: DataFrame, response: str, fixed: list[str], group: str, slope:
         known = known.withColumn("w", f.weight(F.col("mu"))).withColumn("t", F.col("eta") + (F.col("y") - F.col("mu")) * f.slope(F.col("mu")))
         sums = stored(sums_by_group(known, p, q))
         start = beta if beta is not None else np.zeros(p)
+        if beta is None:  # before the first step, the fixed effects without random ones
+            got = _total(sums, lambda s, _n: np.concatenate([x.ravel() for x in normal_terms(np.zeros((q, q)), 1.0, s, p, q)]))
+            start = np.linalg.solve(got[: p * p].reshape(p, p), got[p * p :])
         new, cov, phi, information = variances(sums, start, cov, phi, p, q, f.dispersed, steps, tolerance)
         change = np.abs(new - start).max() / (np.abs(new).max() + 1e-12)
         beta = new
