@@ -118,3 +118,24 @@ def write_chunks(media: DataFrame, folder: str, sr: int | None = None) -> DataFr
             yield pd.DataFrame(out, columns=["orid", "number", "tlimits", "path"])
 
     return media.select("orid", "md5", "path", "tlimits", "number").mapInPandas(run, "orid long, number int, tlimits array<double>, path string")
+
+
+def write_signals(signals: DataFrame, folder: str, rate: int) -> DataFrame:
+    """Write (name, signal) rows as one-channel WAV files to ``folder``, each where its row is; (name, path)."""
+    from pyarrow import fs
+
+    from chirplake.functions.dsp import encode
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        base = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+        store, root = fs.FileSystem.from_uri(base)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, signal in zip(batch.name, batch.signal, strict=True):
+                with store.open_output_stream(f"{root}/{name}.wav") as f:
+                    f.write(encode(np.asarray(signal, float), rate))
+            yield pd.DataFrame({"name": batch.name, "path": [f"{base.rstrip('/')}/{n}.wav" for n in batch.name]})
+
+    return signals.select("name", "signal").mapInPandas(run, "name string, path string")
