@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,3 +178,11 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pieces(items: list, most: int) -> Iterator[list]:
     for i in range(0, len(items), most):
         yield items[i : i + most]
+
+
+def release_memory() -> None:
+    """Give memory that this worker has freed back to the system, where its C library can; Python and Arrow keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -14,10 +14,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chirplake.llm.shared import release_memory
+
 SPACE = "▁"
 #: Characters of texts whose words are indexed together; places of the table of pairs of pieces; characters of a part
 #: that are relaxed side by side with other parts.
-BATCH_CHARS, PAIRS_HELD, DEEP = 2_000_000, 1 << 22, 48
+BATCH_CHARS, PAIRS_HELD, DEEP = 500_000, 1 << 21, 48
 NEVER = 1 << 60
 #: Ends of a path that no piece reaches, and those where anything may follow.
 NOWHERE, FRESH = -1, -2
@@ -374,6 +376,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # what earlier steps in this worker have freed
         pieces = model(path)
         for batch in batches:
             texts = batch.column("text")
@@ -393,6 +396,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     names=["row", "ids", "n_ids", "ids_crc32", "same"],
                 )
                 start = end
+        release_memory()
 
     rest = F.struct(*[F.col(c) for c in docs.columns if c != text], F.lit(0).alias("_"))
     rows = docs.select(rest.alias("row"), F.col(text).alias("text"))
