@@ -69,7 +69,11 @@ def offset_text(utc: Column, zone: Column | str) -> Column:
 
 def time_fields(text: Column, zone: Column | str, duration: Column, fmt: str = TIME_FORMAT) -> dict[str, Column]:
     """standardStart, standardStop (text), absStart and absStop (epoch seconds) of a recording."""
-    start = standardize_time(text, zone, fmt)
+    return span_fields(standardize_time(text, zone, fmt), zone, duration)
+
+
+def span_fields(start: Column, zone: Column | str, duration: Column) -> dict[str, Column]:
+    """:func:`time_fields` of a start that is known, as UTC wall time."""
     stop = start + F.make_dt_interval(secs=duration.cast("decimal(18,6)"))
     return {"standardStart": offset_text(start, zone), "standardStop": offset_text(stop, zone), "absStart": as_seconds(start), "absStop": as_seconds(start) + duration}
 

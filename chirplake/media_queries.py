@@ -13,6 +13,7 @@ from chirplake.plans.soundscape import Soundscape, audio_splits
 from chirplake.queries import HELD, INSERTED, ZONE, empty_tables, line_notes, query, recorded, scratch
 from chirplake.schema import TABLES
 from chirplake.sources import readers, writers
+from chirplake.streaming import ingest as streams
 
 RATE = 64
 VECTORS = "(SELECT * FROM embeddings WHERE embedding IS NOT NULL)"
@@ -147,6 +148,24 @@ def annotation_windows(embeddings):
     return windows.where(sized).join(ids, "orid").select("vec_id", "start", "stop", "low", "high")
 
 
+@query(f"SELECT vec_id, 1 AS n, 1.0::DOUBLE AS duration FROM {VECTORS}")
+def streamed_media(embeddings):
+    """Files that a stream inserts into a stored collection, and again after it lost its checkpoint: each is there once."""
+    spark, folder, path = embeddings.sparkSession, files(embeddings), scratch(embeddings, "streamed")
+    for _ in range(2):
+        col = Collection(spark, "streamed", path, buckets=4)
+        streams.insert(streams.files(spark, folder), col, "wav", scratch(embeddings, "stream"), scratch(embeddings, "rejects")).awaitTermination()
+    parsed = Collection(spark, "streamed", path).tables["parsed"].select(name_of(), "media_info.duration")
+    return parsed.groupBy("vec_id", "duration").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("""
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, ((round_even((epoch(ts) % 86400) / 3600, 0)) % 24)::BIGINT AS "timeCell", count(*) AS count FROM events GROUP BY ALL""")
+def windowed_cells(events):
+    """Counts by day and calendar cell, as a stream of events has them."""
+    return streams.cell_counts(events.select("ts"), "ts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "timeCell", "count")
+
+
 # catalogues
 
 

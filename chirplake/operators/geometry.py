@@ -61,8 +61,11 @@ class Window:
     after: tuple[int, int]
 
     def cut(self, spec: np.ndarray) -> np.ndarray:
-        """The window of a (frequency, time) matrix; what lies outside repeats the border."""
-        part = spec[self.freq[0] : self.freq[1], self.time[0] : self.time[1]]
+        """The window of a (frequency, time) matrix."""
+        return self.framed(spec[self.freq[0] : self.freq[1], self.time[0] : self.time[1]])
+
+    def framed(self, part: np.ndarray) -> np.ndarray:
+        """What lies in the window, with its frame; what lies outside repeats the border."""
         return np.pad(part, ((self.before[1], self.after[1]), (self.before[0], self.after[0])), "edge")
 
 
@@ -96,9 +99,15 @@ def window_of(box: tuple[float, float, float, float], duration: float, top_freq:
     return Window(time, freq, (tb, fb), (ta, fa))
 
 
-def draw(verts: list[list[float]], duration: float, top_freq: float, shape: tuple[int, int], closed: bool = False) -> np.ndarray:
-    """A mask of ``shape`` (frequency, time bins) with the line through (time, frequency) vertices."""
-    mask = np.zeros(shape, np.uint8)
+def draw(verts: list[list[float]], duration: float, top_freq: float, shape: tuple[int, int], closed: bool = False, within: tuple[tuple[int, int], tuple[int, int]] | None = None) -> np.ndarray:
+    """A mask of ``shape`` (frequency, time bins) with the line through (time, frequency) vertices; of the bins ``within`` only."""
+    rows_of, cols_of = within or ((0, shape[0]), (0, shape[1]))
+    mask = np.zeros((rows_of[1] - rows_of[0], cols_of[1] - cols_of[0]), np.uint8)
+
+    def put(rows: np.ndarray, cols: np.ndarray) -> None:
+        inside = (rows >= rows_of[0]) & (rows < rows_of[1]) & (cols >= cols_of[0]) & (cols < cols_of[1])
+        mask[rows[inside] - rows_of[0], cols[inside] - cols_of[0]] = 1
+
     if not verts:
         return mask
     points = np.array(verts, float)
@@ -106,13 +115,13 @@ def draw(verts: list[list[float]], duration: float, top_freq: float, shape: tupl
     rows = np.clip(points[:, 1] / top_freq * shape[0], 0, shape[0] - 1)
     if closed and len(points) > 2:
         cols, rows = np.append(cols, cols[0]), np.append(rows, rows[0])
-    mask[rows.round().astype(int), cols.round().astype(int)] = 1
+    put(rows.round().astype(int), cols.round().astype(int))
     for x0, y0, x1, y1 in zip(cols, rows, cols[1:], rows[1:], strict=False):
         steps = int(np.ceil(max(abs(x1 - x0), abs(y1 - y0)))) + 1
         xs, ys = np.linspace(x0, x1, steps), np.linspace(y0, y1, steps)
         for fx, fy in ((np.floor(xs), np.floor(ys)), (np.ceil(xs), np.ceil(ys))):
             near = (np.abs(fx - xs) < 1) & (np.abs(fy - ys) < 1)
-            mask[fy[near].astype(int), fx[near].astype(int)] = 1
+            put(fy[near].astype(int), fx[near].astype(int))
     return mask
 
 
@@ -129,39 +138,45 @@ def annotation_matrices(
 
     ``masks`` is "window" (a mask of the window), "time" or "frequency" (reduced to one axis, as one row), or "whole" (a
     mask of the whole recording, and no spectrogram). Annotations without vertices are drawn as their box; without
-    frequencies they span all of them. One recording is in memory at a time; one without annotations gives no rows.
+    frequencies they span all of them. Of a path only the frames of a window are read, a window at a time, and for "whole"
+    none; a recording without annotations gives no rows.
     """
-    from chirplake.functions.dsp import decode, frequencies, pick_channel, spectrogram
-    from chirplake.sources.media import path_window
+    from chirplake.functions.dsp import frame_count, frequencies, pick_channel, stft
+    from chirplake.sources.media import BytesFile, RangedFile, header, padded, samples
 
     nested = "data" in recordings.schema["data"].dataType.elementType.fieldNames()
 
     def number(x: Any, other: float) -> float:
         return other if x is None or pd.isna(x) else float(x)
 
-    def rows(row: Any) -> Iterator[tuple]:
-        x, rate = decode(row.source) if isinstance(row.source, bytes) else path_window(row.source)
-        timeexp = number(row.media_info["timeexp"], 1.0)
-        spec = spectrogram(pick_channel(x, channel), n_fft, hop)
-        duration, top = x.shape[1] / rate / timeexp, float(frequencies(int(rate * timeexp), n_fft)[-1])
+    def rows(row: Any, file: Any) -> Iterator[tuple]:
+        head = header(file)
+        timeexp, pad = number(row.media_info["timeexp"], 1.0), n_fft // 2
+        shape = (n_fft // 2 + 1, frame_count(head.nframes, n_fft, hop))
+        duration, top = head.nframes / head.samplerate / timeexp, float(frequencies(int(head.samplerate * timeexp), n_fft)[-1])
+        one = lambda a, k: pick_channel(samples(file, head, a, k), channel)
         for note in [n for g in row.data for n in g["data"]] if nested else row.data:
             start, stop = number(note["start_time"], 0.0), number(note["end_time"], duration)
             low, high = number(note["min_freq"], 0.0), number(note["max_freq"], top)
             verts = [list(v) for v in note["verts"]] if note["verts"] is not None and len(note["verts"]) else [[start, low], [stop, low], [stop, high], [start, high]]
-            drawn = draw(verts, duration, top, spec.shape, closed=note["notetype"] in ("bbox", "polygon", "multipolygon", "weak", "interval"))
-            w = window_of((start, stop, low, high), duration, top, spec.shape, window, truncate)
+            closed = note["notetype"] in ("bbox", "polygon", "multipolygon", "weak", "interval")
+            w = window_of((start, stop, low, high), duration, top, shape, window, truncate)
             if masks == "whole":
-                cut, mask = None, drawn
+                cut, mask = None, draw(verts, duration, top, shape, closed)
             else:
-                cut, mask = w.cut(spec), w.cut(drawn)
+                a, b = w.time
+                x = padded(one, head.nframes, a * hop - pad, (b - 1) * hop - pad + n_fft, pad)
+                cut = w.framed(np.abs(stft(x, n_fft, hop, center=False))[w.freq[0] : w.freq[1]])
+                mask = w.framed(draw(verts, duration, top, shape, closed, (w.freq, w.time)))
                 mask = mask if masks == "window" else profile(mask, masks)[None, :]
             yield (row.orid, note["id"], w.time[0], w.time[1], w.freq[0], w.freq[1], None if cut is None else list(cut), [m.tolist() for m in mask])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                if out := list(rows(row)):
-                    yield pd.DataFrame(out, columns=["orid", "id", "start", "stop", "low", "high", "spec", "mask"])
+                file = BytesFile(row.source) if isinstance(row.source, bytes) else RangedFile(row.source)
+                for out in rows(row, file):
+                    yield pd.DataFrame([out], columns=["orid", "id", "start", "stop", "low", "high", "spec", "mask"])
 
     source = F.col("content" if "content" in recordings.columns else "path").alias("source")
     return recordings.select("orid", "media_info", "data", source).mapInPandas(run, "orid long, id long, start int, stop int, low int, high int, spec array<array<double>>, mask array<array<int>>")

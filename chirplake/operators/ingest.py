@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chirplake.functions.timefns import TIME_FORMAT, time_fields
+from chirplake.functions.timefns import TIME_FORMAT, span_fields, standardize_time
 from chirplake.operators.filters import find, json_value
 from chirplake.schema import GEOMETRIES, NOTE_TYPES, TABLES
 
@@ -88,12 +88,17 @@ def parser_rows(parse_seq: list[dict[str, Any]]) -> Column:
     return F.array(*[F.struct(*[F.lit(value(p, k)).cast("string").alias(k) for k in fields]) for p in parse_seq])
 
 
-def with_time(metadata: Column, duration: Column, time_field: str = "datetime", zone_field: str = "timezone", fmt: str = TIME_FORMAT) -> Column:
-    """Metadata JSON with standardStart, standardStop, absStart and absStop; unchanged where time can't be read."""
-    fields = time_fields(json_value(metadata, time_field), json_value(metadata, zone_field), duration, fmt)
+def with_time(df: DataFrame, duration: Column, time_field: str = "datetime", zone_field: str = "timezone", fmt: str = TIME_FORMAT, where: Column | None = None) -> DataFrame:
+    """``df`` with standardStart, standardStop, absStart and absStop in its metadata; unchanged where time can't be read, or
+    ``where`` doesn't hold. Each step is a column of its own, so that the text is read once for all that follows from it."""
+    named = df.withColumn("_text", json_value("metadata", time_field)).withColumn("_zone", json_value("metadata", zone_field))
+    started = named.withColumn("_start", standardize_time(F.col("_text"), F.col("_zone"), fmt))
+    fields = span_fields(F.col("_start"), F.col("_zone"), duration)
     added = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
-    merged = F.concat(F.regexp_replace(metadata, r"\s*\}\s*$", ""), F.when(F.regexp_like(metadata, F.lit(r"^\s*\{\s*\}\s*$")), "").otherwise(","), F.substring(added, 2, 1 << 30))
-    return F.when(fields["absStart"].isNotNull(), merged).otherwise(metadata)
+    empty = F.regexp_like("metadata", F.lit(r"^\s*\{\s*\}\s*$"))
+    merged = F.concat(F.regexp_replace("metadata", r"\s*\}\s*$", ""), F.when(empty, "").otherwise(","), F.substring(added, 2, 1 << 30))
+    holds = F.col("_start").isNotNull() if where is None else F.col("_start").isNotNull() & where
+    return started.withColumn("metadata", F.when(holds, merged).otherwise(F.col("metadata"))).select(*df.columns)
 
 
 def screen(records: DataFrame, media: DataFrame, known: Callable[[DataFrame], DataFrame], parse_seq: list[dict[str, Any]] | None = None) -> DataFrame:
@@ -170,9 +175,9 @@ def inserted(
         F.col("path"), F.col("filesize").cast("long").alias("filesize"), F.col("timeexp"), F.col("samplerate").cast("int").alias("samplerate"), F.col("sampwidth").cast("int").alias("sampwidth"),
         F.col("nframes").cast("long").alias("length"), F.col("nchannels").cast("int").alias("nchannels"), duration.alias("duration"), F.col("md5"),
     )
-    metadata = with_time(F.col("metadata"), duration, **timed) if timed is not None else F.col("metadata")
-    new_parsed = good.select("orid", "md5", "path", F.col("path").alias("original_path"), parser_rows(parse_seq).alias("parse_seq"), info.alias("media_info"), metadata.alias("metadata"))
     new_original = good.select(F.col("orid").alias("id"), F.to_json(F.struct("source.fkey", "source_id")).alias("source"), F.col("raw").alias("metadata"))
+    good = with_time(good, duration, **timed) if timed is not None else good
+    new_parsed = good.select("orid", "md5", "path", F.col("path").alias("original_path"), parser_rows(parse_seq).alias("parse_seq"), info.alias("media_info"), "metadata")
     return {"datastores": new_stores.select(*have.columns), "original": new_original, "parsed": new_parsed}, rejected(screened)
 
 
@@ -240,17 +245,16 @@ def transform_metadata(tables: dict[str, DataFrame], parse_seq: list[dict[str, A
         metadata, sequence = run_parsers(F.col("_raw"), parse_seq), parser_rows(parse_seq)
     else:
         metadata, sequence = run_parsers(F.col("metadata"), parse_seq), F.concat("parse_seq", parser_rows(parse_seq))
-    if timed is not None and operation == "overwrite":
-        metadata = with_time(metadata, F.col("media_info.duration"), **timed)
     changed = chosen.withColumn("metadata", metadata).withColumn("parse_seq", sequence).select(*parsed.columns)
+    if timed is not None and operation == "overwrite":
+        changed = with_time(changed, F.col("media_info.duration"), **timed)
     return {**tables, "parsed": rest.select(*parsed.columns).unionByName(changed)}
 
 
 def build_time(tables: dict[str, DataFrame], timed: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Time fields for rows that have none yet."""
-    p = tables["parsed"]
-    metadata = F.when(json_value("metadata", "absStart", "double").isNull(), with_time(F.col("metadata"), F.col("media_info.duration"), **(timed or {}))).otherwise(F.col("metadata"))
-    return {**tables, "parsed": p.withColumn("metadata", metadata)}
+    none = json_value("metadata", "absStart", "double").isNull()
+    return {**tables, "parsed": with_time(tables["parsed"], F.col("media_info.duration"), **(timed or {}), where=none)}
 
 
 def remove(tables: dict[str, DataFrame], query: dict | None = None, where: str | None = None, orid: int | None = None, cascade: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -57,6 +57,7 @@ def insert(stream: DataFrame, collection: Any, name: str, checkpoint: str, rejec
 
 def cell_counts(events: DataFrame, at: str, window: str = "1 day", late: str = "1 hour", unit: float = 3600, modulo: int = 24) -> DataFrame:
     """Counts by event-time window and calendar cell, as a stream or a table; events that come too late are left out."""
+    events = events.withColumn(at, F.col(at).cast("timestamp"))
     seconds = F.unix_micros(F.col(at)) / F.lit(1e6)
     cells = events.withWatermark(at, late).withColumn("timeCell", time_cell(seconds, 0.0, unit, modulo))
     return cells.groupBy(F.window(at, window), "timeCell").agg(F.count(F.lit(1)).alias("count")).select(F.col("window.start").alias("start"), "timeCell", "count")

@@ -186,3 +186,28 @@ def test_getters_by_range(spark, folder):
     assert len(chunks) == 4
     part, _ = dsp.decode(open(chunks[2].path, "rb").read())
     np.testing.assert_allclose(part, whole[:, 200 * RATE : 300 * RATE], atol=1e-4)
+
+
+def test_annotation_windows_by_range(spark, folder):
+    """Spectrograms and masks of windows are those cut out of the whole recording's, for every kind of mask."""
+    from chirplake.operators.geometry import annotation_matrices, draw, profile, window_of
+
+    verts = {1: [[3.0, 500.0], [9.0, 3500.0], [12.0, 100.0]], 2: None, 3: [[399.0, 10.0], [400.0, 4000.0]]}
+    boxes = {1: ("linestring", 3.0, 12.0, 100.0, 3500.0), 2: ("bbox", 100.0, 101.0, 1000.0, 1200.0), 3: ("linestring", 399.0, 400.0, None, None)}
+    notes = [(i, kind, a, b, lo, hi, verts[i]) for i, (kind, a, b, lo, hi) in boxes.items()]
+    path = str(folder / "long.wav")
+    kinds = "orid long, path string, media_info struct<timeexp: double>, data array<struct<id: long, notetype: string, start_time: double, end_time: double, min_freq: double, max_freq: double, verts: array<array<double>>>>"
+    df = spark.createDataFrame([(7, path, (1.0,), notes)], kinds)
+    whole, _ = dsp.decode((folder / "long.wav").read_bytes())
+    spec = dsp.spectrogram(dsp.pick_channel(whole, None), 256, 128)
+    duration, top = whole.shape[1] / RATE, RATE / 2
+    for size, masks in (((None, None), "window"), ((5.0, 3000.0), "window"), ((None, None), "time"), ((2.0, None), "frequency")):
+        got = {r.id: r for r in annotation_matrices(df, size, n_fft=256, hop=128, masks=masks).collect()}
+        for i, (kind, a, b, lo, hi) in boxes.items():
+            low, high = lo or 0.0, hi or top
+            points = verts[i] or [[a, low], [b, low], [b, high], [a, high]]
+            w = window_of((a, b, low, high), duration, top, spec.shape, size)
+            mask = w.cut(draw(points, duration, top, spec.shape, kind == "bbox"))
+            np.testing.assert_allclose(np.array(got[i].spec), w.cut(spec), rtol=1e-9, atol=1e-12)
+            assert (np.array(got[i].mask) == (mask if masks == "window" else profile(mask, masks)[None, :])).all() and np.any(mask)
+    assert annotation_matrices(df, n_fft=256, hop=128, masks="whole").where("spec IS NULL").count() == 3
