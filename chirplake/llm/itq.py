@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from chirplake.llm.shared import Forest, by_cell, components, hot_cells, runs, saved
+from chirplake.llm.shared import Forest, by_cell, components, few, forget, hot_cells, runs, saved
 
 COSINE = 0.93
 ROUNDS = 30
 #: Rows that a cell of a table has on average, at most; the least bits of a table; the share of pairs at COSINE that may share
 #: no table if directions were random.
 CELL_ROWS, TABLE_BITS, MISS = 4096, 8, 0.03
-#: Vectors that a rotation is learned on, the first in order of a hash of the vector, and lengths of vectors that have one;
-#: codes and tables hold every vector.
-FIT_SAMPLE, FIT_LENGTHS = 10_000, 8
+#: Vectors that a rotation is learned on, the first of their length in order of a hash of the vector; codes and tables hold
+#: every vector, and CODED of them are coded at once.
+FIT_SAMPLE, CODED = 10_000, 8192
 SLICE = 512
 
 
@@ -98,6 +98,25 @@ def search(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([counts, links]) if len(has) else links
 
 
+def fitted(classes: DataFrame, sample: int, bits: int) -> DataFrame:
+    """(dims, centre, directions) of each length of vectors, learned where its sample is; ``classes`` has n, rows of its length.
+
+    The first ``sample`` vectors in order of a hash have hashes below some share of all; twice that share goes to be ranked.
+    """
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        dims = rows.column("dims")[0]
+        centre, directions = learn(unit(rows.column("vector").combine_chunks(), dims.as_py()), bits)
+        return pa.table({"dims": pa.array([dims.as_py()], pa.int32()), "centre": [centre.tobytes()], "directions": [directions.tobytes()]})
+
+    share = F.least(F.lit(1.0), 2.0 * sample / F.col("n"))
+    low = classes.withColumn("h", F.xxhash64("vector")).where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
+    place = F.row_number().over(Window.partitionBy("dims").orderBy("h", "label"))
+    chosen = low.select("dims", "vector", place.alias("place")).where(F.col("place") <= sample)
+    return chosen.groupBy("dims").applyInArrow(fit, "dims int, centre binary, directions binary")
+
+
 def usable(vector: str = "vector"):
     """Not null, not empty, not zero, without null or non-finite components."""
     ok = lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))  # noqa: E731  nan is above infinity
@@ -109,7 +128,7 @@ def near_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
 
     Vectors of one label and length link at a cosine of COSINE or more, in double precision. Equal vectors of a label are
     one class, which meets the others once; its members link with each other. A class's code has one number in each of
-    several Hamming tables (:func:`shape`); classes that share one are compared by their original vectors. Two vectors at
+    several Hamming tables (:func:`shape`), from a rotation learned for its length; classes that share one are compared by their original vectors. Two vectors at
     a cosine of 0.93 or more miss all tables for about MISS of the pairs if directions were random, and for far fewer
     with learned ones (the tests measure it). A task returns counts and spanning links, not pairs.
 
@@ -126,29 +145,29 @@ def near_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
     classes = saved(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dims", F.size("vector")), "itq-classes")
     largest = classes.groupBy("label", "dims").count().agg(F.max("count")).first()[0] or 0
     n_tables, bits = shape(largest)
-    models = {}
-    for (dims,) in classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(FIT_LENGTHS).select("dims").collect():
-        chosen = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("vector"), "label").limit(sample).select("vector").toArrow()
-        models[dims] = learn(unit(chosen.column("vector").combine_chunks(), dims), n_tables * bits)
+    lengths = saved(classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")), "itq-lengths")
+    models = saved(fitted(classes.join(few(lengths), "dims"), sample, n_tables * bits), "itq-models")
     narrow = isinstance(table.schema[vector].dataType.elementType, T.FloatType)  # such vectors travel as they came
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("dims").to_numpy()
-            for dims in np.unique(sizes).tolist():
-                part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
-                n = part.num_rows
-                x = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
-                if dims not in models:  # a rare length: directions at random
-                    models[dims] = np.zeros(dims), np.random.default_rng(dims).standard_normal((dims, n_tables * bits))
-                code = codes(x / np.linalg.norm(x, axis=1, keepdims=True), models[dims], n_tables)
-                every = pa.array(np.repeat(np.arange(n), n_tables))
-                binary = lambda a: pa.array([r.tobytes() for r in a], pa.binary()).take(every)
-                columns = {c: part.column(c).take(every) for c in ("label", "dims", "node", "copies")}
-                columns |= {"table": pa.array(np.tile(np.arange(n_tables, dtype=np.int32), n)), "at": pa.array(code.ravel()), "code": binary(code), "vector": binary(x.astype(np.float32) if narrow else x)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    tables = classes.mapInArrow(encode, "label long, dims int, node long, copies long, table int, at long, code binary, vector binary")
+    def encode(rows: pa.Table, model: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return kind.empty_table()
+        n, dims = rows.num_rows, rows.column("dims")[0].as_py()
+        x = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dims)
+        centre, directions = (np.frombuffer(model.column(c)[0].as_py(), np.float64) for c in ("centre", "directions"))
+        code = codes(x / np.linalg.norm(x, axis=1, keepdims=True), (centre, directions.reshape(dims, -1)), n_tables)
+        every = pa.array(np.repeat(np.arange(n), n_tables))
+        binary = lambda a: pa.array([r.tobytes() for r in a], pa.binary()).take(every)
+        columns = [rows.column(c).take(every) for c in ("label", "dims", "node", "copies")]
+        columns += [pa.array(np.tile(np.arange(n_tables, dtype=np.int32), n)), pa.array(code.ravel()), binary(code), binary(x.astype(np.float32) if narrow else x)]
+        return pa.table(columns, schema=kind)
+
+    coded = "label long, dims int, node long, copies long, table int, at long, code binary, vector binary"
+    kind = to_arrow_schema(T.StructType.fromDDL(coded))
+    parts = F.ceil(F.col("n") / CODED).cast("int")
+    rows_in = classes.join(few(lengths), "dims").withColumn("bin", F.pmod(F.xxhash64("node"), parts).cast("int")).drop("n")
+    model_in = models.join(few(lengths), "dims").withColumn("bin", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    tables = rows_in.groupBy("dims", "bin").cogroup(model_in.groupBy("dims", "bin")).applyInArrow(encode, coded)
     tables = tables.withColumn("cell", F.xxhash64("label", "dims", "table", "at")).drop("at")
     tasks = max(256, classes.count() * n_tables // 4_000)
     found = saved(by_cell(tables, hot_cells(tables.select("cell")), search, "a long, b long, n long", tasks), "itq-found")
@@ -158,6 +177,8 @@ def near_vectors(table: DataFrame, vector: str = "embedding", vec_id: str = "vec
     least = joined.groupBy("root").agg(F.min("id").alias("component_id")).join(joined.select("root", "node"), "root").select("node", "component_id")
     full = classes.join(least, "node").join(counts, "node", "left")
     full = full.select("label", "vector", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = rows.join(saved(full, "itq-out"), ["label", "vector"], "left")
+    full = saved(full, "itq-out")
+    forget(classes, lengths, models, found)
+    out = rows.join(full, ["label", "vector"], "left")
     alone = F.when(F.col("vector").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select("row", F.coalesce("n_links", F.lit(0)).alias("n_links"), alone.alias("component_id"))

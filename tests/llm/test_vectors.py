@@ -107,6 +107,51 @@ def test_near_vectors(spark, monkeypatch, dims, chunk, cell_rows):
     assert np.mean([got[i][1] == own[i] for i in range(900)]) >= 0.97
 
 
+def test_every_length_has_a_rotation(spark, monkeypatch):
+    """Vectors of twelve lengths, however few of each: all learned, none linked with another length, recall as for one."""
+    monkeypatch.setattr(itq, "CODED", 16)
+    rows, expected = [], {}
+    for dims in range(8, 20):
+        x, first = clustered(60 + dims, dims, dims), len(rows)
+        links = brute_links(x, np.zeros(len(x), int))
+        expected |= {first + i: int(n) for i, n in enumerate(links.sum(axis=1))}
+        rows += [(first + i, v.tolist(), 1) for i, v in enumerate(x)]
+    met = []
+    plain = itq.fitted
+    monkeypatch.setattr(itq, "fitted", lambda *a: met.append(plain(*a)) or met[-1])
+    df = table(spark, rows).repartition(3)
+    found = itq.near_vectors(df).select("row.vec_id", "n_links").collect()
+    got = {r.vec_id: r.n_links for r in found}
+    assert all(got[i] <= n for i, n in expected.items()) and sum(got.values()) >= 0.97 * sum(expected.values()) > 0
+    assert len(met) == 1 and set(met[0].columns) == {"dims", "centre", "directions"}
+
+
+@pytest.mark.parametrize("sample", [7, 1000])
+def test_rotations_are_learned_where_the_samples_are(spark, sample):
+    """A length's model is that of its first vectors in order of their hashes."""
+    x = [v.astype(np.float64).tolist() for dims in (5, 9) for v in clustered(90, dims, dims)]
+    df = spark.createDataFrame([(len(v), v, 1) for v in x], "dims int, vector array<double>, label long").withColumn("n", F.lit(90).cast("long"))
+    order = {d: [r.vector for r in df.where(F.col("dims") == d).orderBy(F.xxhash64("vector")).limit(sample).collect()] for d in (5, 9)}
+    got = {r.dims: r for r in itq.fitted(df.repartition(4), sample, 16).collect()}
+    for d, vectors in order.items():
+        y = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+        centre, directions = itq.learn(y, 16)
+        assert np.allclose(np.frombuffer(got[d].centre), centre) and np.allclose(np.frombuffer(got[d].directions).reshape(d, 16), directions)
+
+
+@pytest.mark.parametrize("apart", [0.001, 0.005])
+def test_links_on_both_sides_of_the_threshold(spark, apart):
+    """Pairs at cosines just above and just below: the upper ones link, the lower ones don't."""
+    rng, rows, linked = np.random.default_rng(11), [], set()
+    for k in range(150):
+        u, v = np.linalg.qr(rng.normal(size=(48, 2)))[0].T
+        c = itq.COSINE + apart * (1 if k % 2 else -1)
+        rows += [(2 * k, u.tolist(), 0), (2 * k + 1, (c * u + np.sqrt(1 - c * c) * v).tolist(), 0)]
+        linked |= {2 * k, 2 * k + 1} if k % 2 else set()
+    got = {r.vec_id for r in itq.near_vectors(table(spark, rows)).where("n_links > 0").select("row.vec_id").collect()}
+    assert got <= linked and len(got) >= 0.9 * len(linked)
+
+
 def test_near_vectors_hard_rows(spark):
     v = [0.6, 0.8, 0.0]
     rows = [(5, v, 1), (3, [1.2, 1.6, 0.0], 1), (9, v, 2), (8, v, None), (1, None, 1), (2, [0.0, 0.0, 0.0], 1), (4, [NAN, 1.0, 1.0], 1), (6, [1.0, None, 1.0], 1), (7, [INF, 0.0, 0.0], 1), (10, [], 1), (None, v, 1), (5, v, 1), (11, [0.6, 0.8], 1)]
