@@ -7,6 +7,7 @@ crc32 of the payload (uint32), all little-endian. A payload is: bytes of an id (
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -71,10 +72,29 @@ def plain_case(word: str) -> str:
     return word.lower() if word.isascii() and "<" not in word else word
 
 
+#: What a tokenizer must do before its model to be taken apart by words: fixed values, as its file has them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_words(tokenizer: Tokenizer) -> bool:
+    """Whether nothing that the tokenizer does crosses a blank, and marks at the end of a word are apart from it."""
+    spec = json.loads(tokenizer.to_str())
+    normal, split = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    if normal.get("normalizers") != NORMALIZERS or spec["truncation"] or spec["padding"] or spec["model"].get("dropout"):
+        return False
+    first, *rest = split.get("pretokenizers") or [{}]
+    ways = first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")
+    if ways != ("Split", {"Regex": SPLIT}, "Removed", True) or [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] != [("ByteLevel", False, False)]:
+        return False
+    added = spec["added_tokens"]
+    return all(t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or set(t["content"]) & set(" \n")) for t in added)
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never joins what white space parts, each word encoded once.
+    """Ids of whole texts from a tokenizer; where it works by words (:func:`parts_words`), each word is encoded once.
 
-    Words that were seen lately are held, at most WORDS_HELD of them, and so are their stems, without the marks at their
+    Other tokenizers get whole texts. Words that were seen lately are held, at most WORDS_HELD of them, and so are their stems, without the marks at their
     end, which the tokenizer parts as well. Stems of letters a-z, which its normaliser and pre-tokeniser leave as they
     are, go to its model; the others go to it as one text, apart by a special token, which makes fewer objects than texts
     of their own would.
@@ -82,18 +102,16 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = parts_words(self.tokenizer)
         special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.specials = [c for _, c in special]
         self.cut_id, self.cut = max(special) if special else (-1, "")
         self.held: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        tries = ("a", "the", "recordings", "qzxjv", "internationalisation")
-        self.direct = all(self.by_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in tries)
-
-    def by_model(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.held) > WORDS_HELD:
             self.held.clear()
@@ -104,11 +122,10 @@ class WordEncoder:
         tails = {w: w[len(s) :] for w, s in parts.items()}
         parts = {w: plain_case(s) for w, s in parts.items()}
         new = sorted({*parts.values(), *tails.values()}.difference(stems))
-        if self.direct:
-            tokenize = self.tokenizer.model.tokenize
-            for w in [w for w in new if w.isascii() and w.isalpha() and w.islower()]:
-                stems[w] = np.array([t.id for t in tokenize(w)], "<u4").tobytes()
-            new = [w for w in new if w not in stems]
+        tokenize = self.tokenizer.model.tokenize
+        for w in [w for w in new if w.isascii() and w.isalpha() and w.islower()]:
+            stems[w] = np.array([t.id for t in tokenize(w)], "<u4").tobytes()
+        new = [w for w in new if w not in stems]
         plain = [w for w in new if self.cut and not any(c in w for c in self.specials)]
         for part in pieces(plain, STEMS_AT_ONCE):
             self.encode_joined(part)

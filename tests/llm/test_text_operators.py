@@ -364,11 +364,11 @@ def test_records_round_trip(spark, tmp_path):
 
     path = tokenrecords.default_tokenizer()
     whole = Tokenizer.from_file(path)
-    rows = [(i, t, s) for i, t, s in HARD if i is not None] + [(9, "Don't <|endoftext|> STOP... İ, é. \xa0x", "a"), (-4, "a", "b")]
+    rows = [*HARD, (9, "Don't <|endoftext|> STOP... İ, é. \xa0x", "a"), (-4, "a", "b")]
     df = clashing(spark, rows).repartition(3)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenrecords.encode_corpus(df, path, f"file://{tmp_path}/r").collect()), key=lambda r: r[1])
     want, start = [], 0
-    for i, t, _ in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -380,6 +380,22 @@ def test_records_round_trip(spark, tmp_path):
     assert tokenrecords.encode_corpus(df.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"pre_tokenizer": None}, {"normalizer": {"type": "Lowercase"}}, {}])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    """Those that join what blanks part, or read words in another way, give what the library gives; so does the known one."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenrecords.default_tokenizer()) as f:
+        spec = json.load(f)
+    (tmp_path / "t.json").write_text(json.dumps(spec | change))
+    mine, lib = tokenrecords.WordEncoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["the end. of the   line\n", "Ab aB's 12 e\u0301 \xe9 !?", "", None, "of the of the"]
+    assert [x.tolist() for x in mine.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert mine.by_words == (not change)
+
+
 def test_damaged_records():
     record = bytearray(tokenrecords.frame(tokenrecords.serialize(7, np.array([1, 70_000]))))
     doc_id, ids = tokenrecords.deserialize(tokenrecords.unframe(bytes(record)))
