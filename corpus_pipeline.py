@@ -9,14 +9,22 @@ from chirplake.llm import linededup, mixing, shared, simhash, suffixpieces, toxi
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the lexicon is learned from labelled documents of this table."""
+    """Documents that score below the threshold; the lexicon is learned from labelled documents of this table.
+
+    Null and empty texts score as texts without matches and stay, as do repeated rows, each by itself. All columns stay,
+    whatever they are called. No documents give none.
+    """
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.toxicity(docs, lexicon)
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur before; n_chars follows a text that changes."""
+    """Documents without passages that occur before; n_chars follows a text that changes.
+
+    Rows out are rows in, texts that become empty too. Null texts stay null. Of equal passages the one of the least doc_id
+    stays, null ids last; rows of one id and text are one document. Other columns stay, whatever they are called.
+    """
     changed = F.col("removed") > 0
     out = linededup.dedup_lines(docs).select("row", F.col("text").alias("new"), changed.alias("changed"))
     own = {"text": F.col("new"), "n_chars": F.when(F.col("changed"), F.char_length("new").cast("long")).otherwise(F.col("row.n_chars"))}
@@ -27,7 +35,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id, of rows that share it the first by text.
 
     Near duplicates have five-word shingles of Jaccard similarity 0.8 or more, or are linked by rows between them that do.
-    Texts that line dedup has emptied are no copies of each other's content, but link like other texts without words.
+    Texts that line dedup has emptied are no copies of each other's content, but link like other texts without words, null
+    among them. Null ids come last. Rows that are alike in all columns are one. No documents give none.
     """
     marks = [F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g")]  # 96 bits of a whole row
     near = simhash.similar_documents(docs.select("doc_id", "text", *marks)).select("row.*", "root")
@@ -38,12 +47,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights; a document may come twice."""
+    """The mix of sources at their target weights; a document may come twice.
+
+    Documents without words, null texts among them, are never taken. A null source is the last one. Repeated rows are
+    documents of their own. All columns stay, whatever they are called. No documents give none.
+    """
     return mixing.mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and whether they decode to its text."""
+    """Token ids of every document of the mix, and whether they decode to its text.
+
+    Rows out are rows in. A null or empty text has no ids.
+    """
     encoded = suffixpieces.encode(docs, suffixpieces.default_model())
     return encoded.select("row.doc_id", "row.source", "ids", "n_ids", "ids_crc32", "same")
 
