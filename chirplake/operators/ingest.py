@@ -16,6 +16,8 @@ from chirplake.functions.timefns import TIME_FORMAT, span_fields, standardize_ti
 from chirplake.operators.filters import find, json_value
 from chirplake.schema import GEOMETRIES, NOTE_TYPES, TABLES
 
+#: Datastores that go to each task, and the share of rows from which one does if there are more.
+FEW, SHARE = 100_000, 1e-3
 #: Named parsers: metadata dict and keyword arguments to metadata dict.
 PARSERS: dict[str, Callable[..., dict]] = {}
 
@@ -140,6 +142,21 @@ def known_in(tables: dict[str, DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return lambda wanted: wanted.join(tables["parsed"].select("md5"), "md5", "left_semi")
 
 
+def with_store(rows: DataFrame, stores: DataFrame, key: str, how: str = "inner", few: int = FEW) -> DataFrame:
+    """``rows`` with the columns of their datastore, by a key that ``stores`` has once.
+
+    A datastore may have all of the rows, so they don't meet by a hash of it, which would be one task: up to ``few``
+    datastores go to each task. Of more than that, those that have a ``SHARE`` of the rows or more do, and the rest meet by hash.
+    """
+    if stores.count() <= few:
+        return rows.join(F.broadcast(stores), key, how)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = stored(counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_of")))).where(F.col("_n") >= F.col("_of") * SHARE).select(key))
+    kept = lambda df, kind: df.join(F.broadcast(hot), key, kind)
+    common = kept(rows, "left_semi").join(F.broadcast(kept(stores, "left_semi")), key, how)
+    return common.unionByName(kept(rows, "left_anti").join(kept(stores, "left_anti"), key, how))
+
+
 def largest(tables: dict[str, DataFrame]) -> dict[str, int]:
     """The largest ids of a catalogue."""
     return {name: tables[name].agg(F.max("id")).first()[0] or 0 for name in ("datastores", "original", "annotations")}
@@ -168,7 +185,7 @@ def inserted(
 
     screened = stored(screen(records, media, known or known_in(tables), parse_seq))
     good = dense_ids(screened.where("reason IS NULL").drop("reason"), "orid", ["datastore.hash", "source.fkey", "raw", "md5"], tops["original"])
-    good = good.join(stores.select(F.col("id").alias("source_id"), F.col("hash").alias("_hash")), F.col("datastore.hash") == F.col("_hash"))
+    good = with_store(good.withColumn("_hash", F.col("datastore.hash")), stores.select(F.col("id").alias("source_id"), F.col("hash").alias("_hash")), "_hash")
 
     duration = F.col("nframes") / F.col("samplerate") / F.col("timeexp")
     info = F.struct(
@@ -286,7 +303,7 @@ def merged(first: dict[str, DataFrame], second: dict[str, DataFrame], tops: dict
     renamed = second["datastores"].select(F.col("id").alias("_old"), "hash").join(moved_stores.select(F.col("id").alias("source_id"), "hash"), "hash")
     original = second["original"].join(ids.withColumnRenamed("orid", "id"), "id", "left_semi")
     original = original.withColumn("fkey", json_value("source", "fkey")).withColumn("_old", json_value("source", "source_id", "bigint"))
-    original = original.join(renamed, "_old", "left").withColumn("source", F.to_json(F.struct("fkey", "source_id"))).select("id", "source", "metadata")
+    original = with_store(original, renamed.select("_old", "source_id"), "_old", "left").withColumn("source", F.to_json(F.struct("fkey", "source_id"))).select("id", "source", "metadata")
     notes = second["annotations"].join(ids, "orid", "left_semi")
     return {
         "datastores": stores.withColumn("id", F.col("id") + shift["datastores"]),

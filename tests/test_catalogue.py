@@ -9,6 +9,7 @@ from chirplake.operators import ingest
 from chirplake.plans.collection import Collection, TimedCollection
 from chirplake.plans.dataset import Dataset
 from chirplake.plans.soundscape import Soundscape, audio_splits, mixed_model_formula
+from chirplake.schema import TABLES
 from chirplake.sources import readers, writers
 from chirplake.streaming import ingest as streams
 
@@ -239,3 +240,33 @@ def test_dense_ids_and_formula(spark):
     df = ingest.dense_ids(spark.range(1000).select((F.col("id") * 3 % 1000).alias("v")), "id", ["v"], 5)
     assert [r.id for r in df.orderBy("v").collect()] == list(range(6, 1006))
     assert mixed_model_formula("y", ["a", "b"], ["g"], [("a", "h")]) == "y ~ a+b+(1|g)+(1+a|h)"
+
+
+@pytest.mark.parametrize("few", [100, 1])
+def test_rows_of_one_datastore_stay_spread(spark, few):
+    """Nearly all rows have one datastore: they don't meet it in one task, whether there are few datastores or many."""
+    rows = spark.range(20_000, numPartitions=8).select(F.col("id").alias("orid"), F.when(F.col("id") < 19_990, 7).when(F.col("id") < 19_998, F.col("id")).when(F.col("id") < 19_999, -1).alias("key"))
+    stores = ingest.dense_ids(rows.where("key >= 0").select("key").distinct(), "source_id", ["key"])
+    got = ingest.with_store(rows, stores, "key", "left", few).select("*", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.orid for r in got) == list(range(20_000))
+    assert {(r.key, r.source_id) for r in got} == {(7, 1), *[(19_990 + i, 2 + i) for i in range(8)], (-1, None), (None, None)}
+    tasks = [r.task for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) <= 5_000
+    assert ingest.with_store(rows, stores, "key", few=few).count() == 19_998
+
+
+def test_an_insert_of_one_datastore_is_many_tasks(spark):
+    """What an insert adds isn't in one partition, though all of it is of one datastore."""
+    store = F.struct(*[F.lit(v).alias(k) for k, v in (("hash", "h"), ("type", "direct"), ("conf", "{}"), ("metadata", "{}"))])
+    path = F.concat(F.lit("/e/"), F.col("id").cast("string"))
+    rows = spark.range(4_000, numPartitions=4)
+    records = rows.select(store.alias("datastore"), F.struct(F.lpad(F.col("id").cast("string"), 12, "0").alias("fkey")).alias("source"), F.to_json(F.struct(path.alias("path"), F.lit(1.0).alias("timeexp"))).alias("metadata"))
+    media = rows.select(path.alias("path"), F.md5(path).alias("md5"), F.lit(1).cast("long").alias("filesize"), *[F.lit(v).alias(k) for k, v in (("samplerate", 8000), ("sampwidth", 2), ("nchannels", 1), ("nframes", 16000))])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        added, _ = ingest.inserted({n: spark.createDataFrame([], s) for n, s in TABLES.items()}, records, media)
+        sizes = [r["count"] for r in added["parsed"].groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == 4_000 and max(sizes) <= 2_000
