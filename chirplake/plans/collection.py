@@ -172,12 +172,16 @@ class Collection:
     def _tops(self) -> dict[str, int]:
         return self.store.snapshot["tops"] if self.store else ingest.largest(self.tables)
 
+    def has_batch(self, batch: tuple[str, int]) -> bool:
+        """Whether a stored collection has a batch of a stream, and so all before it."""
+        return self.store is not None and self.store.refresh().snapshot.get("streams", {}).get(batch[0], -1) >= batch[1]
+
     def insert_media(self, records: DataFrame | list[dict], media: DataFrame, parse_seq: list[dict] | None = None, batch: tuple[str, int] | None = None) -> Collection:
         """Add records (a list of metadata dicts, or the rows of a reader); ``media`` has the files' headers by path.
 
         A ``batch`` of a stream that a stored collection has already is left alone.
         """
-        if batch and self.store and self.store.refresh().snapshot.get("streams", {}).get(batch[0], -1) >= batch[1]:
+        if batch and self.has_batch(batch):
             self.inserted = None
             return self
         if isinstance(records, list):

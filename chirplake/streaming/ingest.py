@@ -17,7 +17,7 @@ def recordings(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame
     from chirplake.functions.dsp import header_info
 
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{wav,WAV}").load(path)
+    files = small_files(spark).readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{wav,WAV}").load(path)
     rows = files.select("path", "modificationTime", F.col("length").alias("filesize"), F.md5("content").alias("md5"), header_info("content").alias("h"))
     return rows.withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["md5"]).select("path", "modificationTime", "filesize", "md5", "h.*")
 
@@ -27,15 +27,30 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     from chirplake.functions.dsp import header_info
 
     schema = "path string, modificationTime timestamp, length long, content binary"
-    arriving = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{wav,WAV}").load(path)
+    arriving = small_files(spark).readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{wav,WAV}").load(path)
     return arriving.select("path", F.col("length").alias("filesize"), F.md5("content").alias("md5"), header_info("content").alias("h")).select("path", "filesize", "md5", "h.*")
 
 
+#: How a batch of many small files is read: tasks that look them up (10,000 otherwise), and bytes that opening one counts as
+#: (4 MB otherwise, so 32 files a task).
+SMALL_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64", "spark.sql.files.openCostInBytes": str(64 << 10)}
+
+
+def small_files(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, and those for small files. A stream takes up its session's settings once it runs,
+    so they can't be those of a moment."""
+    own = spark.newSession()
+    for k, v in {**spark.conf.getAll, **SMALL_FILES}.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
 def insert(stream: DataFrame, collection: Any, name: str, checkpoint: str, rejects: str, metadata: Callable[[DataFrame], Column] | None = None, parse_seq: list[dict] | None = None) -> StreamingQuery:
     """Insert what arrives (:func:`files`) into a stored collection, once for what is there now.
 
     Each batch is one insert, and its number is in the snapshot that it makes: one that is replayed after a crash adds
-    nothing. Copies are known by the store's md5s, however long ago the first came, so the stream holds no state. What an
+    nothing, and its files aren't read. Copies are known by the store's md5s, however long ago the first came, so the stream holds no state. What an
     insert leaves out goes to a table at ``rejects``, a folder for each batch. ``metadata`` gives the JSON of a file's
     record; without it that has its path and a timeexp of 1.
     """
@@ -47,6 +62,8 @@ def insert(stream: DataFrame, collection: Any, name: str, checkpoint: str, rejec
         from chirplake.operators.ingest import stored
         from chirplake.sources.readers import streamed
 
+        if collection.has_batch((name, number)):
+            return
         batch = stored(batch)
         collection.insert_media(streamed(batch, name, text(batch)), batch.dropDuplicates(["path"]), parse_seq, (name, number))
         if collection.inserted == (name, number):

@@ -69,3 +69,23 @@ def test_a_replayed_batch_adds_nothing(spark, inbox, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rejects")).count() == 0  # those of the first time stay
     with pytest.raises(ValueError):
         streams.insert(streams.files(spark, str(inbox)), Collection(spark, "plain"), "field", str(tmp_path / "x"), str(tmp_path / "y"))
+
+
+def test_a_batch_of_small_files_is_few_tasks(spark, tmp_path, monkeypatch):
+    """Neither looking up the files of a batch nor reading them takes a task for each few; the session's settings stay."""
+    import chirplake.operators.ingest as changes
+
+    folder, sizes = tmp_path / "many", []
+    folder.mkdir()
+    for i in range(200):
+        (folder / f"{i}.wav").write_bytes(dsp.encode(np.full((1, 80), i / 200), 8000))
+    kept = changes.stored
+    monkeypatch.setattr(changes, "stored", lambda df: sizes.append(df.rdd.getNumPartitions()) or kept(df) if "md5" in df.columns and "reason" not in df.columns else kept(df))
+    before = {k: spark.conf.get(k) for k in streams.SMALL_FILES}
+    col = Collection(spark, "s", str(tmp_path / "s"), buckets=2)
+    for place in ("ck", "other"):
+        query = streams.insert(streams.files(spark, str(folder)), col, "field", str(tmp_path / place), str(tmp_path / "rejects"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert col.get_size() == 200 and {k: spark.conf.get(k) for k in streams.SMALL_FILES} == before
+    assert max(sizes) <= spark.sparkContext.defaultParallelism and len(sizes) == 1  # the second time no file is read
