@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of spectrograms and masks that are handed on together.
+CELLS = 1 << 18
+
 
 def notes(media: DataFrame) -> DataFrame:
     """One row for each annotation of nested media, with the keys of its group if it is in one."""
@@ -171,12 +174,26 @@ def annotation_matrices(
                 mask = mask if masks == "window" else profile(mask, masks)[None, :]
             yield (row.orid, note["id"], w.time[0], w.time[1], w.freq[0], w.freq[1], None if cut is None else list(cut), [m.tolist() for m in mask])
 
+    def frame(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(held, columns=["orid", "id", "start", "stop", "low", "high", "spec", "mask"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, cells = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                file = BytesFile(row.source) if isinstance(row.source, bytes) else RangedFile(row.source)
-                for out in rows(row, file):
-                    yield pd.DataFrame([out], columns=["orid", "id", "start", "stop", "low", "high", "spec", "mask"])
+                with BytesFile(row.source) if isinstance(row.source, bytes) else RangedFile(row.source) as file:
+                    for out in rows(row, file):
+                        held.append(out)
+                        cells += sum(len(x) * len(x[0]) for x in out[6:] if x is not None and len(x)) + 1
+                        if cells >= CELLS:
+                            yield frame(held)
+                            held, cells = [], 0
+        if held:
+            yield frame(held)
 
     source = F.col("content" if "content" in recordings.columns else "path").alias("source")
-    return recordings.select("orid", "media_info", "data", source).mapInPandas(run, "orid long, id long, start int, stop int, low int, high int, spec array<array<double>>, mask array<array<int>>")
+    chosen = recordings.select("orid", "media_info", "data", source)
+    if "content" not in recordings.columns:  # a row is small and its work isn't: dealt by number, as bytes would put many into a task
+        spark = recordings.sparkSession
+        chosen = chosen.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("orid"))  # not orid itself: a shuffle by it before would stand for this one
+    return chosen.mapInPandas(run, "orid long, id long, start int, stop int, low int, high int, spec array<array<double>>, mask array<array<int>>")

@@ -53,6 +53,12 @@ class BytesFile:
         self.read += len(out)
         return out
 
+    def __enter__(self) -> BytesFile:
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        pass
+
 
 @dataclass(frozen=True)
 class Header:
