@@ -74,11 +74,18 @@ def crono_matrix(df: DataFrame, values: list[str], low: int, high: int, cell: st
     return long.crossJoin(F.broadcast(ends)).select(cell, "level", F.when(F.col("value") != MISSING, F.col("value")).alias("value"), F.when(F.col("value") != MISSING, scaled).alias("norm"))
 
 
-def dealt(df: DataFrame, weight: str, order: list[str], most: int, tasks: int = 1) -> DataFrame:
-    """``df`` in partitions of about equal weight, at most about ``most`` each, in an order; at least ``tasks`` of them.
+#: Partitions that rows are dealt to at most, where shares are numbered.
+DEALT_PARTITIONS = 1000
+
+
+def dealt(df: DataFrame, weight: str, order: list[str], most: int, tasks: int = 1, number: str | None = None) -> DataFrame:
+    """``df`` in shares of about equal weight, at most about ``most`` each, in an order; at least ``tasks`` of them.
 
     Rows are laid end to end: weights are summed up inside the parts of a range sort, and what the parts before hold is
-    added. The partition of a row is where its middle lies, so a partition has more than its share by one row at most.
+    added. The share of a row is where its middle lies, so a share has more than its part of the whole by one row at most.
+    A share is a partition. With ``number`` a column of that name has the share of a row, and a partition has a run of shares
+    once there are more of them than ``DEALT_PARTITIONS``: shares of a fixed weight are as many as the rows allow, and tasks
+    needn't be.
     """
     from chirplake.operators.ingest import stored
 
@@ -91,7 +98,11 @@ def dealt(df: DataFrame, weight: str, order: list[str], most: int, tasks: int =
     place = F.col("_before") + inside - F.col(weight) / 2
     task = F.least(F.greatest(F.floor(place / F.lit(max(float(total) / n, 1e-300))), F.lit(0)), F.lit(n - 1)).cast("int")
     placed = parts.join(F.broadcast(before), "_part").withColumn("_task", task)
-    return placed.repartitionById(n, F.col("_task")).sortWithinPartitions(*order).select(*df.columns)
+    if number is None:
+        return placed.repartitionById(n, F.col("_task")).sortWithinPartitions(*order).select(*df.columns)
+    run = -(-n // DEALT_PARTITIONS)
+    some = placed.repartitionById(-(-n // run), F.floor(F.col("_task") / run).cast("int"))
+    return some.sortWithinPartitions(*order).select(*df.columns, F.col("_task").cast("long").alias(number))
 
 
 #: Rank error of a sketch is the rows over this; the exact values are looked for within twice that.

@@ -269,7 +269,7 @@ def statement_dump(conversations):
 def dealt_by_weight(lineitem):
     """Rows of tasks of about equal weight, in order."""
     weighed = lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("w"))
-    tasks = aggregates.dealt(weighed, "w", ["l_orderkey", "l_linenumber", "w"], 50_000).withColumn("task", F.spark_partition_id().cast("long"))
+    tasks = aggregates.dealt(weighed, "w", ["l_orderkey", "l_linenumber", "w"], 50_000, number="task")
     return tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"))
 
 

@@ -173,6 +173,39 @@ def test_dealt_by_weight(spark):
     assert dealt(rows.limit(0), "w", ["id"], 100, 4).count() == 0
 
 
+def test_numbered_shares_are_few_partitions(spark, monkeypatch):
+    """Shares are the same whether each is a partition or not; partitions have runs of them, in order."""
+    from chirplake.operators import aggregates
+
+    rows = spark.range(1000).withColumn("w", F.when(F.col("id") % 100 == 0, 50.0).otherwise(1.0))
+    each = {r.id: r.p for r in dealt(rows, "w", ["id"], 100).withColumn("p", F.spark_partition_id()).collect()}
+    for limit, partitions in ((1000, 15), (15, 15), (14, 8), (4, 4), (1, 1)):
+        monkeypatch.setattr(aggregates, "DEALT_PARTITIONS", limit)
+        numbered = dealt(rows, "w", ["id"], 100, number="share")
+        got = numbered.withColumn("p", F.spark_partition_id()).collect()
+        assert {r.id: r.share for r in got} == each and [r.id for r in got] == list(range(1000))
+        assert numbered.rdd.getNumPartitions() == partitions and len({(r.share, r.p) for r in got}) == 15
+    assert dealt(rows.limit(0), "w", ["id"], 100, 4, "share").count() == 0
+
+
+def test_annotation_windows_are_dealt_and_batched(spark, folder, monkeypatch):
+    """Many recordings with a note each are work of all tasks, however few bytes their rows have; rows are handed on by cells."""
+    from chirplake.operators import geometry
+
+    path = str(folder / "tiny.wav")
+    kinds = "orid long, path string, media_info struct<timeexp: double>, data array<struct<id: long, notetype: string, start_time: double, end_time: double, min_freq: double, max_freq: double, verts: array<array<double>>>>"
+    notes = spark.createDataFrame([(i, path, (1.0,), [(i, "bbox", 0.0, 0.5, 100.0, 900.0 + i, None)]) for i in range(200)], kinds)
+    notes = notes.join(spark.range(200).withColumnRenamed("id", "orid").hint("merge"), "orid")  # as a collection has them: after a shuffle by orid
+    want = None
+    for cells in (1, 1000, 1 << 18):
+        monkeypatch.setattr(geometry, "CELLS", cells)
+        got = geometry.annotation_matrices(notes, n_fft=256, hop=128).withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == 200 and len({r.task for r in got}) == spark.sparkContext.defaultParallelism
+        rows = sorted((r.orid, r.id, r.start, r.stop, r.low, r.high, str(r.spec), str(r["mask"])) for r in got)
+        assert want is None or rows == want
+        want = rows
+
+
 def test_getters_by_range(spark, folder):
     files = readers.wav_files(spark, str(folder)).where("samplerate IS NOT NULL AND path NOT LIKE '%below%'")
     records = [{"path": r.path, "timeexp": 1.0} for r in files.collect()]
