@@ -38,7 +38,7 @@ SMALL_FILES = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 
 def small_files(spark: SparkSession) -> SparkSession:
     """A session with the settings of this one, and those for small files. A stream takes up its session's settings once it runs,
-    so they can't be those of a moment."""
+    so they can't be those of a moment. Views and functions that were registered by name in the session aren't in it."""
     own = spark.newSession()
     for k, v in {**spark.conf.getAll, **SMALL_FILES}.items():
         if own.conf.isModifiable(k):
